@@ -1,0 +1,6 @@
+"""Streaming: the reference has no streams, watermarks or stateful operators.
+
+Its only append-only input is the activity log, which it re-reads whole on
+every request; that is a batch source here (``paddock.sources.files``).
+Nothing streaming is part of the reference's scope, so nothing is built here.
+"""
