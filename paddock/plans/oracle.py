@@ -189,3 +189,156 @@ FEATURES = (sire_sql() + dam_sql() + vendor_sql() + MEDIANS + """
   LEFT JOIN dam d ON d.country_code = b.country_code AND d.dam_id = b.dam_id AND d.sale_date = b.sale_date
   LEFT JOIN vendor v ON v.country_code = b.country_code AND v.vendor_id = b.vendor_id AND v.sale_date = b.sale_date)
 """)
+
+
+# ---------------------------------------------------------------- scoring (fixed model)
+
+SCORE = FEATURES + """
+, pred AS (SELECT f.*, 2.0 * ln((0.5 * coalesce(f.sire_median_price_36m, f.session_median_price)
+                               + 0.3 * coalesce(f.dam_progeny_median_price, f.session_median_price)
+                               + 0.2 * coalesce(f.vendor_median_price_36m, f.session_median_price))
+                              / f.session_median_price) AS pred_q50
+           FROM feat f WHERE f.session_median_price IS NOT NULL AND f.session_median_price <> 0)
+, pred2 AS (SELECT p.*, p.pred_q50 - 0.35 AS pred_q25, p.pred_q50 + 0.35 AS pred_q75,
+              p.session_median_price * exp(p.pred_q50) AS mv_raw, o.offset_p25, o.offset_p75,
+              o.elite_threshold, o.elite_base_offset, o.elite_scaling_factor, o.close_threshold,
+              o.extreme_threshold, o.summary_elite_threshold
+            FROM pred p JOIN offsets o ON o.country_code = p.country_code)
+, el AS (SELECT *, CASE WHEN mv_raw >= elite_threshold
+                        THEN elite_base_offset + (ln(mv_raw) - ln(elite_threshold)) * elite_scaling_factor
+                        ELSE 0.0 END AS elite_offset,
+           coalesce(sire_sample_flag_36m, 0) + coalesce(dam_first_foal_flag, 0)
+             + coalesce(vendor_first_seen_flag, 0) AS flags
+         FROM pred2)
+, adj AS (SELECT *, pred_q50 + elite_offset AS adj_q50, pred_q25 + offset_p25 + elite_offset AS adj_q25,
+            pred_q75 + offset_p75 + elite_offset AS adj_q75 FROM el)
+, px AS (SELECT *, round_even(session_median_price * exp(adj_q50) / 100, 0) * 100 AS e_price,
+           round_even(session_median_price * exp(adj_q25) / 100, 0) * 100 AS l_price,
+           round_even(session_median_price * exp(adj_q75) / 100, 0) * 100 AS h_price FROM adj)
+, scored AS (SELECT lot_id, horse_id, sale_id, country_code, lot_number, book_number, sex, horse_name, sire_name,
+    session_median_price, exp(adj_q50) AS mv_expected_index, exp(adj_q25) AS mv_low_index,
+    exp(adj_q75) AS mv_high_index, e_price AS mv_expected_price,
+    greatest(least(l_price, e_price), 0.0) AS mv_low_price, greatest(h_price, e_price) AS mv_high_price,
+    round_even(mv_raw / 100, 0) * 100 AS mv_raw_price, elite_offset, flags, pred_q50,
+    CASE WHEN abs(pred_q50) < close_threshold THEN 'close' WHEN abs(pred_q50) < extreme_threshold THEN 'moderate'
+         ELSE 'extreme' END AS distance_band,
+    CASE WHEN abs(pred_q50) < close_threshold
+              THEN CASE WHEN flags = 0 THEN 'high' WHEN flags = 1 THEN 'medium' ELSE 'low' END
+         WHEN abs(pred_q50) < extreme_threshold THEN CASE WHEN flags <= 1 THEN 'medium' ELSE 'low' END
+         ELSE CASE WHEN flags = 0 THEN 'medium' ELSE 'low' END END AS mv_confidence_tier,
+    summary_elite_threshold
+  FROM px)
+"""
+
+SCORE_OUT = """lot_id, horse_id, sale_id, country_code, lot_number, book_number, sex, horse_name, sire_name,
+  session_median_price, round_even(mv_expected_index, 6) AS mv_expected_index,
+  round_even(mv_low_index, 6) AS mv_low_index, round_even(mv_high_index, 6) AS mv_high_index,
+  mv_expected_price, mv_low_price, mv_high_price, mv_raw_price, mv_confidence_tier, 'v2.2' AS mv_model_version"""
+
+COMPARE = SCORE + """
+, cmp AS (SELECT s.lot_id, s.horse_id, s.sale_id, s.mv_expected_price, p.horse_id IS NULL AS is_new,
+    p.market_value AS old_expected,
+    CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL THEN s.mv_expected_price - p.market_value END
+      AS d_raw,
+    CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL THEN
+      CASE WHEN p.market_value <> 0 THEN (s.mv_expected_price - p.market_value) / p.market_value * 100.0
+           ELSE 0.0 END END AS pct_raw,
+    CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL AND p.market_value_low IS NOT NULL
+         THEN round_even(s.mv_low_price - p.market_value_low, 2) END AS delta_low,
+    CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL AND p.market_value_high IS NOT NULL
+         THEN round_even(s.mv_high_price - p.market_value_high, 2) END AS delta_high
+  FROM scored s LEFT JOIN predictions p ON p.horse_id = s.horse_id AND p.sale_id = s.sale_id)
+, cmp2 AS (SELECT *, round_even(d_raw, 2) AS delta_expected, round_even(pct_raw, 2) AS delta_expected_pct,
+    coalesce(round_even(d_raw, 2) <> 0, FALSE) AND NOT is_new AS changed FROM cmp)
+"""
+
+BATCH = """
+, batch AS (SELECT s.horse_id, s.sale_id, s.mv_expected_price AS market_value, s.mv_low_price AS market_value_low,
+    s.mv_high_price AS market_value_high, s.mv_expected_index AS market_value_multiplier,
+    s.mv_confidence_tier AS confidence, s.session_median_price, r.currency_id
+  FROM {src} s LEFT JOIN regions r ON r.country_code = s.country_code)
+, snap AS (SELECT coalesce(b.horse_id, p.horse_id) AS horse_id, coalesce(b.sale_id, p.sale_id) AS sale_id,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.market_value ELSE p.market_value END AS market_value,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.market_value_low ELSE p.market_value_low END AS market_value_low,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.market_value_high ELSE p.market_value_high END AS market_value_high,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.market_value_multiplier ELSE p.market_value_multiplier END
+      AS market_value_multiplier,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.confidence ELSE p.confidence END AS confidence,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.session_median_price ELSE p.session_median_price END
+      AS session_median_price,
+    CASE WHEN b.horse_id IS NOT NULL THEN b.currency_id ELSE p.currency_id END AS currency_id,
+    CASE WHEN b.horse_id IS NOT NULL THEN {audit} END AS modified_by,
+    CASE WHEN b.horse_id IS NOT NULL AND p.horse_id IS NOT NULL THEN 'update'
+         WHEN b.horse_id IS NOT NULL THEN 'insert' ELSE 'keep' END AS action
+  FROM predictions p FULL OUTER JOIN batch b ON p.horse_id = b.horse_id AND p.sale_id = b.sale_id)
+"""
+
+
+# ---------------------------------------------------------------- sale statistics
+
+SOLD = "(price > 0 AND coalesce(is_withdrawn, 0) = 0 AND coalesce(is_passed_in, 0) = 0)"
+
+
+def truthy2(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND {x} <> 0 THEN round_even({x}, 2) END"
+
+
+def stats_sql(pooled: str, groups: list[str], prefix: str = "st") -> str:
+    """CTEs ``{prefix}`` with A11-A16 per group over CTE ``pooled`` (groups..., price, flags)."""
+    g = ", ".join(groups)
+    band = lambda lo, hi: (f"CAST(sum(CASE WHEN {SOLD} " + (f"AND price >= {lo} " if lo else "")
+                           + (f"AND price < {hi} " if hi else "") + "THEN 1 ELSE 0 END) AS BIGINT)")
+    return f"""
+, {prefix}_a AS (SELECT {g}, count(*) AS total_lots,
+    CAST(sum(CASE WHEN is_withdrawn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS withdrawn_count,
+    CAST(sum(CASE WHEN coalesce(is_withdrawn, 0) = 0 AND is_passed_in = 1 THEN 1 ELSE 0 END) AS BIGINT)
+      AS passed_in_count,
+    CAST(sum(CASE WHEN {SOLD} THEN 1 ELSE 0 END) AS BIGINT) AS sold_count,
+    sum(CASE WHEN {SOLD} THEN price ELSE 0.0 END) AS _gross, avg(CASE WHEN {SOLD} THEN price END) AS _avg,
+    min(CASE WHEN {SOLD} THEN price END) AS _min, max(CASE WHEN {SOLD} THEN price END) AS _max,
+    stddev_samp(CASE WHEN {SOLD} THEN price END) AS _std,
+    quantile_cont(CASE WHEN {SOLD} THEN price END, 0.25) AS _q1,
+    quantile_cont(CASE WHEN {SOLD} THEN price END, 0.5) AS _q2,
+    quantile_cont(CASE WHEN {SOLD} THEN price END, 0.75) AS _q3,
+    {band(None, 50000)} AS under_50k, {band(50000, 100000)} AS band_50k_100k,
+    {band(100000, 200000)} AS band_100k_200k, {band(200000, 500000)} AS band_200k_500k,
+    {band(500000, 1000000)} AS band_500k_1m, {band(1000000, None)} AS over_1m
+  FROM {pooled} GROUP BY {g})
+, {prefix}_t AS (SELECT {g}, avg(price) AS _top10 FROM (
+    SELECT {g}, price, row_number() OVER (PARTITION BY {g} ORDER BY price DESC) AS rn
+    FROM {pooled} WHERE {SOLD}) x WHERE rn <= 10 GROUP BY {g})
+, {prefix} AS (SELECT {', '.join('a.' + c for c in groups)}, total_lots, sold_count, passed_in_count, withdrawn_count,
+    CASE WHEN total_lots - withdrawn_count > 0
+         THEN round_even(CAST(100.0 AS DOUBLE) * sold_count / (total_lots - withdrawn_count), 1) END AS clearance_rate,
+    CASE WHEN sold_count > 0 THEN {truthy2('_gross')} END AS gross,
+    CASE WHEN sold_count > 0 THEN {truthy2('_avg')} END AS avg_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_q2')} END AS median_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_q1')} END AS q1_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_q3')} END AS q3_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_min')} END AS min_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_max')} END AS max_price,
+    CASE WHEN sold_count > 0 THEN {truthy2('_top10')} END AS top10_avg,
+    CASE WHEN sold_count > 0 THEN {truthy2('_std')} END AS std_dev,
+    CASE WHEN sold_count > 0 THEN under_50k END AS under_50k,
+    CASE WHEN sold_count > 0 THEN band_50k_100k END AS band_50k_100k,
+    CASE WHEN sold_count > 0 THEN band_100k_200k END AS band_100k_200k,
+    CASE WHEN sold_count > 0 THEN band_200k_500k END AS band_200k_500k,
+    CASE WHEN sold_count > 0 THEN band_500k_1m END AS band_500k_1m,
+    CASE WHEN sold_count > 0 THEN over_1m END AS over_1m
+  FROM {prefix}_a a LEFT JOIN {prefix}_t t ON {' AND '.join(f'a.{c} = t.{c}' for c in groups)})
+"""
+
+
+SALES_Y = """
+, sl AS (SELECT sale_id, company_id, CAST(year(start_date) AS INTEGER) AS year, lower(sale_name) AS lname,
+    sale_name, start_date, end_date, sale_type_id FROM sales)
+"""
+
+
+def exact_matches(min_back: int, max_back: int) -> str:
+    return SALES_Y + f"""
+, m AS (SELECT c.sale_id, p.sale_id AS match_sale_id, p.year AS match_year, p.sale_name AS match_sale_name,
+    p.start_date AS match_start_date, p.end_date AS match_end_date, p.sale_type_id AS match_sale_type_id
+  FROM sl c JOIN sl p ON p.company_id = c.company_id AND p.lname = c.lname
+   AND p.year >= c.year - {max_back} AND p.year <= c.year - {min_back} AND p.sale_id <> c.sale_id)
+"""

@@ -182,3 +182,325 @@ def features_df(c: Context):
 @register("lot_features", O.with_() + O.FEATURES + f" SELECT {', '.join(FEATURE_OUT)} FROM feat")
 def q_lot_features(c: Context):
     return FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides")).select(*FEATURE_OUT)
+
+
+# ------------------------------------------------------------------ scoring
+
+from paddock.functions.rounding import py_round  # noqa: E402
+from paddock.operators import fuzzy as FZ  # noqa: E402
+from paddock.operators import predictions as PR  # noqa: E402
+from paddock.operators import salestats as ST  # noqa: E402
+from paddock.operators import scoring as SC  # noqa: E402
+
+
+def scored_df(c: Context, features: DataFrame | None = None) -> DataFrame:
+    f = features if features is not None else FT.lot_features(c.lots, c.regions, c.settings,
+                                                               c.t("session_overrides"))
+    return SC.score(SC.fixed_model(SC.scorable(f)), c.offsets, c.settings)
+
+
+SCORE_COLS = ["lot_id", "horse_id", "sale_id", "country_code", "lot_number", "book_number", "sex",
+              "horse_name", "sire_name", "session_median_price", "mv_expected_price", "mv_low_price",
+              "mv_high_price", "mv_raw_price", "mv_confidence_tier", "mv_model_version"]
+
+
+@register("score_lots", O.with_() + O.SCORE + f" SELECT {O.SCORE_OUT} FROM scored")
+def q_score_lots(c: Context):
+    s = scored_df(c)
+    return s.select(*SCORE_COLS, *[py_round(F.col(x), 6).alias(x)
+                                   for x in ("mv_expected_index", "mv_low_index", "mv_high_index")])
+
+
+@register("elite_scaling", O.with_() + O.SCORE + """
+SELECT lot_id, sale_id, country_code, mv_raw_price, round_even(elite_offset, 6) AS elite_offset,
+  elite_offset > 0 AS elite_applied FROM scored""")
+def q_elite_scaling(c: Context):
+    s = scored_df(c)
+    return s.select("lot_id", "sale_id", "country_code", "mv_raw_price",
+                    py_round(F.col("elite_offset"), 6).alias("elite_offset"),
+                    (F.col("elite_offset") > 0).alias("elite_applied"))
+
+
+@register("confidence_tier", O.with_() + O.SCORE + """
+SELECT lot_id, sale_id, flags AS flag_count, distance_band, mv_confidence_tier FROM scored""")
+def q_confidence_tier(c: Context):
+    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"))
+    p = SC.fixed_model(SC.scorable(f)).join(F.broadcast(c.offsets.select(
+        "country_code", "close_threshold", "extreme_threshold")), "country_code")
+    a = F.abs(F.col("pred_q50"))
+    band = (F.when(a < F.col("close_threshold"), "close").when(a < F.col("extreme_threshold"), "moderate")
+            .otherwise("extreme"))
+    return p.select("lot_id", "sale_id", SC.flag_count().alias("flag_count"), band.alias("distance_band"),
+                    SC.confidence_tier(a, SC.flag_count(), F.col("close_threshold"),
+                                       F.col("extreme_threshold")).alias("mv_confidence_tier"))
+
+
+@register("score_summary", O.with_() + O.SCORE + """
+SELECT sale_id, count(*) AS total_lots, sum(mv_low_price) AS gross_low, sum(mv_expected_price) AS gross_expected,
+  sum(mv_high_price) AS gross_high, quantile_cont(mv_low_price, 0.5) AS median_low,
+  quantile_cont(mv_expected_price, 0.5) AS median_expected, quantile_cont(mv_high_price, 0.5) AS median_high,
+  CAST(sum(CASE WHEN mv_confidence_tier = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS tier_high,
+  CAST(sum(CASE WHEN mv_confidence_tier = 'medium' THEN 1 ELSE 0 END) AS BIGINT) AS tier_medium,
+  CAST(sum(CASE WHEN mv_confidence_tier = 'low' THEN 1 ELSE 0 END) AS BIGINT) AS tier_low,
+  CAST(sum(CASE WHEN mv_expected_price >= summary_elite_threshold THEN 1 ELSE 0 END) AS BIGINT) AS elite_scaling_count,
+  round_even(CAST(100.0 AS DOUBLE) * sum(CASE WHEN mv_expected_price >= summary_elite_threshold THEN 1 ELSE 0 END)
+             / count(*), 2) AS elite_scaling_percent
+FROM scored GROUP BY sale_id""")
+def q_score_summary(c: Context):
+    return SC.score_summary(scored_df(c), c.offsets)
+
+
+@register("unscorable_sales", O.with_() + """
+, own AS (SELECT sale_id, quantile_cont(CASE WHEN sold_flag = 1 AND price > 0 THEN price END, 0.5) AS m
+          FROM base GROUP BY sale_id)
+SELECT b.sale_id, count(*) AS lot_count
+FROM base b LEFT JOIN own ON own.sale_id = b.sale_id LEFT JOIN session_overrides o ON o.sale_id = b.sale_id
+GROUP BY b.sale_id
+HAVING max(CASE WHEN coalesce(o.session_median_override, own.m) IS NOT NULL
+                 AND coalesce(o.session_median_override, own.m) <> 0 THEN 1 ELSE 0 END) = 0""")
+def q_unscorable_sales(c: Context):
+    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), use_prior_year=False)
+    return SC.unscorable_sales(f)
+
+
+# ------------------------------------------------------------------ predictions
+
+CMP_COLS = ["lot_id", "horse_id", "sale_id", "mv_expected_price", "is_new", "old_expected", "delta_expected",
+            "delta_expected_pct", "delta_low", "delta_high", "changed"]
+
+
+@register("compare_lots", O.with_() + O.COMPARE + f" SELECT {', '.join(CMP_COLS)} FROM cmp2")
+def q_compare_lots(c: Context):
+    return PR.compare(scored_df(c), c.t("predictions")).select(*CMP_COLS)
+
+
+@register("compare_summary", O.with_() + O.COMPARE + """
+SELECT sale_id, count(*) AS total_lots, CAST(sum(CAST(is_new AS INTEGER)) AS BIGINT) AS new_lots,
+  count(*) - CAST(sum(CAST(is_new AS INTEGER)) AS BIGINT) AS existing_lots,
+  CAST(sum(CAST(changed AS INTEGER)) AS BIGINT) AS changed_lots,
+  count(*) - CAST(sum(CAST(is_new AS INTEGER)) AS BIGINT) - CAST(sum(CAST(changed AS INTEGER)) AS BIGINT)
+    AS unchanged_lots,
+  round_even(coalesce(avg(d_raw), 0.0), 2) AS avg_price_delta,
+  round_even(coalesce(avg(pct_raw), 0.0), 2) AS avg_price_delta_pct
+FROM cmp2 GROUP BY sale_id""")
+def q_compare_summary(c: Context):
+    return PR.compare_summary(PR.compare(scored_df(c), c.t("predictions")))
+
+
+UPSERT_COLS = ["horse_id", "sale_id", "market_value", "market_value_low", "market_value_high", "confidence",
+               "session_median_price", "currency_id", "modified_by", "action"]
+
+
+@register("upsert_predictions", O.with_() + O.SCORE + O.BATCH.format(src="scored", audit=2)
+          + f" SELECT {', '.join(UPSERT_COLS)}, round_even(market_value_multiplier, 6) AS market_value_multiplier"
+            " FROM snap")
+def q_upsert_predictions(c: Context):
+    snap = PR.upsert(c.t("predictions"), PR.batch_rows(scored_df(c)), c.regions, c.settings.audit_user_id)
+    return snap.select(*UPSERT_COLS, py_round(F.col("market_value_multiplier"), 6).alias("market_value_multiplier"))
+
+
+@register("commit_lots", O.with_() + O.SCORE + """
+, chosen AS (SELECT * FROM scored WHERE mv_confidence_tier = 'high')""" + O.BATCH.format(src="chosen", audit=2) + """
+SELECT sale_id, CAST(sum(CASE WHEN action = 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
+  CAST(sum(CASE WHEN action = 'update' THEN 1 ELSE 0 END) AS BIGINT) AS updated,
+  CAST(sum(CASE WHEN action IN ('insert', 'update') THEN 1 ELSE 0 END) AS BIGINT) AS total
+FROM snap WHERE action <> 'keep' GROUP BY sale_id""")
+def q_commit_lots(c: Context):
+    s = scored_df(c)
+    selection = s.where(F.col("mv_confidence_tier") == "high").select("sale_id", "lot_id")
+    return PR.commit(c.t("predictions"), s, selection, c.regions, c.settings.audit_user_id)
+
+
+# ------------------------------------------------------------------ sale statistics
+
+POOLED_ALL = "\n, pooled AS (SELECT sale_id, price, is_withdrawn, is_passed_in FROM lot_rows)\n"
+STATS_ALL = O.with_() + POOLED_ALL + O.stats_sql("pooled", ["sale_id"])
+
+
+def _stats(c: Context):
+    return ST.sale_stats(c.t("lot_rows"))
+
+
+@register("sale_lot_stats", STATS_ALL + """
+SELECT sale_id, total_lots, sold_count, passed_in_count, withdrawn_count, clearance_rate FROM st""")
+def q_sale_lot_stats(c: Context):
+    return _stats(c).select("sale_id", "total_lots", "sold_count", "passed_in_count", "withdrawn_count",
+                            "clearance_rate")
+
+
+@register("sale_price_stats", STATS_ALL + """
+SELECT sale_id, gross, avg_price, min_price, max_price, std_dev FROM st""")
+def q_sale_price_stats(c: Context):
+    return _stats(c).select("sale_id", "gross", "avg_price", "min_price", "max_price", "std_dev")
+
+
+@register("sale_quartiles", STATS_ALL + "SELECT sale_id, q1_price, median_price, q3_price FROM st")
+def q_sale_quartiles(c: Context):
+    return _stats(c).select("sale_id", "q1_price", "median_price", "q3_price")
+
+
+@register("sale_price_bands", STATS_ALL + """
+SELECT sale_id, under_50k, band_50k_100k, band_100k_200k, band_200k_500k, band_500k_1m, over_1m FROM st""")
+def q_sale_price_bands(c: Context):
+    return _stats(c).select("sale_id", *ST.BAND_COLS)
+
+
+@register("sale_top10_avg", STATS_ALL + "SELECT sale_id, top10_avg FROM st")
+def q_sale_top10_avg(c: Context):
+    return _stats(c).select("sale_id", "top10_avg")
+
+
+@register("sale_books", O.with_() + """
+SELECT sale_id, CASE WHEN book_number IS NULL OR book_number = 0 THEN 1 ELSE book_number END AS book_number,
+  day_number, lot_count
+FROM (SELECT sale_id, book_number, day_number, count(*) AS lot_count FROM lot_rows
+      GROUP BY sale_id, book_number, day_number) g""")
+def q_sale_books(c: Context):
+    return ST.sale_books(c.t("lot_rows"))
+
+
+SEARCH_Q = "yearling"
+
+
+@register("sale_search", O.with_() + f"""
+, top AS (SELECT s.sale_id, s.sale_name, s.start_date, ct.country_code, cu.currency_code, co.company_name
+          FROM sales s JOIN countries ct ON s.country_id = ct.country_id
+          JOIN companies co ON s.company_id = co.company_id LEFT JOIN currencies cu ON ct.currency_id = cu.currency_id
+          WHERE s.sale_name ILIKE '%{SEARCH_Q}%' OR co.company_name ILIKE '%{SEARCH_Q}%'
+          ORDER BY s.start_date DESC, s.sale_id DESC LIMIT 20)
+SELECT t.sale_id, t.sale_name, t.start_date AS sale_date, t.country_code, t.currency_code,
+  t.company_name AS sale_company, coalesce(n.lot_count, 0) AS lot_count,
+  CASE WHEN t.start_date >= {O.TODAY} THEN 'upcoming' ELSE 'past' END AS status
+FROM top t LEFT JOIN (SELECT sale_id, count(*) AS lot_count FROM lot_rows GROUP BY sale_id) n ON n.sale_id = t.sale_id""")
+def q_sale_search(c: Context):
+    return ST.sale_search(SEARCH_Q, c.t("sales"), c.t("companies"), c.t("countries"), c.t("currencies"),
+                          c.t("lot_rows"), c.settings)
+
+
+@register("queue_stats", O.with_() + """
+SELECT s.sale_id, coalesce(q.completed, 0) AS completed, coalesce(q.in_queue, 0) AS in_queue,
+  coalesce(q.failed, 0) AS failed, coalesce(q.postponed, 0) AS postponed,
+  strftime(q.last_completed, '%Y-%m-%d %H:%M:%S') AS last_completed
+FROM sales s LEFT JOIN report_queue q ON q.sale_id = s.sale_id""")
+def q_queue_stats(c: Context):
+    return ST.queue_stats(c.t("sales"), c.t("report_queue"))
+
+
+@register("sale_listing", O.with_() + """
+SELECT sale_id, sale_name, sale_year, count(*) AS lots FROM base GROUP BY sale_id, sale_name, sale_year""")
+def q_sale_listing(c: Context):
+    return ST.sale_listing(c.base)
+
+
+MEDIAN_PATTERN = "%Premier%Sale%"
+
+
+@register("median_history", O.with_() + O.MEDIANS + f"""
+SELECT DISTINCT b.sale_year, b.sale_name, med.session_median_price
+FROM base b JOIN med ON med.sale_id = b.sale_id WHERE b.sale_name LIKE '{MEDIAN_PATTERN}'""")
+def q_median_history(c: Context):
+    med = M.session_median_final(c.base, c.lots, c.t("session_overrides"))
+    f = c.base.select("sale_id", "sale_year", "sale_name").join(med.select("sale_id", "session_median_price"),
+                                                                   "sale_id")
+    return ST.median_history(f, MEDIAN_PATTERN)
+
+
+@register("assign_books", O.with_() + """
+SELECT lot_id, sale_id, lot_number, book_number AS book_number_before,
+  CASE WHEN lot_number >= 1 AND lot_number <= 980 THEN 1 WHEN lot_number >= 981 THEN 2 ELSE book_number END
+    AS book_number
+FROM base""")
+def q_assign_books(c: Context):
+    return ST.assign_books(c.base)
+
+
+@register("lot_type_volume", O.with_() + f"""
+SELECT lot_type, country_code, count(*) AS total_lots,
+  CAST(sum(sold_flag) AS BIGINT) AS sold_lots, CAST(GROUPING(lot_type, country_code) AS INTEGER) AS grouping_level,
+  round_even(CAST(100.0 AS DOUBLE) * sum(sold_flag) / count(*), 1) AS clearance_pct
+FROM lots WHERE sale_date >= {O.Y0} GROUP BY ROLLUP (lot_type, country_code)""")
+def q_lot_type_volume(c: Context):
+    return ST.lot_type_volume(c.lots, c.settings)
+
+
+# ------------------------------------------------------------------ matching, YoY, history
+
+YOY_COLS = ["sale_id", "prior_sale_count", "prior_start_date", "prior_end_date", "prior_total_lots",
+            "prior_sold_count", "prior_clearance_rate", "prior_gross", "prior_avg_price", "prior_median_price",
+            "gross_pct", "avg_price_pct", "median_price_pct", "sold_count_change", "clearance_rate_change"]
+
+
+@register("sale_yoy", O.with_() + O.exact_matches(1, 1) + """
+, pm AS (SELECT l.sale_id AS member_id, m.sale_id AS group_id, l.price, l.is_withdrawn, l.is_passed_in
+         FROM lot_rows l JOIN m ON m.match_sale_id = l.sale_id)
+, pooled_p AS (SELECT group_id, price, is_withdrawn, is_passed_in FROM pm)
+, pooled_c AS (SELECT sale_id, price, is_withdrawn, is_passed_in FROM lot_rows
+               WHERE sale_id IN (SELECT sale_id FROM m))""" + O.stats_sql("pooled_p", ["group_id"], "ps")
+          + O.stats_sql("pooled_c", ["sale_id"], "cs") + """
+, meta AS (SELECT sale_id, count(*) AS prior_sale_count, min(match_start_date) AS prior_start_date,
+                  max(match_end_date) AS prior_end_date FROM m GROUP BY sale_id)
+SELECT meta.sale_id, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
+  ps.total_lots AS prior_total_lots, ps.sold_count AS prior_sold_count, ps.clearance_rate AS prior_clearance_rate,
+  ps.gross AS prior_gross, ps.avg_price AS prior_avg_price, ps.median_price AS prior_median_price,
+  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.gross IS NOT NULL AND cs.gross <> 0 AND ps.gross > 0
+       THEN round_even(CAST(100.0 AS DOUBLE) * (cs.gross - ps.gross) / ps.gross, 1) END AS gross_pct,
+  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.avg_price IS NOT NULL AND cs.avg_price <> 0
+            AND ps.avg_price > 0
+       THEN round_even(CAST(100.0 AS DOUBLE) * (cs.avg_price - ps.avg_price) / ps.avg_price, 1) END AS avg_price_pct,
+  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.median_price IS NOT NULL AND cs.median_price <> 0
+            AND ps.median_price > 0
+       THEN round_even(CAST(100.0 AS DOUBLE) * (cs.median_price - ps.median_price) / ps.median_price, 1) END
+    AS median_price_pct,
+  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 THEN cs.sold_count - ps.sold_count END AS sold_count_change,
+  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.clearance_rate IS NOT NULL
+            AND ps.clearance_rate IS NOT NULL
+       THEN round_even(cs.clearance_rate - ps.clearance_rate, 1) END AS clearance_rate_change
+FROM meta JOIN ps ON ps.group_id = meta.sale_id LEFT JOIN cs ON cs.sale_id = meta.sale_id""")
+def q_sale_yoy(c: Context):
+    return FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact").select(*YOY_COLS)
+
+
+HIST_COLS = ["sale_id", "year", "start_date", "end_date", "total_lots", "sold_count", "passed_in_count",
+             "withdrawn_count", "clearance_rate", "gross", "avg_price", "median_price", "q1_price", "q3_price",
+             "top10_avg"]
+
+
+def _history_out(df):
+    return df.select(*HIST_COLS,
+                     F.array_join(F.transform("sale_ids", lambda x: x.cast("string")), ",").alias("sale_ids"),
+                     F.array_join("sale_names", "|").alias("sale_names"),
+                     F.array_join(F.transform("sale_type_ids", lambda x: x.cast("string")), ",")
+                      .alias("sale_type_ids"))
+
+
+@register("sale_history", O.with_() + O.exact_matches(1, FIXTURE_YEARS := 5) + """
+, pooled_h AS (SELECT m.sale_id AS group_id, m.match_year AS year, l.price, l.is_withdrawn, l.is_passed_in
+               FROM lot_rows l JOIN m ON m.match_sale_id = l.sale_id)""" + O.stats_sql("pooled_h", ["group_id", "year"], "hs") + """
+, meta AS (SELECT sale_id, match_year AS year, min(match_start_date) AS start_date, max(match_end_date) AS end_date,
+    string_agg(CAST(match_sale_id AS VARCHAR), ',' ORDER BY match_start_date, match_sale_id) AS sale_ids,
+    string_agg(match_sale_name, '|' ORDER BY match_start_date, match_sale_id) AS sale_names,
+    string_agg(CAST(match_sale_type_id AS VARCHAR), ',' ORDER BY match_start_date, match_sale_id) AS sale_type_ids
+  FROM m GROUP BY sale_id, match_year)
+SELECT meta.sale_id, meta.year, meta.start_date, meta.end_date, hs.total_lots, hs.sold_count, hs.passed_in_count,
+  hs.withdrawn_count, hs.clearance_rate, hs.gross, hs.avg_price, hs.median_price, hs.q1_price, hs.q3_price,
+  hs.top10_avg, meta.sale_ids, meta.sale_names, meta.sale_type_ids
+FROM meta JOIN hs ON hs.group_id = meta.sale_id AND hs.year = meta.year""")
+def q_sale_history(c: Context):
+    return _history_out(FZ.history_block(c.t("sales"), c.t("lot_rows"), c.settings.sale_history_years, "exact"))
+
+
+@register("fuzzy_matches")
+def q_fuzzy_matches(c: Context):
+    return FZ.matches(c.t("sales"), 1, c.settings.sale_history_years, "fuzzy", c.settings.similarity_threshold)
+
+
+@register("prior_year_stats")
+def q_prior_year_stats(c: Context):
+    return FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "fuzzy", c.settings.similarity_threshold) \
+        .drop("prior_sale_ids")
+
+
+@register("sale_history_fuzzy")
+def q_sale_history_fuzzy(c: Context):
+    return _history_out(FZ.history_block(c.t("sales"), c.t("lot_rows"), c.settings.sale_history_years, "fuzzy",
+                                         c.settings.similarity_threshold))
