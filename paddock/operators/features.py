@@ -1,5 +1,5 @@
 """Feature assembly, training frame, label encoding and the model matrix
-(J9, P9-P13, M1, M2, M3, S17)."""
+(J9, P9-P13, M1, M2, S17)."""
 
 from __future__ import annotations
 
@@ -69,17 +69,17 @@ def fit_label_encoder(frame: DataFrame, group_cols: list[str] = ("country_code",
                       columns: list[str] = tuple(S.CATEGORICAL_COLS)) -> DataFrame:
     """Per group, sorted distinct values -> 0..k-1 (NULL encodes as 'Unknown').
 
-    Returns the encoder as data: (group..., column, value, code). Only distinct
+    Returns the encoder as data: (group..., feature, value, code). Only distinct
     values travel; the window runs over that tiny table.
     """
     group_cols = list(group_cols)
-    parts = [frame.select(*group_cols, F.lit(c).alias("column"),
+    parts = [frame.select(*group_cols, F.lit(c).alias("feature"),
                           F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")).distinct()
              for c in columns]
     vals = parts[0]
     for p in parts[1:]:
         vals = vals.unionByName(p)
-    w = Window.partitionBy(*group_cols, "column").orderBy("value")
+    w = Window.partitionBy(*group_cols, "feature").orderBy("value")
     return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
@@ -87,12 +87,12 @@ def apply_label_encoder(frame: DataFrame, encoder: DataFrame, group_cols: list[s
                         columns: list[str] = tuple(S.CATEGORICAL_COLS)) -> DataFrame:
     """Adds ``<col>_encoded``; values unseen at fit time get code k (handleInvalid='keep')."""
     group_cols = list(group_cols)
-    sizes = encoder.groupBy(*group_cols, "column").agg(F.count("*").cast("int").alias("k"))
+    sizes = encoder.groupBy(*group_cols, "feature").agg(F.count("*").cast("int").alias("k"))
     out = frame
     for c in columns:
-        e = (encoder.where(F.col("column") == c)
+        e = (encoder.where(F.col("feature") == c)
              .select(*group_cols, F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"{c}_encoded")))
-        k = sizes.where(F.col("column") == c).select(*group_cols, F.col("k").alias(f"__k_{c}"))
+        k = sizes.where(F.col("feature") == c).select(*group_cols, F.col("k").alias(f"__k_{c}"))
         out = (out.withColumn(f"__v_{c}", F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
                .join(e, group_cols + [f"__v_{c}"], "left")
                .join(k, group_cols, "left")
@@ -116,13 +116,3 @@ def model_matrix(frame: DataFrame, feature_cols: list[str] = tuple(S.FEATURE_COL
         cols.append(v.alias(c))
     return frame.select(*cols)
 
-
-def split_column(settings: Settings, seed_mod: int = 10):
-    """M3: test = sale_year >= cutoff; of the rest 1 in 10 rows is validation.
-
-    The validation draw hashes ``lot_id`` (stable under repartitioning and
-    executor retries, unlike ``randomSplit``).
-    """
-    return (F.when(F.col("sale_year") >= settings.cutoff_year, "test")
-            .when(F.pmod(F.xxhash64("lot_id"), F.lit(seed_mod)) == 0, "validation")
-            .otherwise("train"))

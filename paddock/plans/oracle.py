@@ -342,3 +342,43 @@ def exact_matches(min_back: int, max_back: int) -> str:
   FROM sl c JOIN sl p ON p.company_id = c.company_id AND p.lname = c.lname
    AND p.year >= c.year - {max_back} AND p.year <= c.year - {min_back} AND p.sale_id <> c.sale_id)
 """
+
+
+# ---------------------------------------------------------------- training frame (own-country history)
+
+TRAIN = ("""
+, own_map AS (SELECT country_code, country_code AS hist_country FROM regions)
+, tbase AS (SELECT * FROM base WHERE coalesce(is_passed_in, 0) = 0 AND price > 0)
+""" + sire_sql(region_map="own_map", base="tbase") + dam_sql(region_map="own_map", base="tbase")
+         + vendor_sql(region_map="own_map", base="tbase") + """
+, tmed AS (SELECT sale_id, quantile_cont(CASE WHEN sold_flag = 1 AND price > 0 THEN price END, 0.5)
+             AS session_median_price FROM tbase GROUP BY sale_id)
+, tfeat AS (SELECT b.*, med.session_median_price,
+    s.sire_sold_count_36m, s.sire_passedin_count_36m, s.sire_total_offered_36m, s.sire_clearance_rate_36m,
+    s.sire_median_price_36m, s.sire_sold_count_12m, s.sire_passedin_count_12m, s.sire_total_offered_12m,
+    s.sire_clearance_rate_12m, s.sire_median_price_12m, s.sire_momentum, s.sire_sample_flag_36m,
+    d.dam_progeny_sold_count, d.dam_progeny_passedin_count, d.dam_progeny_total_offered_count,
+    d.dam_progeny_median_price, d.dam_first_foal_flag,
+    v.vendor_sold_count_36m, v.vendor_passedin_count_36m, v.vendor_total_offered_36m, v.vendor_clearance_rate_36m,
+    v.vendor_median_price_36m, v.vendor_volume_bucket, v.vendor_first_seen_flag,
+    ln(b.price / med.session_median_price) AS log_price_index,
+    CASE WHEN b.sale_year >= {cutoff} THEN 'test'
+         WHEN (b.lot_id * 31 + floor(b.lot_id / 7)) % 10 = 0 THEN 'validation' ELSE 'train' END AS split
+  FROM tbase b LEFT JOIN tmed med ON med.sale_id = b.sale_id
+  LEFT JOIN sire_full s ON s.country_code = b.country_code AND s.sire_id = b.sire_id AND s.sale_date = b.sale_date
+  LEFT JOIN dam d ON d.country_code = b.country_code AND d.dam_id = b.dam_id AND d.sale_date = b.sale_date
+  LEFT JOIN vendor v ON v.country_code = b.country_code AND v.vendor_id = b.vendor_id AND v.sale_date = b.sale_date
+  WHERE med.session_median_price > 0 AND b.price > 0)
+, tpred AS (SELECT t.*, 2.0 * ln((0.5 * coalesce(t.sire_median_price_36m, t.session_median_price)
+                                + 0.3 * coalesce(t.dam_progeny_median_price, t.session_median_price)
+                                + 0.2 * coalesce(t.vendor_median_price_36m, t.session_median_price))
+                               / t.session_median_price) AS pred_q50 FROM tfeat t)
+, tpred2 AS (SELECT *, pred_q50 - 0.35 AS pred_q25, pred_q50 + 0.35 AS pred_q75 FROM tpred)
+, enc_vals AS (SELECT DISTINCT country_code, 'sex' AS feature, coalesce(sex, 'Unknown') AS value FROM tfeat
+               UNION SELECT DISTINCT country_code, 'vendor_volume_bucket', coalesce(vendor_volume_bucket, 'Unknown')
+               FROM tfeat
+               UNION SELECT DISTINCT country_code, 'sale_company', coalesce(sale_company, 'Unknown') FROM tfeat)
+, enc AS (SELECT country_code, feature, value,
+            CAST(dense_rank() OVER (PARTITION BY country_code, feature ORDER BY value) - 1 AS INTEGER) AS code
+          FROM enc_vals)
+""").replace("{cutoff}", str(FS.cutoff_year))

@@ -504,3 +504,129 @@ def q_prior_year_stats(c: Context):
 def q_sale_history_fuzzy(c: Context):
     return _history_out(FZ.history_block(c.t("sales"), c.t("lot_rows"), c.settings.sale_history_years, "fuzzy",
                                          c.settings.similarity_threshold))
+
+
+# ------------------------------------------------------------------ training
+
+from paddock import settings as SETTINGS  # noqa: E402
+from paddock.operators import training as TR  # noqa: E402
+
+TRAIN_OUT = ["lot_id", "sale_id", "country_code", "sale_year", "price", "session_median_price",
+             "sire_sold_count_36m", "sire_total_offered_36m", "sire_clearance_rate_36m", "sire_median_price_36m",
+             "sire_sold_count_12m", "sire_total_offered_12m", "sire_clearance_rate_12m", "sire_median_price_12m",
+             "sire_momentum", "sire_sample_flag_36m", "dam_progeny_sold_count", "dam_progeny_total_offered_count",
+             "dam_progeny_median_price", "dam_first_foal_flag", "vendor_sold_count_36m",
+             "vendor_total_offered_36m", "vendor_clearance_rate_36m", "vendor_median_price_36m",
+             "vendor_volume_bucket", "vendor_first_seen_flag"]
+
+
+def train_frame(c: Context) -> DataFrame:
+    return FT.training_frame(c.lots, c.regions, c.settings, "own")
+
+
+@register("training_frame", O.with_() + O.TRAIN + f"""
+SELECT {', '.join(TRAIN_OUT)}, round_even(log_price_index, 6) AS log_price_index, split FROM tfeat""")
+def q_training_frame(c: Context):
+    return train_frame(c).select(*TRAIN_OUT, py_round(F.col("log_price_index"), 6).alias("log_price_index"),
+                                 TR.split_column(c.settings).alias("split"))
+
+
+@register("label_encode", O.with_() + O.TRAIN + " SELECT * FROM enc")
+def q_label_encode(c: Context):
+    return FT.fit_label_encoder(train_frame(c))
+
+
+def _encoded_matrix(c: Context) -> DataFrame:
+    tf = train_frame(c)
+    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf))
+    return FT.model_matrix(enc.withColumn("split", TR.split_column(c.settings)),
+                           keep=["lot_id", "country_code", "split", "log_price_index", "sale_year", "price"])
+
+
+def _matrix_sql() -> str:
+    cols = []
+    for f in SETTINGS.FEATURE_COLS:
+        if f.startswith("log_"):
+            cols.append(f"round_even(ln(1 + coalesce(CAST(t.{f[4:]} AS DOUBLE), 0.0)), 6) AS {f}")
+        elif f.endswith("_encoded"):
+            base = f[: -len("_encoded")]
+            cols.append(f"CAST(e_{base}.code AS DOUBLE) AS {f}")
+        else:
+            cols.append(f"coalesce(CAST(t.{f} AS DOUBLE), 0.0) AS {f}")
+    joins = "".join(
+        f" LEFT JOIN enc e_{b} ON e_{b}.country_code = t.country_code AND e_{b}.feature = '{b}'"
+        f" AND e_{b}.value = coalesce(t.{b}, 'Unknown')" for b in SETTINGS.CATEGORICAL_COLS)
+    return f"SELECT t.lot_id, t.country_code, t.split, {', '.join(cols)} FROM tfeat t{joins}"
+
+
+@register("model_matrix", O.with_() + O.TRAIN + _matrix_sql())
+def q_model_matrix(c: Context):
+    m = _encoded_matrix(c)
+    return m.select("lot_id", "country_code", "split",
+                    *[(py_round(F.col(f), 6) if f.startswith("log_") else F.col(f)).alias(f)
+                      for f in SETTINGS.FEATURE_COLS])
+
+
+@register("split_counts", O.with_() + O.TRAIN + """
+SELECT country_code,
+  CAST(sum(CASE WHEN split <> 'test' THEN 1 ELSE 0 END) AS BIGINT) AS train_all_rows,
+  CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_rows,
+  CAST(sum(CASE WHEN split = 'validation' THEN 1 ELSE 0 END) AS BIGINT) AS validation_rows,
+  CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS test_rows
+FROM tfeat GROUP BY country_code""")
+def q_split_counts(c: Context):
+    return TR.split_counts(train_frame(c), c.settings)
+
+
+@register("naive_baseline", O.with_() + O.TRAIN + """
+, mu AS (SELECT country_code, avg(log_price_index) AS train_mean FROM tfeat WHERE split = 'train' GROUP BY country_code)
+SELECT t.country_code, round_even(min(mu.train_mean), 6) AS train_mean,
+  round_even(avg(abs(t.log_price_index - mu.train_mean)), 6) AS naive_mae, count(*) AS test_rows
+FROM tfeat t JOIN mu ON mu.country_code = t.country_code WHERE t.split = 'test' GROUP BY t.country_code""")
+def q_naive_baseline(c: Context):
+    nb = TR.naive_baseline(train_frame(c), c.settings)
+    return nb.select("country_code", py_round(F.col("train_mean"), 6).alias("train_mean"),
+                     py_round(F.col("naive_mae"), 6).alias("naive_mae"), "test_rows")
+
+
+def _fixed_test_predictions(c: Context) -> DataFrame:
+    tf = train_frame(c).withColumn("split", TR.split_column(c.settings)).where(F.col("split") == "test")
+    return SC.fixed_model(tf)
+
+
+@register("eval_metrics", O.with_() + O.TRAIN + """
+, te AS (SELECT * FROM tpred2 WHERE split = 'test')
+, mu AS (SELECT country_code, avg(log_price_index) AS ybar FROM te GROUP BY country_code)
+SELECT te.country_code, count(*) AS test_rows, round_even(avg(abs(log_price_index - pred_q50)), 6) AS mae,
+  round_even(sqrt(avg((log_price_index - pred_q50) * (log_price_index - pred_q50))), 6) AS rmse,
+  round_even(1.0 - sum((log_price_index - pred_q50) * (log_price_index - pred_q50))
+             / sum((log_price_index - mu.ybar) * (log_price_index - mu.ybar)), 6) AS r2,
+  round_even(avg(CASE WHEN log_price_index < pred_q25 THEN 1.0 ELSE 0.0 END) * 100, 6) AS raw_coverage_p25,
+  round_even(avg(CASE WHEN log_price_index < pred_q75 THEN 1.0 ELSE 0.0 END) * 100, 6) AS raw_coverage_p75,
+  round_even(avg(CASE WHEN price > 0 THEN abs(price - session_median_price * exp(pred_q50)) / price END) * 100, 6)
+    AS mape
+FROM te JOIN mu ON mu.country_code = te.country_code GROUP BY te.country_code""")
+def q_eval_metrics(c: Context):
+    ev = TR.evaluate(_fixed_test_predictions(c))
+    return ev.select("country_code", "test_rows", *[py_round(F.col(x), 6).alias(x) for x in
+                                                    ("mae", "rmse", "r2", "raw_coverage_p25", "raw_coverage_p75",
+                                                     "mape")])
+
+
+@register("calibration", O.with_() + O.TRAIN + """
+, te AS (SELECT * FROM tpred2 WHERE split = 'test')
+, off AS (SELECT country_code,
+    quantile_cont(log_price_index - pred_q50, 0.25) - quantile_cont(pred_q25 - pred_q50, 0.5) AS offset_p25,
+    quantile_cont(log_price_index - pred_q50, 0.75) - quantile_cont(pred_q75 - pred_q50, 0.5) AS offset_p75
+  FROM te GROUP BY country_code)
+SELECT off.country_code, round_even(min(off.offset_p25), 6) AS offset_p25, round_even(min(off.offset_p75), 6) AS offset_p75,
+  round_even(avg(CASE WHEN te.log_price_index < te.pred_q25 + off.offset_p25 THEN 1.0 ELSE 0.0 END) * 100, 6)
+    AS calibrated_coverage_p25,
+  round_even(avg(CASE WHEN te.log_price_index < te.pred_q75 + off.offset_p75 THEN 1.0 ELSE 0.0 END) * 100, 6)
+    AS calibrated_coverage_p75
+FROM te JOIN off ON off.country_code = te.country_code GROUP BY off.country_code""")
+def q_calibration(c: Context):
+    cal = TR.calibrate(_fixed_test_predictions(c))
+    return cal.select("country_code", *[py_round(F.col(x), 6).alias(x) for x in
+                                        ("offset_p25", "offset_p75", "calibrated_coverage_p25",
+                                         "calibrated_coverage_p75")])
