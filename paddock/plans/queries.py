@@ -630,3 +630,90 @@ def q_calibration(c: Context):
     return cal.select("country_code", *[py_round(F.col(x), 6).alias(x) for x in
                                         ("offset_p25", "offset_p75", "calibrated_coverage_p25",
                                          "calibrated_coverage_p75")])
+
+
+# ------------------------------------------------------------------ trained models (rows-only checks)
+
+from paddock.operators import registry as RG  # noqa: E402
+from paddock.sources.regions import region_dim  # noqa: E402
+
+# Booster settings for the registered training queries: a short run keeps the
+# correctness pass quick; the estimator's own defaults are larger.
+QBT_PARAMS = dict(max_iter=4, lr=0.3, max_depth=4, early_stopping_rounds=2, checkpoint_every=2)
+
+
+def trained(c: Context):
+    """Train every configured country once per context: metrics + importance tables."""
+    if getattr(c, "_trained", None) is not None:
+        return c._trained
+    spark = c.spark
+    matrix = _encoded_matrix(c).checkpoint()
+    countries = [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]
+    base = TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS, countries)
+    base_rows = {r["country_code"]: r for r in base.collect()}
+    metric_rows, imp_rows = [], []
+    for cc in countries:
+        m = matrix.where(F.col("country_code") == cc)
+        if m.where(F.col("split") == "train").limit(1).count() == 0:
+            continue
+        models = TR.train_quantile_models(m, SETTINGS.FEATURE_COLS, **QBT_PARAMS)
+        test = m.where(F.col("split") == "test")
+        pred = test
+        for q, mod in models.items():
+            pred = mod.transform(pred, f"pred_{q}")
+        pred = pred.withColumn("session_median_price", F.exp(F.col("log_session_median_price")) - 1)
+        ev = TR.evaluate(pred).first()
+        cal = TR.calibrate(pred).first()
+        counts = m.groupBy().agg(*[F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(s)
+                                   for s in ("train", "validation", "test")]).first()
+        name = f"{cc.lower()}_v1"
+        b = base_rows.get(cc)
+        metric_rows.append((cc, name, 1, counts["train"], counts["validation"], counts["test"],
+                            b["naive_mae"] if b else None, b["test_mae"] if b else None,
+                            b["passes"] if b else None,
+                            models["q25"].num_trees, models["q50"].num_trees, models["q75"].num_trees,
+                            ev["mae"] if ev else None, ev["rmse"] if ev else None, ev["r2"] if ev else None,
+                            ev["raw_coverage_p25"] if ev else None, ev["raw_coverage_p75"] if ev else None,
+                            cal["offset_p25"] if cal else None, cal["offset_p75"] if cal else None,
+                            cal["calibrated_coverage_p25"] if cal else None,
+                            cal["calibrated_coverage_p75"] if cal else None, ev["mape"] if ev else None))
+        imp_rows += [(cc, name, q, f, float(g)) for q, f, g in TR.importance_rows(models, SETTINGS.FEATURE_COLS)]
+    metrics = spark.createDataFrame(metric_rows, RG.METRICS_SCHEMA)
+    importance = spark.createDataFrame(imp_rows, RG.IMPORTANCE_SCHEMA)
+    c._trained = (base, metrics, importance)
+    return c._trained
+
+
+@register("baseline_metrics")
+def q_baseline_metrics(c: Context):
+    return trained(c)[0]
+
+
+@register("quantile_model")
+def q_quantile_model(c: Context):
+    return trained(c)[1].select("country_code", "model", "trees_q25", "trees_q50", "trees_q75", "mae", "r2",
+                                "raw_coverage_p25", "raw_coverage_p75", "offset_p25", "offset_p75")
+
+
+@register("model_metrics")
+def q_model_metrics(c: Context):
+    return trained(c)[1]
+
+
+@register("top_features")
+def q_top_features(c: Context):
+    return RG.top_features(trained(c)[2], 15)
+
+
+@register("model_listing")
+def q_model_listing(c: Context):
+    _, metrics, importance = trained(c)
+    return RG.model_listing(metrics, importance, c.regions)
+
+
+@register("region_dim")
+def q_region_dim(c: Context):
+    """The region config, for the countries present in the sales data."""
+    present = c.t("countries").join(c.t("sales").select("country_id").distinct(), "country_id") \
+        .select("country_code")
+    return region_dim(c.spark).join(present, "country_code")
