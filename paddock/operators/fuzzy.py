@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.similarity import name_ratio, prefix_tokens_udf
+from paddock.session import shared_dir
 from paddock.operators.salestats import sale_stats, yoy_change
 
 
@@ -72,7 +73,10 @@ def matches(sales: DataFrame, min_back: int, max_back: int, mode: str = "fuzzy",
 def prior_year_block(sales: DataFrame, lot_rows: DataFrame, mode: str = "fuzzy",
                      threshold: float = 0.75) -> DataFrame:
     """A17 + A18: pooled stats over all matched sales of year - 1, and the YoY block."""
-    m = matches(sales, 1, 1, mode, threshold)
+    # sale pairs are few (bounded by sales, not lots); checkpointing them once in
+    # the shared folder keeps the similarity UDF out of every later branch
+    shared_dir(sales.sparkSession)
+    m = matches(sales, 1, 1, mode, threshold).checkpoint()
     meta = m.groupBy("sale_id").agg(
         F.count(F.lit(1)).alias("prior_sale_count"),
         F.array_sort(F.collect_list("match_sale_id")).alias("prior_sale_ids"),
@@ -92,7 +96,8 @@ def history_block(sales: DataFrame, lot_rows: DataFrame, years: int, mode: str =
     """Per (sale, matched year): ordered id/name/type lists and pooled stats; ``years=0`` disables."""
     if years <= 0:
         return sales.sparkSession.createDataFrame([], "sale_id long, year int")
-    m = matches(sales, 1, years, mode, threshold)
+    shared_dir(sales.sparkSession)
+    m = matches(sales, 1, years, mode, threshold).checkpoint()
     ordered = F.array_sort(F.collect_list(F.struct("match_start_date", "match_sale_id", "match_sale_name",
                                                    "match_sale_type_id")))
     meta = m.groupBy("sale_id", F.col("match_year").alias("year")).agg(
