@@ -3,8 +3,8 @@
 Two Arrow-batched pandas UDFs, both small per-row helpers:
 
 * ``name_ratio(a, b)``: the exact ratio, computed on lower-cased text.
-* ``prefix_tokens(name)``: candidate-generation tokens for an exact
-  similarity join (prefix filtering).
+* ``char_tokens(name)``: the name as a set of (char, k-th occurrence)
+  tokens, for the exact prefix-filtering similarity join in ``operators.fuzzy``.
 
 Why prefix filtering is exact here. ``ratio = 2M / (|a| + |b|)`` where M is the
 total size of the matching blocks. The matched characters form a common
@@ -26,7 +26,6 @@ import math
 from fractions import Fraction
 
 import pandas as pd
-import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +42,14 @@ def min_overlap(n: int, threshold: float) -> int:
     return math.ceil(t / (2 - t) * n)
 
 
-def tokens_of(name: str, threshold: float) -> list[str]:
+def overlap_fraction(threshold: float) -> tuple[int, int]:
+    """(p, d) with min_overlap(n) = ceil(p * n / d), for exact integer arithmetic."""
+    t = Fraction(threshold).limit_denominator(10_000)
+    f = t / (2 - t)
+    return f.numerator, f.denominator
+
+
+def char_tokens(name: str) -> list[str]:
     s = name.lower()
     if not s:
         return [EMPTY_TOKEN]
@@ -53,16 +59,19 @@ def tokens_of(name: str, threshold: float) -> list[str]:
         k = seen.get(ch, 0) + 1
         seen[ch] = k
         toks.append(f"{ch}\u0001{k}")
-    toks.sort(key=lambda t: (xxhash.xxh64_intdigest(t), t))
-    keep = len(s) - min_overlap(len(s), threshold) + 1
-    return toks[:max(keep, 1)]
+    return toks
+
+
+def prefix_of(name: str, threshold: float, rank: dict[str, int]) -> list[str]:
+    """Reference (driver-free) form of the Spark prefix: rarest-first under ``rank``."""
+    toks = sorted(char_tokens(name), key=lambda t: (rank.get(t, 0), t))
+    n = len(name)
+    return toks[:max(n - min_overlap(n, threshold) + 1, 1)]
 
 
-def prefix_tokens_udf(threshold: float):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def prefix_tokens(names: pd.Series) -> pd.Series:
-        return names.map(lambda s: tokens_of(s if isinstance(s, str) else "", threshold))
-    return prefix_tokens
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def char_tokens_udf(names: pd.Series) -> pd.Series:
+    return names.map(lambda s: char_tokens(s if isinstance(s, str) else ""))
 
 
 @F.pandas_udf(T.DoubleType())

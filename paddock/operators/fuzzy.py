@@ -9,10 +9,10 @@ similarity >= threshold (``mode='fuzzy'``) or equal lower-cased names
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.similarity import name_ratio, prefix_tokens_udf
+from paddock.functions.similarity import char_tokens_udf, name_ratio, overlap_fraction
 from paddock.session import shared_dir
 from paddock.operators.salestats import sale_stats, yoy_change
 
@@ -22,6 +22,23 @@ def _sales(sales: DataFrame) -> DataFrame:
                         F.lower("sale_name").alias("lname"), "start_date", "end_date", "sale_type_id")
 
 
+def prefix_tokens(names: DataFrame, threshold: float) -> DataFrame:
+    """Each name's prefix tokens under the global rarest-first order (exact candidate keys).
+
+    Document frequency is counted over distinct names (a token table bounded by
+    alphabet x longest name); the per-name ranking window holds one name's
+    characters only.
+    """
+    toks = names.withColumn("tok", F.explode(char_tokens_udf(F.col("lname"))))
+    freq = toks.select("lname", "tok").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    p, d = overlap_fraction(threshold)
+    n = F.length("lname")
+    keep = F.greatest(n - F.expr(f"({p} * length(lname) + {d - 1}) div {d}") + F.lit(1), F.lit(1))
+    w = Window.partitionBy("company_id", "year", "lname").orderBy("df", "tok")
+    return (toks.join(freq, "tok").withColumn("_rk", F.row_number().over(w))
+            .where(F.col("_rk") <= keep).drop("_rk", "df"))
+
+
 def name_pairs(sales: DataFrame, min_back: int, max_back: int, threshold: float = 0.75) -> DataFrame:
     """Distinct (company, cur year, cur name, cand year, cand name, ratio) with ratio >= threshold.
 
@@ -29,7 +46,7 @@ def name_pairs(sales: DataFrame, min_back: int, max_back: int, threshold: float
     ``functions.similarity``), then a length filter, then the exact ratio.
     """
     names = _sales(sales).select("company_id", "year", "lname").distinct()
-    tok = names.withColumn("tok", F.explode(prefix_tokens_udf(threshold)(F.col("lname"))))
+    tok = prefix_tokens(names, threshold)
     a, b = tok.alias("a"), tok.alias("b")
     cand = (a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.tok") == F.col("b.tok"))
                    & (F.col("b.year") >= F.col("a.year") - max_back) & (F.col("b.year") <= F.col("a.year") - min_back))

@@ -157,6 +157,13 @@ def _signature(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the session's Hadoop filesystem (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 class Fixture:
     """The auction tables for one input directory, materialised once."""
 
@@ -181,7 +188,8 @@ class Fixture:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _done(self, path: str) -> bool:
-        return os.path.exists(os.path.join(path.removeprefix("file:"), "_SUCCESS"))
+        """A finished table has its ``_SUCCESS`` marker (works for any Hadoop filesystem)."""
+        return path_exists(self.spark, f"{path}/_SUCCESS")
 
     def _materialise(self) -> None:
         spark = self.spark
