@@ -11,9 +11,12 @@ Physical plan, chosen for skewed keys (one sire may carry a third of all lots):
 2. **Pre-aggregated history**: history is reduced map-side to one row per
    (country, key, sale date, sold price) with sold / passed-in counts before
    any shuffle, so a hot key ships a price histogram, not its lots.
-3. **Range join** on the equi keys (history country, key) with the date range
-   as a residual; AQE's skew-join split divides a hot key's history side over
-   several tasks.
+3. **Range join** on the equi keys (history country, key, calendar year) with
+   the exact date range as a residual. The spine row is exploded over the
+   calendar years its window touches (<= 4 for 36 months), so a sort-merge join
+   only pairs a spine row with history of those years, and a hot key is split
+   into per-year sub-keys that land in different tasks (AQE's skew-join split
+   divides what remains).
 4. **One aggregation** per spine row: counts are sums, the exact median is
    ``percentile(price, 0.5, frequency)``, which combines partial maps
    map-side. The 12-month block is a conditional aggregate inside the same pass
@@ -46,14 +49,29 @@ def history_histogram(history: DataFrame, key: str) -> DataFrame:
 
 
 def _joined(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
-            months: int | None) -> DataFrame:
+            months: int | None, first_year: int | None = None) -> DataFrame:
+    """Spine rows left-joined to the history histogram rows inside their window.
+
+    ``first_year`` (unbounded windows only) is the earliest history year; the
+    caller passes it so the spine can be bucketed by year without a scan here.
+    """
     sp = spine(lots, key).join(F.broadcast(hist_map), "country_code")
-    hh = history_histogram(history, key)
+    hh = history_histogram(history, key).withColumn("h_year", F.year("h_date"))
+    if months is not None:
+        lo_year = F.year(F.add_months(F.col("as_of"), -months))
+    else:
+        lo_year = F.lit(first_year) if first_year is not None else None
+    if lo_year is not None:
+        # the window's calendar years; a date_add(-1) keeps a Jan-1 as-of out of its own year
+        hi_year = F.year(F.date_add(F.col("as_of"), -1))
+        sp = sp.withColumn("s_year", F.explode(F.sequence(F.least(lo_year, hi_year), hi_year)))
     cond = ((sp["hist_country"] == hh["h_country"]) & (sp[key] == hh["h_key"])
             & (hh["h_date"] < sp["as_of"]))
+    if lo_year is not None:
+        cond = cond & (sp["s_year"] == hh["h_year"])
     if months is not None:
         cond = cond & (hh["h_date"] >= F.add_months(sp["as_of"], -months))
-    return sp.join(hh, cond, "left")
+    return sp.join(hh, cond, "left").drop("s_year", "h_year")
 
 
 def _median(price: Column, freq: Column) -> Column:
@@ -106,9 +124,14 @@ def sire_metrics(lots: DataFrame, history: DataFrame, hist_map: DataFrame, regio
     return out
 
 
-def dam_stats(lots: DataFrame, history: DataFrame, hist_map: DataFrame) -> DataFrame:
-    """J5 + A1/A3/A6: all earlier progeny of the dam (no lower bound)."""
-    j = _joined(lots, history, hist_map, "dam_id", None)
+def dam_stats(lots: DataFrame, history: DataFrame, hist_map: DataFrame,
+              first_year: int | None = None) -> DataFrame:
+    """J5 + A1/A3/A6: all earlier progeny of the dam (no lower bound).
+
+    With ``first_year`` (the earliest history year, e.g. from table metadata)
+    the spine is bucketed by year like the bounded windows.
+    """
+    j = _joined(lots, history, hist_map, "dam_id", None, first_year)
     g = j.groupBy("country_code", "dam_id", "as_of").agg(
         _count(F.col("h_sold")).alias("dam_progeny_sold_count"),
         _count(F.col("h_passed")).alias("dam_progeny_passedin_count"),
