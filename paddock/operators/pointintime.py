@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from paddock.functions.rounding import np_round
 from paddock import settings as S
 
+# Calendar-year sub-keys on the range join (see module docstring, step 3).
+YEAR_BUCKETS = True
+
 
 def spine(lots: DataFrame, key: str) -> DataFrame:
     """Distinct non-NULL keys per (country, as-of date)."""
@@ -57,7 +60,9 @@ def _joined(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
     """
     sp = spine(lots, key).join(F.broadcast(hist_map), "country_code")
     hh = history_histogram(history, key).withColumn("h_year", F.year("h_date"))
-    if months is not None:
+    if not YEAR_BUCKETS:
+        lo_year = None
+    elif months is not None:
         lo_year = F.year(F.add_months(F.col("as_of"), -months))
     else:
         lo_year = F.lit(first_year) if first_year is not None else None
