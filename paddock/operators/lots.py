@@ -110,6 +110,14 @@ def sale_country(sales: DataFrame, countries: DataFrame) -> DataFrame:
     return sales.join(countries, "country_id").select("sale_id", "country_code")
 
 
+def require_sale_country(sales: DataFrame, countries: DataFrame, sale_id: int) -> str:
+    """S5 for one sale: its country code; a missing sale (or country) is an error."""
+    row = sale_country(sales.where(F.col("sale_id") == sale_id), countries).first()
+    if row is None:
+        raise ValueError(f"Sale {sale_id} not found or has no country")
+    return row["country_code"]
+
+
 def sale_header(sales: DataFrame, companies: DataFrame, countries: DataFrame, currencies: DataFrame,
                 statuses: DataFrame, types: DataFrame, settings: Settings) -> DataFrame:
     """Sale header with inner company/country joins and left lookups, plus P7."""

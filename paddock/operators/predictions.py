@@ -123,3 +123,15 @@ def compare_summary(compared: DataFrame) -> DataFrame:
         "changed_lots", (F.col("total_lots") - F.col("new_lots") - F.col("changed_lots")).alias("unchanged_lots"),
         py_round(F.coalesce(F.col("_ad"), F.lit(0.0)), 2).alias("avg_price_delta"),
         py_round(F.coalesce(F.col("_ap"), F.lit(0.0)), 2).alias("avg_price_delta_pct"))
+
+
+def write_snapshot(snapshot: DataFrame, store_root: str, version: int) -> str:
+    """S9 sink: the next store version goes to a new path; readers switch to it afterwards.
+
+    A parquet table cannot be overwritten while it is the input of the same
+    job, so every upsert writes ``{store_root}/v={version}`` and the caller
+    points readers at the newest complete version.
+    """
+    path = f"{store_root.rstrip('/')}/v={version}"
+    snapshot.drop("action").write.mode("errorifexists").parquet(path)
+    return path

@@ -57,6 +57,12 @@ def next_version(metrics: DataFrame | None, country_code: str) -> int:
     return int(v or 0) + 1
 
 
+def append_run(metrics: DataFrame, importance: DataFrame, root: str) -> None:
+    """S13/S14 sink: append one training run's rows, partitioned by country."""
+    metrics.write.mode("append").partitionBy("country_code").parquet(f"{root.rstrip('/')}/model_metrics")
+    importance.write.mode("append").partitionBy("country_code").parquet(f"{root.rstrip('/')}/model_importance")
+
+
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
     """L4: per model, the ``n`` features with the highest average gain (ties by name)."""
     avg = importance.where(F.col("quantile") == "average")

@@ -13,7 +13,7 @@ from paddock.sources.fixture import Fixture
 
 
 class Context:
-    _cache: dict[tuple[int, str], "Context"] = {}
+    _cache: dict[tuple, "Context"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE_SETTINGS):
         self.spark = spark
@@ -23,7 +23,7 @@ class Context:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Context":
-        key = (id(spark), sf_dir)
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
         if key not in cls._cache:
             cls._cache[key] = cls(spark, sf_dir)
         return cls._cache[key]

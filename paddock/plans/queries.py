@@ -539,7 +539,7 @@ def q_label_encode(c: Context):
 def _encoded_matrix(c: Context) -> DataFrame:
     tf = train_frame(c)
     enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf))
-    return FT.model_matrix(enc.withColumn("split", TR.split_column(c.settings)),
+    return FT.model_matrix(TR.split_frame(enc, c.settings),
                            keep=["lot_id", "country_code", "split", "log_price_index", "sale_year", "price"])
 
 
@@ -651,12 +651,13 @@ def trained(c: Context):
     countries = [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]
     base = TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS, countries)
     base_rows = {r["country_code"]: r for r in base.collect()}
-    metric_rows, imp_rows = [], []
+    metric_rows, imp_rows, all_models = [], [], {}
     for cc in countries:
         m = matrix.where(F.col("country_code") == cc)
         if m.where(F.col("split") == "train").limit(1).count() == 0:
             continue
         models = TR.train_quantile_models(m, SETTINGS.FEATURE_COLS, **QBT_PARAMS)
+        all_models[cc] = models
         test = m.where(F.col("split") == "test")
         pred = test
         for q, mod in models.items():
@@ -681,6 +682,8 @@ def trained(c: Context):
     metrics = spark.createDataFrame(metric_rows, RG.METRICS_SCHEMA)
     importance = spark.createDataFrame(imp_rows, RG.IMPORTANCE_SCHEMA)
     c._trained = (base, metrics, importance)
+    c._models = all_models
+    c._encoder = FT.fit_label_encoder(train_frame(c)).checkpoint()
     return c._trained
 
 
@@ -717,3 +720,19 @@ def q_region_dim(c: Context):
     present = c.t("countries").join(c.t("sales").select("country_id").distinct(), "country_id") \
         .select("country_code")
     return region_dim(c.spark).join(present, "country_code")
+
+
+@register("score_lots_trained")
+def q_score_lots_trained(c: Context):
+    """M11 + M16 with the boosters trained above: features -> stored encoder -> matrix -> predict -> score."""
+    trained(c)
+    models, encoder, metrics = c._models, c._encoder, c._trained[1]
+    f = SC.scorable(FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides")))
+    enc = FT.apply_label_encoder(f, encoder)
+    keep = ["lot_id", "horse_id", "sale_id", "country_code", "lot_number", "book_number", "sex", "horse_name",
+            "sire_name"]
+    mm = FT.model_matrix(enc, keep=keep)
+    pred = TR.predict_quantiles(mm, models)
+    return SC.score(pred, TR.trained_offsets(metrics, c.regions), c.settings).select(
+        *SCORE_COLS, *[py_round(F.col(x), 6).alias(x) for x in ("mv_expected_index", "mv_low_index",
+                                                                  "mv_high_index")])

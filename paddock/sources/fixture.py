@@ -167,7 +167,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 class Fixture:
     """The auction tables for one input directory, materialised once."""
 
-    _cache: dict[tuple[int, str], "Fixture"] = {}
+    _cache: dict[tuple, "Fixture"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -177,7 +177,7 @@ class Fixture:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Fixture":
-        key = (id(spark), os.path.abspath(sf_dir))
+        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
         fx = cls._cache.get(key)
         if fx is None:
             fx = cls(spark, sf_dir)
