@@ -23,11 +23,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _unsigned_zero(sql: str) -> str:
+    """Wrap every ``round_even(...)`` as ``(round_even(...) + 0.0)``.
+
+    DuckDB's rounding keeps the sign of a zero (-0.004 -> -0.0) while Spark's
+    ``bround`` returns 0.0; the values are equal, their text is not.
+    """
+    out, i, key = [], 0, "round_even("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _unsigned_zero(sql[j + len(key):k])
+        out.append(sql[i:j] + "(round_even(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Context.of(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _unsigned_zero(sql)
         return fn
     return deco
 
