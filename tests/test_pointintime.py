@@ -119,3 +119,22 @@ def test_no_leakage_invariance(spark):
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert E is not None
+
+
+def test_partition_count_invariance(spark):
+    """Same features whatever the shuffle partitioning."""
+    from paddock.operators import features as FT
+    from paddock.plans.context import Context
+    from conftest import SF_SMALL
+    c = Context.of(spark, SF_SMALL)
+    cols = ["lot_id", "session_median_price", "sire_median_price_36m", "sire_clearance_rate_12m",
+            "dam_progeny_median_price", "vendor_volume_bucket"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = FT.lot_features(c.lots, c.regions, c.settings).select(*cols).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "17")
+        b = FT.lot_features(c.lots.repartition(5), c.regions, c.settings).select(*cols).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
