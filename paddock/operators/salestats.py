@@ -158,7 +158,9 @@ def sale_search(q: str, sales: DataFrame, companies: DataFrame, countries: DataF
          .join(currencies, "currency_id", "left")
          .where(F.col("sale_name").ilike(pat) | F.col("company_name").ilike(pat)))
     top = s.orderBy(F.col("start_date").desc(), F.col("sale_id").desc()).limit(limit)
-    return (top.join(lot_counts(lot_rows), "sale_id", "left")
+    # count lots of the chosen sales only: at most ``limit`` (<= 100) ids, a proven broadcast bound
+    chosen = lot_rows.join(F.broadcast(top.select("sale_id")), "sale_id", "left_semi")
+    return (top.join(lot_counts(chosen), "sale_id", "left")
             .select("sale_id", "sale_name", F.col("start_date").alias("sale_date"), "country_code",
                     "currency_code", F.col("company_name").alias("sale_company"),
                     F.coalesce(F.col("lot_count"), F.lit(0)).alias("lot_count"),

@@ -1,9 +1,10 @@
 """File sources and sinks (S6-S8): CSV training data in, inference/scored rows out.
 
 Schemas are declared, never inferred. Sinks write one directory per
-``sale_id`` in one job; rows are ordered by lot number within each file
-(``sortWithinPartitions``: no global sort, and no repartition by sale, so a
-very large sale is still written by many tasks as several part files).
+``sale_id`` in one job. Rows are first hash-partitioned by (sale, salt) with a
+small salt, so each task holds few sales (files stay ~ salt x sales instead of
+tasks x sales) while a very large sale is still written by ``salt`` tasks; rows
+are ordered by lot number within each file (no global sort).
 """
 
 from __future__ import annotations
@@ -11,8 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
 from paddock import settings as S
 
+# Tasks that share one sale's output directory.
+SINK_SALT = 8
+
+
+def _by_sale(df: DataFrame) -> DataFrame:
+    salt = F.pmod(F.xxhash64(F.col("lot_id")), F.lit(SINK_SALT))
+    return df.repartition("sale_id", salt).sortWithinPartitions("sale_id", "lot_number")
+
 _LONG = {"lot_id", "horse_id", "sale_id", "sale_year", "lot_number", "book_number", "day_number"}
 _STR = {"sex", "horse_name", "sire_name", "sale_company", "vendor_volume_bucket", "sale_name", "country_code"}
 
@@ -35,14 +46,12 @@ def write_inference(features: DataFrame, path: str) -> None:
     """Keep the export columns that exist, one CSV per sale, ordered by lot number."""
     cols = [c for c in S.INFERENCE_EXPORT_COLS if c in features.columns]
     out = features.select(*cols) if "sale_id" in cols else features.select(*cols, "sale_id")
-    (out.sortWithinPartitions("sale_id", "lot_number")
-     .write.mode("overwrite").partitionBy("sale_id").option("header", True).csv(path))
+    _by_sale(out).write.mode("overwrite").partitionBy("sale_id").option("header", True).csv(path)
 
 
 def write_scored(scored: DataFrame, path: str, fmt: str = "csv") -> None:
     """Full score rows per sale (CSV or parquet)."""
-    w = (scored.sortWithinPartitions("sale_id", "lot_number")
-         .write.mode("overwrite").partitionBy("sale_id"))
+    w = _by_sale(scored).write.mode("overwrite").partitionBy("sale_id")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
