@@ -16,10 +16,19 @@ from paddock.settings import Settings
 KEYS = ["country_code", "sale_date"]
 
 
-def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scope: str = "set"):
+def first_history_year(history: DataFrame) -> int | None:
+    """Earliest sale year present: ``min`` over the one date column (the scan
+    reads only that column). A lower bound is enough: extra empty year buckets
+    cost nothing, a missing one would drop history."""
+    d = history.agg(F.min("sale_date")).first()[0]
+    return d.year if d is not None else None
+
+
+def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scope: str = "set",
+                   first_year: int | None = None):
     hm = region_hist(regions, scope)
     sire = P.sire_metrics(base, history, hm, regions)
-    dam = P.dam_stats(base, history, hm)
+    dam = P.dam_stats(base, history, hm, first_year)
     vendor = P.vendor_metrics(base, history, hm)
     return sire, dam, vendor
 
@@ -45,7 +54,7 @@ def lot_features(lots: DataFrame, regions: DataFrame, settings: Settings,
     base = L.base_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median_final(base, lots, overrides, use_prior_year, settings.lot_type)
-    sire, dam, vendor = feature_blocks(base, history, regions, "set")
+    sire, dam, vendor = feature_blocks(base, history, regions, "set", first_history_year(lots))
     return assemble(base, medians, sire, dam, vendor, with_deltas=True)
 
 
@@ -57,7 +66,7 @@ def training_frame(lots: DataFrame, regions: DataFrame, settings: Settings, scop
     base = L.training_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median(base)
-    sire, dam, vendor = feature_blocks(base, history, regions, scope)
+    sire, dam, vendor = feature_blocks(base, history, regions, scope, first_history_year(lots))
     f = assemble(base, medians, sire, dam, vendor, with_deltas=False)
     y = F.log(F.col("price") / F.col("session_median_price"))
     return (f.withColumn("log_price_index", y)

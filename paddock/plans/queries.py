@@ -181,7 +181,7 @@ def q_sire(c: Context):
 
 @register("dam_stats", O.with_() + O.dam_sql() + " SELECT * FROM dam")
 def q_dam(c: Context):
-    return P.dam_stats(c.base, c.history, region_hist(c.regions, "set"))
+    return P.dam_stats(c.base, c.history, region_hist(c.regions, "set"), FT.first_history_year(c.lots))
 
 
 @register("vendor_metrics", O.with_() + O.vendor_sql() + " SELECT * FROM vendor")
