@@ -44,3 +44,29 @@ def test_inference_csv_roundtrip(spark):
     t2 = FL.read_training_csv(spark, d + "/train")
     assert t2.count() == tr.count()
     assert t2.where(F.col("log_price_index").isNull()).count() == 0
+
+
+def test_scored_sink_snapshot_and_registry_sinks(spark, regions):
+    import __spark_entry__ as E
+    from paddock.operators import lots as L
+    from paddock.operators import predictions as PR
+    from paddock.plans.context import Context
+    from conftest import SF_SMALL
+    c = Context.of(spark, SF_SMALL)
+    scored = E.queries()["score_lots"](spark, SF_SMALL)
+    d = tempfile.mkdtemp(prefix="paddock-test-")
+    FL.write_scored(scored, d + "/scored", fmt="parquet")
+    back = spark.read.parquet(d + "/scored")
+    assert back.count() == scored.count()
+    snap = PR.upsert(c.t("predictions"), PR.batch_rows(scored.withColumn("mv_expected_index", F.lit(1.0))),
+                     regions, 2)
+    p1 = PR.write_snapshot(snap, d + "/store", 1)
+    assert spark.read.parquet(p1).count() == snap.count()
+    m = spark.createDataFrame([("AFR", "afr_v1", 1)], "country_code string, model string, version int")
+    from paddock.operators import registry as RG2
+    assert RG2.next_version(m, "afr") == 2 and RG2.next_version(None, "AFR") == 1
+    sale = c.t("sales").first()["sale_id"]
+    assert L.require_sale_country(c.t("sales"), c.t("countries"), sale) in {"AFR", "AME", "ASI", "EUR", "MID"}
+    import pytest
+    with pytest.raises(ValueError):
+        L.require_sale_country(c.t("sales"), c.t("countries"), -1)
