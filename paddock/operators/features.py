@@ -33,13 +33,27 @@ def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scop
     return sire, dam, vendor
 
 
+# Assemble on a narrow key frame and join the wide lot rows back once (by lot_id),
+# instead of shuffling the wide rows once per block key.
+NARROW_ASSEMBLY = True
+
+
 def assemble(base: DataFrame, medians: DataFrame, sire: DataFrame, dam: DataFrame, vendor: DataFrame,
              with_deltas: bool = True) -> DataFrame:
     """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block."""
-    f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
-         .join(sire, KEYS + ["sire_id"], "left")
-         .join(dam, KEYS + ["dam_id"], "left")
-         .join(vendor, KEYS + ["vendor_id"], "left"))
+    if NARROW_ASSEMBLY:
+        keys = base.select("lot_id", "country_code", "sale_date", "sire_id", "dam_id", "vendor_id")
+        blocks = (keys.join(sire, KEYS + ["sire_id"], "left")
+                  .join(dam, KEYS + ["dam_id"], "left")
+                  .join(vendor, KEYS + ["vendor_id"], "left")
+                  .drop("country_code", "sale_date", "sire_id", "dam_id", "vendor_id"))
+        f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
+             .join(blocks, "lot_id", "left"))
+    else:
+        f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
+             .join(sire, KEYS + ["sire_id"], "left")
+             .join(dam, KEYS + ["dam_id"], "left")
+             .join(vendor, KEYS + ["vendor_id"], "left"))
     if with_deltas:
         m = F.col("session_median_price")
         f = (f.withColumn("sire_vs_sale_median_delta", F.col("sire_median_price_36m") - m)
