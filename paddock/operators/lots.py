@@ -84,8 +84,12 @@ def base_lots(lots: DataFrame, settings: Settings) -> DataFrame:
     """
     lo = F.make_date(F.lit(settings.year_start), F.lit(1), F.lit(1))
     hi = F.make_date(F.lit(settings.get_year_end() + 1), F.lit(1), F.lit(1))
-    return (yearling_history(lots, settings.lot_type)
-            .where((F.col("sale_date") >= lo) & (F.col("sale_date") < hi)))
+    out = (yearling_history(lots, settings.lot_type)
+           .where((F.col("sale_date") >= lo) & (F.col("sale_date") < hi)))
+    if "sale_year" in lots.columns:
+        # same bounds on the year column: prunes whole partitions of a year-partitioned table
+        out = out.where(F.col("sale_year").between(settings.year_start, settings.get_year_end()))
+    return out
 
 
 def hist_lots(lots: DataFrame, hist: DataFrame, settings: Settings) -> DataFrame:

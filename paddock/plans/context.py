@@ -45,7 +45,7 @@ class Context:
         fx = self.fx
         return fx.derived("lot_view", lambda: L.lot_view(
             fx.table("lot_rows"), fx.table("sales"), fx.table("companies"), fx.table("countries"),
-            fx.table("lot_types"), fx.table("horses"), fx.table("sires")))
+            fx.table("lot_types"), fx.table("horses"), fx.table("sires")), partition_by="sale_year")
 
     @property
     def base(self) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paddock.session import shared_dir
 
-FIXTURE_VERSION = "3"
+FIXTURE_VERSION = "4"
 
 TPCH_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "events")
 
@@ -214,12 +214,17 @@ class Fixture:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
-    def derived(self, name: str, build) -> DataFrame:
+    def derived(self, name: str, build, partition_by: str | None = None) -> DataFrame:
         """A table Spark derives from the fixture, written once below the shared folder."""
         if name not in self._tables:
             path = f"{self.root}/derived/{name}"
             if not self._done(path):
-                build().write.mode("overwrite").parquet(path)
+                df = build()
+                w = df.write.mode("overwrite")
+                if partition_by:
+                    # one file per (task, year) at most; rows of a year stay together in each task
+                    w = df.sortWithinPartitions(partition_by).write.mode("overwrite").partitionBy(partition_by)
+                w.parquet(path)
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
