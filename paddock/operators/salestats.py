@@ -88,8 +88,6 @@ def price_aggs() -> list[Column]:
 
 
 BAND_COLS = ["under_50k", "band_50k_100k", "band_100k_200k", "band_200k_500k", "band_500k_1m", "over_1m"]
-PRICE_COLS = ["gross", "avg_price", "median_price", "q1_price", "q3_price", "min_price", "max_price",
-              "top10_avg", "std_dev"]
 
 
 def top10_avg(pooled: DataFrame, group_cols: list[str]) -> DataFrame:
