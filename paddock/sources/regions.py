@@ -55,7 +55,7 @@ MODELS_T = T.StructType([T.StructField("models", T.MapType(T.StringType(), OFFSE
 
 
 def region_dim(spark: SparkSession, path: str = FIXTURE_REGIONS) -> DataFrame:
-    """One row per region with defaults applied (``src/config`` semantics)."""
+    """One row per region, absent fields filled with the documented defaults."""
     cfg = spark.read.schema(CONFIG_T).option("multiLine", True).json(path)
     r = cfg.select(F.explode("regions").alias("country_code", "r"))
     return r.select(

@@ -117,3 +117,14 @@ def test_upsert_last_row_wins_and_tags(spark, regions):
     snap = {r["horse_id"]: r for r in PR.upsert(store, PR.batch_rows(batch, "seq"), regions, 2).collect()}
     assert snap[1]["action"] == "update" and snap[1]["market_value"] == 200.0 and snap[1]["currency_id"] == 1
     assert snap[2]["action"] == "insert" and snap[5]["action"] == "keep" and snap[5]["currency_id"] == 9
+
+
+def test_band_invariants_on_every_scored_lot(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    s = E.queries()["score_lots"](spark, SF_SMALL)
+    bad = s.where(~((F.col("mv_low_price") <= F.col("mv_expected_price"))
+                    & (F.col("mv_expected_price") <= F.col("mv_high_price"))
+                    & (F.col("mv_low_price") >= 0)
+                    & F.col("mv_confidence_tier").isin("high", "medium", "low")))
+    assert s.count() > 0 and bad.count() == 0
