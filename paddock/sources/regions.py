@@ -3,7 +3,8 @@
 The config is the reference's nested JSON (country -> struct). Spark reads it
 with an explicit schema, explodes the map into one row per region and fills the
 documented defaults. A region table is config-sized (one row per country), so it
-is the only kind of table this library broadcasts by hint.
+may be broadcast by hint without a size check; other hinted broadcasts in the
+library are preceded by a row-count check.
 """
 
 from __future__ import annotations
