@@ -170,6 +170,9 @@ class Fixture:
     _cache: dict[tuple, "Fixture"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # dates are day-exact only in UTC (TIMESTAMP -> DATE casts follow the session zone)
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
         self.root = f"{shared_dir(spark)}/paddock_tables/{_signature(sf_dir)}"
