@@ -138,3 +138,31 @@ def test_partition_count_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
+
+
+def test_hot_key_matches_brute_force(spark, regions):
+    """One sire owns a third of all lots; Spark's plan must equal a direct per-row computation."""
+    import pandas as pd
+    from paddock.operators import lots as L
+    from paddock.plans.context import Context
+    from conftest import SF_SMALL
+    c = Context.of(spark, SF_SMALL)
+    hot = c.lots.withColumn("sire_id", F.when(F.col("lot_id") % 3 == 0, F.lit(424242)).otherwise(F.col("sire_id")))
+    base = L.base_lots(hot, c.settings)
+    hist = L.yearling_history(hot)
+    got = P.sire_metrics(base, hist, region_hist(regions), regions).where(F.col("sire_id") == 424242).toPandas()
+    assert len(got) > 0
+    h = hist.where(F.col("sire_id") == 424242).select("country_code", "sale_date", "price", "sold_flag",
+                                                      "passed_in_flag").toPandas()
+    sets = {r["country_code"]: set(r["hist_countries"]) for r in regions.collect()}
+    for _, r in got.iterrows():
+        lo36 = (pd.Timestamp(r["sale_date"]) - pd.DateOffset(months=36)).date()
+        lo12 = (pd.Timestamp(r["sale_date"]) - pd.DateOffset(months=12)).date()
+        w = h[h["country_code"].isin(sets[r["country_code"]]) & (h["sale_date"] < r["sale_date"])]
+        w36, w12 = w[w["sale_date"] >= lo36], w[w["sale_date"] >= lo12]
+        for ww, m in ((w36, "36m"), (w12, "12m")):
+            sold = ww[ww["sold_flag"] == 1]["price"]
+            assert r[f"sire_sold_count_{m}"] == len(sold)
+            assert r[f"sire_passedin_count_{m}"] == int(ww["passed_in_flag"].sum())
+            med = sold.median() if len(sold) else None
+            assert (med is None and pd.isna(r[f"sire_median_price_{m}"])) or med == r[f"sire_median_price_{m}"]

@@ -69,3 +69,20 @@ def test_search_validation(spark):
     with pytest.raises(ValueError):
         ST.sale_search("ab", None, None, None, None, None, FIXTURE_SETTINGS)
     assert dt.date(2001, 7, 1) == FIXTURE_SETTINGS.today
+
+
+def test_hot_sale_matches_brute_force(spark):
+    """One sale holds a third of all lots; pooled statistics equal a direct pandas computation."""
+    from paddock.plans.context import Context
+    from conftest import SF_SMALL
+    c = Context.of(spark, SF_SMALL)
+    rows = c.t("lot_rows").withColumn("sale_id", F.when(F.col("lot_id") % 3 == 0, F.lit(7)).otherwise(F.col("sale_id")))
+    got = ST.sale_stats(rows).where(F.col("sale_id") == 7).first()
+    pdf = rows.where(F.col("sale_id") == 7).select("price", "is_withdrawn", "is_passed_in").toPandas()
+    sold = pdf[(pdf["price"] > 0) & (pdf["is_withdrawn"].fillna(0) == 0) & (pdf["is_passed_in"].fillna(0) == 0)]["price"]
+    assert got["total_lots"] == len(pdf) and got["sold_count"] == len(sold)
+    assert got["median_price"] == round(sold.median(), 2)
+    assert got["q1_price"] == round(sold.quantile(0.25), 2) and got["q3_price"] == round(sold.quantile(0.75), 2)
+    assert got["top10_avg"] == round(sold.nlargest(10).mean(), 2)
+    assert abs(got["std_dev"] - round(sold.std(), 2)) <= 0.01
+    assert got["gross"] == round(sold.sum(), 2)
