@@ -562,9 +562,9 @@ def q_label_encode(c: Context):
     return FT.fit_label_encoder(train_frame(c))
 
 
-def _encoded_matrix(c: Context) -> DataFrame:
-    tf = train_frame(c)
-    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf))
+def _encoded_matrix(c: Context, tf: DataFrame | None = None, encoder: DataFrame | None = None) -> DataFrame:
+    tf = train_frame(c) if tf is None else tf
+    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf) if encoder is None else encoder)
     return FT.model_matrix(TR.split_frame(enc, c.settings),
                            keep=["lot_id", "country_code", "split", "log_price_index", "sale_year", "price"])
 
@@ -665,7 +665,7 @@ from paddock.sources.regions import region_dim  # noqa: E402
 
 # Booster settings for the registered training queries: a short run keeps the
 # correctness pass quick; the estimator's own defaults are larger.
-TRAIN_VERSION = 1
+TRAIN_VERSION = 4
 QBT_PARAMS = dict(max_iter=4, lr=0.3, max_depth=4, early_stopping_rounds=2, checkpoint_every=2)
 
 
@@ -695,15 +695,16 @@ def trained(c: Context):
 
 def _train_and_save(c: Context, root: str) -> None:
     spark = c.spark
-    matrix = _encoded_matrix(c).checkpoint()
+    tf = train_frame(c).checkpoint()
+    encoder = FT.fit_label_encoder(tf).checkpoint()
+    matrix = _encoded_matrix(c, tf, encoder).checkpoint()
     countries = [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]
     base = TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS, countries)
     base_rows = {r["country_code"]: r for r in base.collect()}
-    metric_rows, imp_rows = [], []
-    for cc in countries:
+    def one(cc):
         m = matrix.where(F.col("country_code") == cc)
         if m.where(F.col("split") == "train").limit(1).count() == 0:
-            continue
+            return None
         models = TR.train_quantile_models(m, SETTINGS.FEATURE_COLS, **QBT_PARAMS)
         for q, mod in models.items():
             mod.save(f"{root}/models/{cc}/{q}")
@@ -717,20 +718,27 @@ def _train_and_save(c: Context, root: str) -> None:
                                    for s in ("train", "validation", "test")]).first()
         name = f"{cc.lower()}_v1"
         b = base_rows.get(cc)
-        metric_rows.append((cc, name, 1, counts["train"], counts["validation"], counts["test"],
-                            b["naive_mae"] if b else None, b["test_mae"] if b else None,
-                            b["passes"] if b else None,
-                            models["q25"].num_trees, models["q50"].num_trees, models["q75"].num_trees,
-                            ev["mae"] if ev else None, ev["rmse"] if ev else None, ev["r2"] if ev else None,
-                            ev["raw_coverage_p25"] if ev else None, ev["raw_coverage_p75"] if ev else None,
-                            cal["offset_p25"] if cal else None, cal["offset_p75"] if cal else None,
-                            cal["calibrated_coverage_p25"] if cal else None,
-                            cal["calibrated_coverage_p75"] if cal else None, ev["mape"] if ev else None))
-        imp_rows += [(cc, name, q, f, float(g)) for q, f, g in TR.importance_rows(models, SETTINGS.FEATURE_COLS)]
+        row = (cc, name, 1, counts["train"], counts["validation"], counts["test"],
+               b["naive_mae"] if b else None, b["test_mae"] if b else None, b["passes"] if b else None,
+               models["q25"].num_trees, models["q50"].num_trees, models["q75"].num_trees,
+               ev["mae"] if ev else None, ev["rmse"] if ev else None, ev["r2"] if ev else None,
+               ev["raw_coverage_p25"] if ev else None, ev["raw_coverage_p75"] if ev else None,
+               cal["offset_p25"] if cal else None, cal["offset_p75"] if cal else None,
+               cal["calibrated_coverage_p25"] if cal else None,
+               cal["calibrated_coverage_p75"] if cal else None, ev["mape"] if ev else None)
+        imp = [(cc, name, q, f, float(g)) for q, f, g in TR.importance_rows(models, SETTINGS.FEATURE_COLS)]
+        return row, imp
+
+    # countries are independent: their (small) Spark jobs are submitted concurrently
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(len(countries), 8))) as pool:
+        results = [r for r in pool.map(one, countries) if r is not None]
+    metric_rows = [r for r, _ in results]
+    imp_rows = [x for _, imp in results for x in imp]
     base.write.mode("overwrite").parquet(f"{root}/baseline")
     spark.createDataFrame(metric_rows, RG.METRICS_SCHEMA).write.mode("overwrite").parquet(f"{root}/metrics")
     spark.createDataFrame(imp_rows, RG.IMPORTANCE_SCHEMA).write.mode("overwrite").parquet(f"{root}/importance")
-    FT.fit_label_encoder(train_frame(c)).write.mode("overwrite").parquet(f"{root}/encoder")
+    encoder.write.mode("overwrite").parquet(f"{root}/encoder")
     spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{root}/_DONE")
 
 
