@@ -195,9 +195,12 @@ class Fixture:
         return path_exists(self.spark, f"{path}/_SUCCESS")
 
     def _materialise(self) -> None:
-        spark = self.spark
+        # a sibling session: same SparkContext, its own temp views and SQL conf, so the
+        # caller's views named lineitem/orders/... are never replaced
+        spark = self.spark.newSession()
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         for t in TPCH_TABLES:
-            self.raw(t).createOrReplaceTempView(t)
+            spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, sql in TABLE_SQL:
             path = f"{self.root}/{name}"
             if not self._done(path):
