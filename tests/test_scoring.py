@@ -128,3 +128,20 @@ def test_band_invariants_on_every_scored_lot(spark):
                     & (F.col("mv_low_price") >= 0)
                     & F.col("mv_confidence_tier").isin("high", "medium", "low")))
     assert s.count() > 0 and bad.count() == 0
+
+
+def test_commit_rejects_lot_of_another_sale(spark, regions):
+    scored = spark.createDataFrame(
+        [(1, 1, 10, "AFR", 100.0, 90.0, 110.0, 1.0, "high", 50.0),
+         (2, 2, 11, "AFR", 200.0, 190.0, 210.0, 1.0, "high", 50.0)],
+        "lot_id long, horse_id long, sale_id long, country_code string, mv_expected_price double, "
+        "mv_low_price double, mv_high_price double, mv_expected_index double, mv_confidence_tier string, "
+        "session_median_price double")
+    store = spark.createDataFrame([(1, 10, 1.0, 1.0, 1.0, 1.0, "low", 1.0, 9)],
+                                  "horse_id long, sale_id long, market_value double, market_value_low double, "
+                                  "market_value_high double, market_value_multiplier double, confidence string, "
+                                  "session_median_price double, currency_id long")
+    ok = PR.commit(store, scored, spark.createDataFrame([(10, 1)], "sale_id long, lot_id long"), regions, 2).first()
+    assert (ok["inserted"], ok["updated"], ok["total"]) == (0, 1, 1)
+    with pytest.raises(ValueError):
+        PR.commit(store, scored, spark.createDataFrame([(10, 2)], "sale_id long, lot_id long"), regions, 2)
