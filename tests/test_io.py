@@ -20,9 +20,10 @@ def test_activity_log(spark):
                                 "detail": e["props"], "category": e["event_type"],
                                 "status": "error" if e["event_type"] == "error" else "success"}) + "\n")
         f.write("{not json\n")
+        f.write("\n")
         f.write("[1, 2\n")
     log = RG.read_activity(spark, p)
-    assert RG.activity_total(log) == 42
+    assert RG.activity_total(spark, p) == 43
     last = RG.recent_activity(log, 5).collect()
     assert len(last) == 5 and [r["user"] for r in last] == [str(e["user_id"]) for e in ev[-5:]]
     errs = RG.recent_activity(log, 500, status="error").count()
