@@ -108,7 +108,13 @@ def recent_activity(log: DataFrame, limit: int = 50, category: str | None = None
     """P14 + L3: parsed entries, optional filters, the last ``limit`` in file order."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    ok = log.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
+    required = ["timestamp", "user", "action", "detail"]
+    ok = log.where(F.col("_corrupt_record").isNull())
+    for c in required:
+        ok = ok.where(F.col(c).isNotNull())
+    # fixed values: an entry without category/status counts as "general" / "success"
+    ok = (ok.withColumn("category", F.coalesce(F.col("category"), F.lit("general")))
+          .withColumn("status", F.coalesce(F.col("status"), F.lit("success"))))
     if category:
         ok = ok.where(F.col("category") == category)
     if status:

@@ -19,13 +19,16 @@ def test_activity_log(spark):
             f.write(json.dumps({"timestamp": e["ts"].isoformat(), "user": str(e["user_id"]), "action": "POST",
                                 "detail": e["props"], "category": e["event_type"],
                                 "status": "error" if e["event_type"] == "error" else "success"}) + "\n")
+        f.write(json.dumps({"timestamp": "t", "user": "u", "action": "a", "detail": "d"}) + "\n")
+        f.write(json.dumps({"timestamp": "t", "user": "u"}) + "\n")     # missing required fields
         f.write("{not json\n")
         f.write("\n")
         f.write("[1, 2\n")
     log = RG.read_activity(spark, p)
-    assert RG.activity_total(spark, p) == 43
-    last = RG.recent_activity(log, 5).collect()
-    assert len(last) == 5 and [r["user"] for r in last] == [str(e["user_id"]) for e in ev[-5:]]
+    assert RG.activity_total(spark, p) == 45
+    last = RG.recent_activity(log, 6).collect()
+    assert len(last) == 6 and [r["user"] for r in last[:5]] == [str(e["user_id"]) for e in ev[-5:]]
+    assert last[5]["category"] == "general" and last[5]["status"] == "success"
     errs = RG.recent_activity(log, 500, status="error").count()
     assert errs == sum(1 for e in ev if e["event_type"] == "error")
 
