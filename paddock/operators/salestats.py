@@ -166,11 +166,12 @@ def sale_search(q: str, sales: DataFrame, companies: DataFrame, countries: DataF
 
 
 def queue_stats(sales: DataFrame, queue: DataFrame) -> DataFrame:
-    """Report-queue counts per sale, NULL -> 0."""
-    j = sales.select("sale_id").join(queue, "sale_id", "left")
+    """Report-queue counts per sale; NULL counts in a queue row -> 0, no queue row -> NULL block."""
+    j = sales.select("sale_id").join(queue.withColumn("_has", F.lit(True)), "sale_id", "left")
+    has = F.col("_has").isNotNull()
     return j.select(
         "sale_id",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+        *[F.when(has, F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
           for c in ("completed", "in_queue", "failed", "postponed")],
         F.date_format("last_completed", "yyyy-MM-dd HH:mm:ss").alias("last_completed"))
 

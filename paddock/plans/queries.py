@@ -404,8 +404,11 @@ def q_sale_search(c: Context):
 
 
 @register("queue_stats", O.with_() + """
-SELECT s.sale_id, coalesce(q.completed, 0) AS completed, coalesce(q.in_queue, 0) AS in_queue,
-  coalesce(q.failed, 0) AS failed, coalesce(q.postponed, 0) AS postponed,
+SELECT s.sale_id,
+  CASE WHEN q.sale_id IS NOT NULL THEN coalesce(q.completed, 0) END AS completed,
+  CASE WHEN q.sale_id IS NOT NULL THEN coalesce(q.in_queue, 0) END AS in_queue,
+  CASE WHEN q.sale_id IS NOT NULL THEN coalesce(q.failed, 0) END AS failed,
+  CASE WHEN q.sale_id IS NOT NULL THEN coalesce(q.postponed, 0) END AS postponed,
   strftime(q.last_completed, '%Y-%m-%d %H:%M:%S') AS last_completed
 FROM sales s LEFT JOIN report_queue q ON q.sale_id = s.sale_id""")
 def q_queue_stats(c: Context):
