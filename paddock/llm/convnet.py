@@ -111,7 +111,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
     weight = np.sqrt(weight)
     owner, begin, end = cut(offsets)
     first = np.searchsorted(owner, np.arange(len(y) + 1))
-    padded = np.zeros(len(data) + WIDTH + 1, np.int64)
+    padded = np.zeros(len(data) + WIDTH + 1, np.uint8)
     padded[: len(data)] = data
     t = 0
     for epoch in range(epochs):
@@ -153,7 +153,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
                 m += 0.1 * (grad[k] - m)
                 s += 0.01 * (grad[k] ** 2 - s)
                 v -= lr * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
-    mean, least = net.texts(data, offsets, net.pair_tables())
+    pairs = net.pair_tables()
+    mean, least = (np.concatenate(x) for x in zip(*(net.texts(d, o, pairs) for _, _, d, o in L.chunks(data, offsets))))
     held = fold == 0 if (fold == 0).any() and y[fold == 0].min() != y[fold == 0].max() else np.ones(len(y), bool)
     net.mix = combine(mean[held], least[held], y[held])
     return net

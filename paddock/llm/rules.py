@@ -2,7 +2,7 @@
 
 The counts are exact (``base``). The regression sees four families of hashed features - words, word pairs, and byte
 windows of 3 and 5 - each as shares of its family, so the logit is a sum of mean weights. It is fitted by AdaGrad on a
-bounded labelled sample (``learn.SAMPLE_ROWS``), its probability calibrated by Platt scaling on a fold it was not fitted
+bounded labelled sample (``SAMPLE_ROWS``), its probability calibrated by Platt scaling on a fold it was not fitted
 on, and whole texts are scored in Arrow batches against fixed thresholds.
 
 Null and empty texts have zero counts and fail the base rules (fewer than MIN_WORDS words). Without labelled rows of both
@@ -22,6 +22,7 @@ BITS = 18
 WINDOW = 8            # words of a window that counts as repeated
 MIN_WORDS = 20
 MAX_REPEATED = 30     # percent of words in repeated windows
+SAMPLE_ROWS = 2048    # labelled rows that the fit sees at most
 THRESHOLD = 0.5       # calibrated probability of good quality below which the method rejects
 BYTE_WINDOWS = (3, 5)
 SCALE = 8.0
@@ -105,11 +106,16 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
         return Model(weights, 30.0)
     n = len(y)
     rows = []  # per family: distinct (text, feature) with their share
-    for owner, feature in features(data, offsets):
-        key, count = np.unique((owner << BITS) | feature, return_counts=True)
-        text_of = key >> BITS
-        share = SCALE * count / np.maximum(np.bincount(owner, minlength=n), 1)[text_of]
-        rows.append((np.searchsorted(text_of, np.arange(n + 1)), key & ((1 << BITS) - 1), share.astype(np.float32)))
+    parts: list[list] = [[] for _ in range(families)]
+    for a, b, d, o in L.chunks(data, offsets):
+        for part, (owner, feature) in zip(parts, features(d, o)):
+            key, count = np.unique((owner << BITS) | feature, return_counts=True)
+            text_of = key >> BITS
+            share = SCALE * count / np.maximum(np.bincount(owner, minlength=b - a), 1)[text_of]
+            part.append((np.bincount(text_of, minlength=b - a), (key & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)))
+    for part in parts:
+        size, feature, share = (np.concatenate(x) for x in zip(*part))
+        rows.append((np.concatenate([[0], np.cumsum(size)]), feature, share))
     rng, squares = np.random.RandomState(seed), np.full(weights.shape, 1e-3, np.float32)
     bias, bias2, use = 1.0, 1e-2, np.flatnonzero(fold > 1)
     for _ in range(epochs):
@@ -134,12 +140,13 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
     model = Model(weights, float(bias))
     held = fold <= 1
     if held.any() and y[held].min() != y[held].max():
-        model.a, model.b = L.platt(model.logits(data, offsets)[held], y[held])
+        z = np.concatenate([model.logits(d, o) for _, _, d, o in L.chunks(data, offsets)])
+        model.a, model.b = L.platt(z[held], y[held])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*L.collect_sample(L.labelled_sample(docs, labels, "quality")))
+    return fit(*L.collect_sample(L.labelled_sample(docs, labels, "quality", rows=SAMPLE_ROWS)))
 
 
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

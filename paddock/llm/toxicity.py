@@ -67,7 +67,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, bits: int = BITS,
     n = len(offsets) - 1
     if not n or y.min() == y.max():
         return Model(w0, w, np.zeros_like(v))
-    owner, term = terms(data, offsets, bits)
+    parts = [(a + owner, term.astype(np.int32)) for a, _, d, o in L.chunks(data, offsets) for owner, term in [terms(d, o, bits)]]
+    owner, term = (np.concatenate(x) for x in zip(*parts))
     # a term seen in one sampled text says nothing about others
     seen = np.bincount(term, minlength=1 << bits)
     owner, term = owner[seen[term] > 1], term[seen[term] > 1]
