@@ -43,6 +43,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Places(dict):
+    """The place of a word among the distinct words, in order of first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class Table:
     """The rank table of a vocabulary as SQL literals: pairs of ids, single bytes, whole words, pieces."""
 
@@ -148,7 +156,7 @@ def blocks(docs: DataFrame, key: str, pattern: str, block_bytes: int = BLOCK_BYT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
-        keys, sizes, codes, place, seen = [], [], array("i"), {}, 0
+        keys, sizes, codes, place, seen = [], [], array("i"), Places(), 0
 
         def row() -> pa.RecordBatch:
             words = [w.encode() for w in place]
@@ -163,13 +171,13 @@ def blocks(docs: DataFrame, key: str, pattern: str, block_bytes: int = BLOCK_BYT
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 found = split(text)
-                codes.extend([place.setdefault(w, len(place)) for w in found])
+                codes.extend(map(place.__getitem__, found))
                 keys.append(k)
                 sizes.append(len(found))
                 seen += len(text)
                 if seen >= block_bytes:
                     yield row()
-                    keys, sizes, codes, place, seen = [], [], array("i"), {}, 0
+                    keys, sizes, codes, place, seen = [], [], array("i"), Places(), 0
         if keys:
             yield row()
 
