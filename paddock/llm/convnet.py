@@ -178,17 +178,27 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int | None = MODULUS, hel
     return fit(*L.collect_sample(L.labelled_sample(docs, labels, "quality", modulus, held, rows=SAMPLE_ROWS)))
 
 
-def quality(docs: DataFrame, net: Net, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id by default), score and predicted for every row of docs."""
+def scored(docs: DataFrame, net: Net, keep: list[str], name: str = "score") -> DataFrame:
+    """The ``keep`` columns of every row of docs, and its score under ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast((net, net.pair_tables()))
 
     def score(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        return {"score": shared.value[0].score(data, offsets, shared.value[1])}
+        return {name: shared.value[0].score(data, offsets, shared.value[1])}
 
-    out = L.map_text(docs, [F.col(c) for c in keep or ["doc_id"]], "score double", score)
+    return L.map_text(docs, [F.col(c) for c in keep], f"{name} double", score)
+
+
+def quality(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted for every row of docs."""
+    out = scored(docs, net, ["doc_id"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, with their own columns."""
+    return scored(docs, net, docs.columns, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+
+
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

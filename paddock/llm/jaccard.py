@@ -196,5 +196,12 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs with one row of each class: that of the least doc_id. Rows without an id, and without words, stay."""
+    kept = classes(docs, words, percent).where("component_id = doc_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm import text as T
+from paddock.packaging import ship_package
 
 # Training bounds. Models are fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of the id, each of at
 # most SAMPLE_BYTES bytes; scoring always covers every row and every byte.
@@ -59,7 +60,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small."""
+    """Arrow batches of few rows, so that a batch of long texts stays small; the tasks get this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -32,7 +32,7 @@ from paddock.llm.store import stored
 CAPACITY = 2048
 END = 0               # id after each document
 NODES = 3000          # of the search for one filling; beyond it the incumbent is taken
-BUCKET = 20_000       # pieces of one length that one task numbers
+BUCKET = 2000         # pieces of one length that one task numbers
 
 
 def byte_level_ranks(path: str) -> dict[bytes, int]:

@@ -256,15 +256,16 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYT
     return fit([t for _, _, t in got])
 
 
-def scan(docs: DataFrame, field: Field) -> DataFrame:
-    """Every row of docs with ``spans array<struct<kind, start, end>>``, base and added ones, ordered."""
+def scan(docs: DataFrame, field: Field, out_name: str = "spans") -> DataFrame:
+    """Every row of docs with ``out_name array<struct<kind, start, end>>``, base and added spans, ordered."""
     spark = docs.sparkSession
     L.small_batches(spark)
     shared = spark.sparkContext.broadcast(field)
     inner = docs.withColumn("__text", F.col("text"))
-    schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias("spans")).schema
+    schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias(out_name)).schema
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    width = len(docs.columns)
+    names = [*docs.columns, out_name]
+    width = len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +283,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                             if all(y <= s or e <= x for s, _, e in found):
                                 found.append((x, 3, y))
                     out.append([{"kind": KINDS[k_], "start": s, "end": e} for s, k_, e in sorted(found)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, span)], names=[*docs.columns, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, span)], names=names)
 
     return inner.mapInArrow(run, schema)
 
@@ -297,13 +298,14 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, field: Field, mask: str = "[secret]") -> DataFrame:
     """docs with every span of ``text`` replaced by the mask (overlapping spans by one), and n_chars of the new text."""
-    pieces = """aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out',
+    pieces = """aggregate(__spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out',
         concat(s.out, if(x.start >= s.at, concat(substring(text, s.at + 1, x.start - s.at), '{m}'), '')))),
         s -> concat(s.out, substring(text, s.at + 1, 2147483647)))""".format(m=mask.replace("'", "\\'"))
-    out = scan(docs, field).withColumn("text", F.when(F.size("spans") > 0, F.expr(pieces)).otherwise(F.col("text")))
+    found = F.size("__spans") > 0
+    out = scan(docs, field, "__spans").withColumn("text", F.when(found, F.expr(pieces)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("spans")
+        out = out.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("__spans")
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:

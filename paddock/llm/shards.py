@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm.store import stored
+from paddock.packaging import ship_package
 
 SHARDS = 16
 LARGE = 1024          # a group above this share of all bytes is scheduled on the driver
@@ -42,6 +43,7 @@ def least_loaded(sizes: list[int], loads: list[float], turn: int = 0) -> list[in
 def schedule(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(key, shard) of all groups (key, bytes)."""
     spark = groups.sparkSession
+    ship_package(spark)
     total = groups.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
     if not total["n"]:
         return groups.select("key", F.lit(0).alias("shard"))
