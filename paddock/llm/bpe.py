@@ -205,7 +205,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "
         for batch in batches:
             for b in range(batch.num_rows):
                 keys, sizes, codes, words, ids, texts = (c[b] for c in batch.columns)
-                flat = ids.values.values.to_numpy(zero_copy_only=False).astype("<u4")
+                flat = ids.values.flatten().to_numpy(zero_copy_only=False).astype("<u4")
                 first = ids.values.offsets.to_numpy() - ids.values.offsets[0].as_py()
                 id_bytes = [flat[a:z].tobytes() for a, z in zip(first[:-1], first[1:])]
                 text_bytes = texts.values.to_pylist()
