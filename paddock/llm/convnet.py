@@ -65,7 +65,7 @@ class Net:
         a = 0
         while a < len(begin):
             b = min(len(begin), max(a + 1, int(np.searchsorted(end, begin[a] + BLOCK, "right"))))
-            lo, hi = int(begin[a]), max(int(end[b - 1]), int(begin[a]) + 1)
+            lo, hi = int(begin[a]), max(int(end[b - 1]), int(begin[b - 1]) + 1)
             out = pairs[0][pair[lo:hi]]
             for k in range(1, WIDTH // 2):
                 out += pairs[k][pair[lo + 2 * k : hi + 2 * k]]
@@ -99,7 +99,7 @@ class Net:
         return L.sigmoid(self.mix[0] * mean + self.mix[1] * least + self.mix[2])
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray, epochs: int = 7, batch: int = 192,
+def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray, steps: int = 200, batch: int = 192,
         rate: float = 6e-3, seed: int = 3) -> Net:
     """Adam on the logistic loss of the mean chunk logit; classes weigh equally. Fold 0 calibrates the combination."""
     net, rng = Net(seed), np.random.RandomState(seed)
@@ -107,6 +107,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
         return net
     grads = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     use = np.flatnonzero(fold != 0)
+    batch = int(np.clip(len(use) // 12, 16, batch))
+    epochs = max(4, -(-steps * batch // len(use))) if len(use) else 0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     weight = np.sqrt(weight)
     owner, begin, end = cut(offsets)
