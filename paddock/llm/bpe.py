@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm import learn as L
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 LONG = 96
 SLOTS = 524_287       # of the rank table; prime
 NONE = 131_071
