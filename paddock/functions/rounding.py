@@ -5,8 +5,9 @@ ties, so each has its own name:
 
 * ``np_round(x, d)``   numpy's ``np.round``: scale by 10**d, round half to even
   on the scaled binary value (``rint``), scale back. Used by feature code.
-* ``py_round(x, d)``   Python's ``round``: half-even on the exact binary value,
-  which is what ``bround`` does. Used by sale statistics and summaries.
+* ``py_round(x, d)``   Python's ``round``: half-even on the exact binary value
+  (``bround`` ties on the decimal text instead: 2.675 is below the tie, 2.45 above
+  it). Used by sale statistics and summaries.
 * ``price_round(x)``   ``np.round(x, -2)``: nearest hundred, via ``rint``.
 """
 
@@ -29,7 +30,22 @@ def price_round(x: Column) -> Column:
 
 
 def py_round(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
+    """The scaled value p = x * 10**d is rounded to a double, so it can fall on a tie
+    k + 1/2 that x * 10**d misses. Rounding is monotonic, so only then the exact product
+    matters, and its sign beside p is that of the product's error term (two-product by
+    splitting both factors into halves of 26 bits)."""
+    x = x.cast("double")
+    f = float(10 ** digits)
+    split = F.lit(134217729.0)                       # 2**27 + 1
+    high = split * x - (split * x - x)
+    f_high = 134217729.0 * f - (134217729.0 * f - f)
+    low, f_low = x - high, f - f_high
+    p = x * F.lit(f)
+    error = ((high * F.lit(f_high) - p) + high * F.lit(f_low) + low * F.lit(f_high)) + low * F.lit(f_low)
+    floor = F.floor(p).cast("double")
+    tie = (p - floor == F.lit(0.5)) & (error != 0)
+    whole = F.when(tie, F.when(error > 0, floor + 1).otherwise(floor)).otherwise(F.rint(p))
+    return F.when(F.abs(p) < F.lit(2.0 ** 52), whole / F.lit(f) + F.lit(0.0)).otherwise(x)
 
 
 def truthy_round(x: Column, digits: int) -> Column:

@@ -38,13 +38,13 @@ def ratio(a: str, b: str) -> float:
 
 def min_overlap(n: int, threshold: float) -> int:
     """Smallest character overlap any partner with ratio >= threshold can have."""
-    t = Fraction(threshold).limit_denominator(10_000)
-    return math.ceil(t / (2 - t) * n)
+    p, d = overlap_fraction(threshold)
+    return -(-p * n // d)
 
 
 def overlap_fraction(threshold: float) -> tuple[int, int]:
     """(p, d) with min_overlap(n) = ceil(p * n / d), for exact integer arithmetic."""
-    t = Fraction(threshold).limit_denominator(10_000)
+    t = Fraction(math.floor(Fraction(threshold) * 10_000), 10_000)  # down: a lower bound loses no pair
     f = t / (2 - t)
     return f.numerator, f.denominator
 

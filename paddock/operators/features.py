@@ -33,27 +33,19 @@ def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scop
     return sire, dam, vendor
 
 
-# Assemble on a narrow key frame and join the wide lot rows back once (by lot_id),
-# instead of shuffling the wide rows once per block key.
-NARROW_ASSEMBLY = True
-
-
 def assemble(base: DataFrame, medians: DataFrame, sire: DataFrame, dam: DataFrame, vendor: DataFrame,
              with_deltas: bool = True) -> DataFrame:
-    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block."""
-    if NARROW_ASSEMBLY:
-        keys = base.select("lot_id", "country_code", "sale_date", "sire_id", "dam_id", "vendor_id")
-        blocks = (keys.join(sire, KEYS + ["sire_id"], "left")
-                  .join(dam, KEYS + ["dam_id"], "left")
-                  .join(vendor, KEYS + ["vendor_id"], "left")
-                  .drop("country_code", "sale_date", "sire_id", "dam_id", "vendor_id"))
-        f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
-             .join(blocks, "lot_id", "left"))
-    else:
-        f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
-             .join(sire, KEYS + ["sire_id"], "left")
-             .join(dam, KEYS + ["dam_id"], "left")
-             .join(vendor, KEYS + ["vendor_id"], "left"))
+    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block.
+
+    The blocks meet on a narrow key frame, which joins the wide lot rows once (by lot_id).
+    """
+    keys = base.select("lot_id", "country_code", "sale_date", "sire_id", "dam_id", "vendor_id")
+    blocks = (keys.join(sire, KEYS + ["sire_id"], "left")
+              .join(dam, KEYS + ["dam_id"], "left")
+              .join(vendor, KEYS + ["vendor_id"], "left")
+              .drop("country_code", "sale_date", "sire_id", "dam_id", "vendor_id"))
+    f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
+         .join(blocks, "lot_id", "left"))
     if with_deltas:
         m = F.col("session_median_price")
         f = (f.withColumn("sire_vs_sale_median_delta", F.col("sire_median_price_36m") - m)
@@ -124,6 +116,11 @@ def apply_label_encoder(frame: DataFrame, encoder: DataFrame, group_cols: list[s
     return out
 
 
+def _number(c: str):
+    """The column as a number: NULL, NaN and text that is no number count as 0."""
+    return F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def model_matrix(frame: DataFrame, feature_cols: list[str] = tuple(S.FEATURE_COLS),
                  keep: list[str] = ()) -> DataFrame:
     """M2 + P12/P13: ordered numeric feature columns, NULL/absent/non-numeric -> 0."""
@@ -131,9 +128,9 @@ def model_matrix(frame: DataFrame, feature_cols: list[str] = tuple(S.FEATURE_COL
     cols = [F.col(c) for c in keep if c in have]
     for c in feature_cols:
         if c in have:
-            v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+            v = _number(c)
         elif c.startswith("log_") and c[4:] in have:
-            v = F.log1p(F.coalesce(F.col(c[4:]).cast("double"), F.lit(0.0)))
+            v = F.log1p(_number(c[4:]))
         else:
             v = F.lit(0.0)
         cols.append(v.alias(c))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.similarity import char_tokens_udf, name_ratio, overlap_fraction
+from paddock.packaging import ship_package
 from paddock.session import shared_dir
 from paddock.operators.salestats import sale_stats, yoy_change
 
@@ -45,6 +46,7 @@ def name_pairs(sales: DataFrame, min_back: int, max_back: int, threshold: float
     Candidates come from the prefix-token similarity join (exact, see
     ``functions.similarity``), then a length filter, then the exact ratio.
     """
+    ship_package(sales.sparkSession)
     names = _sales(sales).select("company_id", "year", "lname").distinct()
     tok = prefix_tokens(names, threshold)
     a, b = tok.alias("a"), tok.alias("b")
@@ -111,10 +113,9 @@ def prior_year_block(sales: DataFrame, lot_rows: DataFrame, mode: str = "fuzzy",
 def history_block(sales: DataFrame, lot_rows: DataFrame, years: int, mode: str = "fuzzy",
                   threshold: float = 0.75) -> DataFrame:
     """Per (sale, matched year): ordered id/name/type lists and pooled stats; ``years=0`` disables."""
-    if years <= 0:
-        return sales.sparkSession.createDataFrame([], "sale_id long, year int")
     shared_dir(sales.sparkSession)
-    m = matches(sales, 1, years, mode, threshold).checkpoint()
+    m = matches(sales, 1, max(years, 1), mode, threshold)
+    m = m.checkpoint() if years > 0 else m.where(F.lit(False))
     ordered = F.array_sort(F.collect_list(F.struct("match_start_date", "match_sale_id", "match_sale_name",
                                                    "match_sale_type_id")))
     meta = m.groupBy("sale_id", F.col("match_year").alias("year")).agg(

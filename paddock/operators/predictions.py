@@ -8,7 +8,7 @@ parquet tables cannot be rewritten while being read).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.rounding import py_round
@@ -17,62 +17,81 @@ STORE_COLS = ["market_value", "market_value_low", "market_value_high", "market_v
               "confidence", "session_median_price"]
 
 
-def batch_rows(scored: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Scored lots -> store rows; duplicate keys keep the last row by ``order_col``."""
+AUDIT_COLS = ["created_by", "created_on", "modified_by", "modified_on"]
+
+
+def batch_rows(scored: DataFrame, order_col: str = "lot_id") -> DataFrame:
+    """Scored lots -> store rows, one for each key: the last by ``order_col`` (X17); ``batch_rows`` counts them."""
+    keys = ["horse_id", "sale_id"]
     rows = scored.select(
-        "horse_id", "sale_id", "country_code",
+        *keys, "country_code",
         F.col("mv_expected_price").alias("market_value"),
         F.col("mv_low_price").alias("market_value_low"),
         F.col("mv_high_price").alias("market_value_high"),
         F.col("mv_expected_index").alias("market_value_multiplier"),
         F.col("mv_confidence_tier").alias("confidence"),
-        "session_median_price",
-        *([order_col] if order_col else []))
-    if order_col:
-        w = Window.partitionBy("horse_id", "sale_id").orderBy(F.col(order_col).desc())
-        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", order_col)
-    return rows
+        "session_median_price", F.col(order_col).alias("_order"))
+    value = F.struct("_order", *[c for c in rows.columns if c not in (*keys, "_order")])
+    last = rows.groupBy(*keys).agg(F.max(value).alias("_v"), F.count(F.lit(1)).alias("batch_rows"))
+    return last.select(*keys, "_v.*", "batch_rows").drop("_order")
 
 
-def upsert(store: DataFrame, batch: DataFrame, regions: DataFrame, audit_user_id: int) -> DataFrame:
+def upsert(store: DataFrame, batch: DataFrame, regions: DataFrame, audit_user_id: int, run_ts: str) -> DataFrame:
     """The next store snapshot, each row tagged insert / update / keep.
 
-    New values come with the region's currency and the audit user.
+    New values come with the region's currency and the audit user and time; a kept row keeps its own, and every
+    other column of the store is carried along.
     """
+    keys = ["horse_id", "sale_id"]
     cur = F.broadcast(regions.select("country_code", F.col("currency_id").alias("_cur")))
     b = batch.join(cur, "country_code", "left").select(
-        "horse_id", "sale_id", *[F.col(c).alias(f"n_{c}") for c in STORE_COLS], F.col("_cur").alias("n_currency_id"))
-    s = store.select("horse_id", "sale_id", *[F.col(c).alias(f"o_{c}") for c in STORE_COLS],
-                     F.col("currency_id").alias("o_currency_id"), F.lit(True).alias("_old"))
-    j = s.join(b.withColumn("_new", F.lit(True)), ["horse_id", "sale_id"], "full_outer")
+        *keys, *[F.col(c).alias(f"n_{c}") for c in STORE_COLS], F.col("_cur").alias("n_currency_id"), "batch_rows")
+    audit = [c for c in AUDIT_COLS if c in store.columns]
+    more = [c for c in store.columns if c not in (*keys, *STORE_COLS, "currency_id", *AUDIT_COLS)]
+    s = store.select(*keys, *[F.col(c).alias(f"o_{c}") for c in (*STORE_COLS, "currency_id", *audit)], *more,
+                     F.lit(True).alias("_old"))
+    j = s.join(b.withColumn("_new", F.lit(True)), keys, "full_outer")
     new, old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
     action = F.when(new & old, "update").when(new, "insert").otherwise("keep")
-    cols = [F.when(new, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in STORE_COLS]
-    return j.select("horse_id", "sale_id", *cols,
-                    F.when(new, F.col("n_currency_id")).otherwise(F.col("o_currency_id")).alias("currency_id"),
-                    F.when(new, F.lit(audit_user_id)).alias("modified_by"),
-                    action.alias("action"))
+    cols = [F.when(new, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in (*STORE_COLS, "currency_id")]
+    stored = {c: F.col(f"o_{c}") if c in audit else F.lit(None) for c in AUDIT_COLS}
+    user, now = F.lit(audit_user_id).cast("long"), F.lit(run_ts)
+    return j.select(*keys, *cols, *more,
+                    F.when(old, stored["created_by"]).otherwise(user).alias("created_by"),
+                    F.when(old, stored["created_on"]).otherwise(now).alias("created_on"),
+                    F.when(new, user).otherwise(stored["modified_by"]).alias("modified_by"),
+                    F.when(new, now).otherwise(stored["modified_on"]).alias("modified_on"),
+                    action.alias("action"), F.coalesce("batch_rows", F.lit(0)).alias("batch_rows"))
 
 
 def upsert_counts(snapshot: DataFrame) -> DataFrame:
-    """(inserted, updated) per sale."""
+    """(inserted, updated) per sale. Of several batch rows of one new key the first inserts, the others update."""
+    inserted = F.sum(F.when(F.col("action") == "insert", 1).otherwise(0)).cast("long")
     return snapshot.where(F.col("action") != "keep").groupBy("sale_id").agg(
-        F.sum(F.when(F.col("action") == "insert", 1).otherwise(0)).cast("long").alias("inserted"),
-        F.sum(F.when(F.col("action") == "update", 1).otherwise(0)).cast("long").alias("updated"))
+        inserted.alias("inserted"), (F.sum("batch_rows") - inserted).cast("long").alias("updated"))
+
+
+def rejected(selection: DataFrame, scored: DataFrame) -> DataFrame:
+    """The selected (sale_id, lot_id) that can't be committed: without a score, or scored under another sale."""
+    found = scored.select("lot_id", F.col("sale_id").alias("_scored_sale"))
+    j = selection.select("sale_id", "lot_id").join(found, "lot_id", "left")
+    reason = F.when(F.col("_scored_sale").isNull(), "not scored").when(F.col("_scored_sale") != F.col("sale_id"), "other sale")
+    return j.select("sale_id", "lot_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def commit(store: DataFrame, scored: DataFrame, selection: DataFrame, regions: DataFrame,
-           audit_user_id: int) -> DataFrame:
-    """Commit only the selected lots, each of which must belong to its sale.
+           audit_user_id: int, run_ts: str) -> DataFrame:
+    """The counts per sale of committing the selected lots.
 
-    ``selection`` is (sale_id, lot_id) as requested for that sale. A selected
-    lot scored under another sale is an error, as in the source.
+    ``selection`` is (sale_id, lot_id) as requested for that sale. A selected lot without a score, or scored under
+    another sale, is an error as in the source, raised when its row is computed; ``rejected`` lists such rows.
     """
-    chosen = scored.join(selection.select("lot_id", F.col("sale_id").alias("_path_sale")), "lot_id")
-    bad = chosen.where(F.col("sale_id") != F.col("_path_sale")).limit(1).count()
-    if bad:
-        raise ValueError("a committed lot does not belong to the sale it was committed for")
-    snap = upsert(store, batch_rows(chosen.drop("_path_sale")), regions, audit_user_id)
+    j = selection.select(F.col("sale_id").alias("_path_sale"), "lot_id").join(scored, "lot_id", "left")
+    fits = F.coalesce(F.col("sale_id") == F.col("_path_sale"), F.lit(False))
+    error = F.raise_error(F.concat(F.lit("a committed lot does not belong to the sale it was committed for, or has no score: lot "),
+                                   F.col("lot_id").cast("string")))
+    chosen = j.withColumn("sale_id", F.when(fits, F.col("sale_id")).otherwise(error.cast("long"))).drop("_path_sale")
+    snap = upsert(store, batch_rows(chosen), regions, audit_user_id, run_ts)
     c = upsert_counts(snap)
     return c.withColumn("total", F.col("inserted") + F.col("updated"))
 
@@ -133,5 +152,5 @@ def write_snapshot(snapshot: DataFrame, store_root: str, version: int) -> str:
     points readers at the newest complete version.
     """
     path = f"{store_root.rstrip('/')}/v={version}"
-    snapshot.drop("action").write.mode("errorifexists").parquet(path)
+    snapshot.drop("action", "batch_rows").write.mode("errorifexists").parquet(path)
     return path

@@ -96,11 +96,13 @@ ACTIVITY_SCHEMA = T.StructType([
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """JSONL activity log; malformed lines are kept aside, not fatal.
 
-    Adds ``line_no`` (file order) so "the last N" is well defined.
+    Adds ``line_no`` (file name, place of the split in the file, line) so "the last N" is well defined.
     """
     df = (spark.read.schema(ACTIVITY_SCHEMA).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return df.withColumn("line_no", F.monotonically_increasing_id()).cache()
+    return df.withColumn("line_no", F.struct(F.col("_metadata.file_name").alias("file"),
+                                             F.col("_metadata.file_block_start").alias("block"),
+                                             F.monotonically_increasing_id().alias("line")))
 
 
 def recent_activity(log: DataFrame, limit: int = 50, category: str | None = None,

@@ -9,8 +9,8 @@ Scale notes: a group can hold a third of all lots, so every statistic is
 partial-aggregating (sums, min/max, ``stddev_samp``, ``percentile`` maps) and
 the top-10 uses a ``row_number() <= 10`` filter, which Spark turns into a
 map-side ``WindowGroupLimit`` (each map task keeps its local top 10 per group
-before the shuffle). The membership table is a set of sale pairs (bounded by
-sales, not lots) and is broadcast only after its row count is checked.
+before the shuffle). How the membership table (pairs of sales) is joined is left
+to the measured sizes.
 """
 
 from __future__ import annotations
@@ -23,19 +23,6 @@ from paddock.functions.rounding import py_round, truthy_round
 from paddock.operators.lots import not_withdrawn, upcoming_label
 from paddock.settings import Settings
 
-MEMBERSHIP_BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven below ``max_rows``.
-
-    Counting stops at ``max_rows + 1`` rows; above the bound the join stays a
-    shuffle join (and AQE may still convert it from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _sold(c_price="price", c_wd="is_withdrawn", c_pi="is_passed_in") -> Column:
     return (F.col(c_price) > 0) & not_withdrawn(F.col(c_wd)) & not_withdrawn(F.col(c_pi))
 
@@ -48,8 +35,7 @@ def _pooled(lot_rows: DataFrame, membership: DataFrame | None, group_cols: list[
     rows = lot_rows.select("sale_id", "price", "is_withdrawn", "is_passed_in")
     if membership is None:
         return rows.withColumnRenamed("sale_id", group_cols[0]) if group_cols != ["sale_id"] else rows
-    m = checked_broadcast(membership.select(*group_cols, "sale_id").distinct(), MEMBERSHIP_BROADCAST_MAX_ROWS)
-    return rows.join(m, "sale_id")
+    return rows.join(membership.select(*group_cols, "sale_id").distinct(), "sale_id")
 
 
 def lot_stats_aggs() -> list[Column]:
@@ -99,16 +85,22 @@ def top10_avg(pooled: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def sale_stats(lot_rows: DataFrame, membership: DataFrame | None = None,
-               group_cols: list[str] = ("sale_id",)) -> DataFrame:
+               group_cols: list[str] = ("sale_id",), every: DataFrame | None = None) -> DataFrame:
     """A11-A16 for each group: lot counts, clearance, price block (NULL when nothing sold).
 
     Rounding follows the source: Python ``round`` (half-even on the binary
-    value, i.e. ``bround``), and a zero gross/avg/... becomes NULL.
+    value), and a zero gross/avg/... becomes NULL. ``every`` holds groups that get a
+    row of zeros when they have no lots; with a membership, its groups do.
     """
     group_cols = list(group_cols)
     pooled = _pooled(lot_rows, membership, group_cols)
     g = pooled.groupBy(*group_cols).agg(*lot_stats_aggs(), *price_aggs())
     g = g.join(top10_avg(pooled, group_cols), group_cols, "left")
+    if every is None and membership is not None:
+        every = membership
+    if every is not None:
+        g = every.select(*group_cols).distinct().join(g, group_cols, "left").fillna(
+            0, ["total_lots", "withdrawn_count", "passed_in_count", "sold_count"])
     eligible = F.col("total_lots") - F.col("withdrawn_count")
     has = F.col("sold_count") > 0
     q = F.col("_q")
@@ -162,7 +154,8 @@ def sale_search(q: str, sales: DataFrame, companies: DataFrame, countries: DataF
             .select("sale_id", "sale_name", F.col("start_date").alias("sale_date"), "country_code",
                     "currency_code", F.col("company_name").alias("sale_company"),
                     F.coalesce(F.col("lot_count"), F.lit(0)).alias("lot_count"),
-                    upcoming_label(F.col("start_date"), settings).alias("status")))
+                    upcoming_label(F.col("start_date"), settings).alias("status"))
+            .orderBy(F.col("sale_date").desc(), F.col("sale_id").desc()))
 
 
 def queue_stats(sales: DataFrame, queue: DataFrame) -> DataFrame:

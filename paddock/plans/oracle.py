@@ -267,7 +267,10 @@ BATCH = """
     CASE WHEN b.horse_id IS NOT NULL THEN b.session_median_price ELSE p.session_median_price END
       AS session_median_price,
     CASE WHEN b.horse_id IS NOT NULL THEN b.currency_id ELSE p.currency_id END AS currency_id,
-    CASE WHEN b.horse_id IS NOT NULL THEN {audit} END AS modified_by,
+    CASE WHEN p.horse_id IS NOT NULL THEN p.created_by ELSE {audit} END AS created_by,
+    CASE WHEN p.horse_id IS NOT NULL THEN p.created_on ELSE '{run}' END AS created_on,
+    CASE WHEN b.horse_id IS NOT NULL THEN {audit} ELSE p.modified_by END AS modified_by,
+    CASE WHEN b.horse_id IS NOT NULL THEN '{run}' ELSE p.modified_on END AS modified_on,
     CASE WHEN b.horse_id IS NOT NULL AND p.horse_id IS NOT NULL THEN 'update'
          WHEN b.horse_id IS NOT NULL THEN 'insert' ELSE 'keep' END AS action
   FROM predictions p FULL OUTER JOIN batch b ON p.horse_id = b.horse_id AND p.sale_id = b.sale_id)
@@ -283,8 +286,9 @@ def truthy2(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND {x} <> 0 THEN round_even({x}, 2) END"
 
 
-def stats_sql(pooled: str, groups: list[str], prefix: str = "st") -> str:
-    """CTEs ``{prefix}`` with A11-A16 per group over CTE ``pooled`` (groups..., price, flags)."""
+def stats_sql(pooled: str, groups: list[str], prefix: str = "st", every: str = "") -> str:
+    """CTEs ``{prefix}`` with A11-A16 per group over CTE ``pooled`` (groups..., price, flags); ``every`` selects
+    groups that get a row even without lots."""
     g = ", ".join(groups)
     band = lambda lo, hi: (f"CAST(sum(CASE WHEN {SOLD} " + (f"AND price >= {lo} " if lo else "")
                            + (f"AND price < {hi} " if hi else "") + "THEN 1 ELSE 0 END) AS BIGINT)")
@@ -307,7 +311,10 @@ def stats_sql(pooled: str, groups: list[str], prefix: str = "st") -> str:
 , {prefix}_t AS (SELECT {g}, avg(price) AS _top10 FROM (
     SELECT {g}, price, row_number() OVER (PARTITION BY {g} ORDER BY price DESC) AS rn
     FROM {pooled} WHERE {SOLD}) x WHERE rn <= 10 GROUP BY {g})
-, {prefix} AS (SELECT {', '.join('a.' + c for c in groups)}, total_lots, sold_count, passed_in_count, withdrawn_count,
+, {prefix}_e AS ({every or f"SELECT DISTINCT {g} FROM {pooled}"})
+, {prefix} AS (SELECT {', '.join('e.' + c for c in groups)}, coalesce(total_lots, 0) AS total_lots,
+    coalesce(sold_count, 0) AS sold_count, coalesce(passed_in_count, 0) AS passed_in_count,
+    coalesce(withdrawn_count, 0) AS withdrawn_count,
     CASE WHEN total_lots - withdrawn_count > 0
          THEN round_even(CAST(100.0 AS DOUBLE) * sold_count / (total_lots - withdrawn_count), 1) END AS clearance_rate,
     CASE WHEN sold_count > 0 THEN {truthy2('_gross')} END AS gross,
@@ -325,7 +332,8 @@ def stats_sql(pooled: str, groups: list[str], prefix: str = "st") -> str:
     CASE WHEN sold_count > 0 THEN band_200k_500k END AS band_200k_500k,
     CASE WHEN sold_count > 0 THEN band_500k_1m END AS band_500k_1m,
     CASE WHEN sold_count > 0 THEN over_1m END AS over_1m
-  FROM {prefix}_a a LEFT JOIN {prefix}_t t ON {' AND '.join(f'a.{c} = t.{c}' for c in groups)})
+  FROM {prefix}_e e LEFT JOIN {prefix}_a a ON {' AND '.join(f'a.{c} = e.{c}' for c in groups)}
+  LEFT JOIN {prefix}_t t ON {' AND '.join(f'e.{c} = t.{c}' for c in groups)})
 """
 
 

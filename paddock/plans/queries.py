@@ -23,19 +23,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _unsigned_zero(sql: str) -> str:
-    """Wrap every ``round_even(...)`` as ``(round_even(...) + 0.0)``.
-
-    DuckDB's rounding keeps the sign of a zero (-0.004 -> -0.0) while Spark's
-    ``bround`` returns 0.0; the values are equal, their text is not.
-    """
+def _python_rounding(sql: str) -> str:
+    """``round_even(x, d)`` as SQL: printing with d places rounds the exact binary value, half to even, as Python does;
+    adding 0.0 drops the sign of a zero."""
     out, i, key = [], 0, "round_even("
     while True:
         j = sql.find(key, i)
         if j < 0:
             out.append(sql[i:])
             return "".join(out)
-        depth, k = 0, j + len(key) - 1
+        depth, k, comma = 0, j + len(key) - 1, 0
         while True:
             if sql[k] == "(":
                 depth += 1
@@ -43,9 +40,11 @@ def _unsigned_zero(sql: str) -> str:
                 depth -= 1
                 if depth == 0:
                     break
+            elif sql[k] == "," and depth == 1:
+                comma = k
             k += 1
-        inner = _unsigned_zero(sql[j + len(key):k])
-        out.append(sql[i:j] + "(round_even(" + inner + ") + 0.0)")
+        value, digits = _python_rounding(sql[j + len(key):comma]), sql[comma + 1:k].strip()
+        out.append(f"{sql[i:j]}(CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE) + 0.0)")
         i = k + 1
 
 
@@ -53,7 +52,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Context.of(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = _unsigned_zero(sql)
+            ORACLE[name] = _python_rounding(sql)
         return fn
     return deco
 
@@ -75,8 +74,8 @@ BASE_COLS = ["lot_id", "sale_id", "sale_date", "company_id", "sale_company", "sa
              "horse_name", "sire_name", "price", "sold_flag", "passed_in_flag"]
 
 
-def _base_out(df):
-    return df.select(*BASE_COLS,
+def _base_out(df, *more):
+    return df.select(*more, *BASE_COLS,
                      F.coalesce("is_passed_in", F.lit(0)).alias("is_passed_in"),
                      F.coalesce("is_withdrawn", F.lit(0)).alias("is_withdrawn"))
 
@@ -102,8 +101,7 @@ def q_hist_lots(c: Context):
 @register("training_lots", O.with_() + f"""
 SELECT country_code, {_BASE_SQL_COLS} FROM base WHERE coalesce(is_passed_in, 0) = 0 AND price > 0""")
 def q_training_lots(c: Context):
-    return _base_out(L.training_lots(c.lots, c.settings)).join(
-        c.base.select("lot_id", "country_code"), "lot_id")
+    return _base_out(L.training_lots(c.lots, c.settings), "country_code")
 
 
 @register("training_hist", O.with_() + """
@@ -285,9 +283,13 @@ GROUP BY b.sale_id
 HAVING max(CASE WHEN coalesce(o.session_median_override, own.m) IS NOT NULL
                  AND coalesce(o.session_median_override, own.m) <> 0 THEN 1 ELSE 0 END) = 0""")
 def q_unscorable_sales(c: Context):
-    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), use_prior_year=False)
-    return SC.unscorable_sales(f)
+    med = M.session_median_final(c.base, c.lots, c.t("session_overrides"), False, c.settings.lot_type)
+    return SC.unscorable_sales(c.base.select("sale_id").join(med.select("sale_id", "session_median_price"), "sale_id", "left"))
+
 
+from paddock.settings import FIXTURE_SETTINGS  # noqa: E402
+
+SETTINGS_RUN = str(FIXTURE_SETTINGS.run_ts)
 
 # ------------------------------------------------------------------ predictions
 
@@ -314,19 +316,19 @@ def q_compare_summary(c: Context):
 
 
 UPSERT_COLS = ["horse_id", "sale_id", "market_value", "market_value_low", "market_value_high", "confidence",
-               "session_median_price", "currency_id", "modified_by", "action"]
+               "session_median_price", "currency_id", "created_by", "created_on", "modified_by", "modified_on", "action"]
 
 
-@register("upsert_predictions", O.with_() + O.SCORE + O.BATCH.format(src="scored", audit=2)
+@register("upsert_predictions", O.with_() + O.SCORE + O.BATCH.format(src="scored", audit=2, run=SETTINGS_RUN)
           + f" SELECT {', '.join(UPSERT_COLS)}, round_even(market_value_multiplier, 6) AS market_value_multiplier"
             " FROM snap")
 def q_upsert_predictions(c: Context):
-    snap = PR.upsert(c.t("predictions"), PR.batch_rows(scored_df(c)), c.regions, c.settings.audit_user_id)
+    snap = PR.upsert(c.t("predictions"), PR.batch_rows(scored_df(c)), c.regions, c.settings.audit_user_id, str(c.settings.run_ts))
     return snap.select(*UPSERT_COLS, py_round(F.col("market_value_multiplier"), 6).alias("market_value_multiplier"))
 
 
 @register("commit_lots", O.with_() + O.SCORE + """
-, chosen AS (SELECT * FROM scored WHERE mv_confidence_tier = 'high')""" + O.BATCH.format(src="chosen", audit=2) + """
+, chosen AS (SELECT * FROM scored WHERE mv_confidence_tier = 'high')""" + O.BATCH.format(src="chosen", audit=2, run=SETTINGS_RUN) + """
 SELECT sale_id, CAST(sum(CASE WHEN action = 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
   CAST(sum(CASE WHEN action = 'update' THEN 1 ELSE 0 END) AS BIGINT) AS updated,
   CAST(sum(CASE WHEN action IN ('insert', 'update') THEN 1 ELSE 0 END) AS BIGINT) AS total
@@ -334,17 +336,27 @@ FROM snap WHERE action <> 'keep' GROUP BY sale_id""")
 def q_commit_lots(c: Context):
     s = scored_df(c)
     selection = s.where(F.col("mv_confidence_tier") == "high").select("sale_id", "lot_id")
-    return PR.commit(c.t("predictions"), s, selection, c.regions, c.settings.audit_user_id)
+    return PR.commit(c.t("predictions"), s, selection, c.regions, c.settings.audit_user_id, str(c.settings.run_ts))
+
+
+@register("commit_rejected", O.with_() + O.SCORE + """
+, asked AS (SELECT lot_id, CASE WHEN lot_id % 100 = 0 THEN sale_id + 1 ELSE sale_id END AS sale_id FROM base WHERE lot_id % 5 = 0)
+SELECT a.sale_id, a.lot_id, CASE WHEN s.lot_id IS NULL THEN 'not scored' ELSE 'other sale' END AS reason
+FROM asked a LEFT JOIN scored s ON s.lot_id = a.lot_id WHERE s.lot_id IS NULL OR s.sale_id <> a.sale_id""")
+def q_commit_rejected(c: Context):
+    asked = c.base.where("lot_id % 5 = 0").select(
+        "lot_id", F.when(F.col("lot_id") % 100 == 0, F.col("sale_id") + 1).otherwise(F.col("sale_id")).alias("sale_id"))
+    return PR.rejected(asked, scored_df(c))
 
 
 # ------------------------------------------------------------------ sale statistics
 
 POOLED_ALL = "\n, pooled AS (SELECT sale_id, price, is_withdrawn, is_passed_in FROM lot_rows)\n"
-STATS_ALL = O.with_() + POOLED_ALL + O.stats_sql("pooled", ["sale_id"])
+STATS_ALL = O.with_() + POOLED_ALL + O.stats_sql("pooled", ["sale_id"], every="SELECT sale_id FROM sales")
 
 
 def _stats(c: Context):
-    return ST.sale_stats(c.t("lot_rows"))
+    return ST.sale_stats(c.t("lot_rows"), every=c.t("sales").select("sale_id"))
 
 
 @register("sale_lot_stats", STATS_ALL + """
@@ -663,86 +675,42 @@ def q_calibration(c: Context):
 
 # ------------------------------------------------------------------ trained models (rows-only checks)
 
+from paddock.operators import boosting as BO  # noqa: E402
 from paddock.operators import registry as RG  # noqa: E402
 from paddock.sources.regions import region_dim  # noqa: E402
 
-# Booster settings for the registered training queries: a short run keeps the
-# correctness pass quick; the estimator's own defaults are larger.
-TRAIN_VERSION = 4
-QBT_PARAMS = dict(max_iter=4, lr=0.3, max_depth=4, early_stopping_rounds=2, checkpoint_every=2)
-
-
 def trained(c: Context):
-    """Train every configured country once per input set: metrics, importance, models, encoder.
+    """(baseline, metrics, importance) of every configured country, trained once in this run; also the trees and the encoder.
 
-    Results live below the shared folder (fixture root / derived / trained), so a
-    later session reuses them instead of retraining.
+    Results are tables below the run's own folder: no other session reads them.
     """
     if getattr(c, "_trained", None) is not None:
         return c._trained
-    from paddock.sources.fixture import path_exists
-    spark = c.spark
-    import hashlib
-    tag = hashlib.sha1(repr((TRAIN_VERSION, sorted(QBT_PARAMS.items()), SETTINGS.FEATURE_COLS,
-                             c.settings)).encode()).hexdigest()[:12]
-    root = f"{c.fx.root}/derived/trained_{tag}"
-    if not path_exists(spark, f"{root}/_DONE/_SUCCESS"):
-        _train_and_save(c, root)
-    c._trained = tuple(spark.read.parquet(f"{root}/{n}") for n in ("baseline", "metrics", "importance"))
-    c._encoder = spark.read.parquet(f"{root}/encoder")
-    countries = [r[0] for r in c._trained[1].select("country_code").collect()]
-    c._models = {cc: {q: TR.QuantileBoostedTreesModel.load(f"{root}/models/{cc}/{q}") for q in TR.QUANTILES}
-                 for cc in countries}
+    tf = train_frame(c).checkpoint()
+    c._encoder = c.fx.derived("trained_encoder", lambda: FT.fit_label_encoder(tf))
+    matrix = c.fx.derived("trained_matrix", lambda: _encoded_matrix(c, tf, c._encoder), partition_by="country_code")
+    c._trees = c.fx.derived("trained_trees", lambda: BO.train_boosters(matrix, SETTINGS.FEATURE_COLS))
+    base = c.fx.derived("trained_baseline", lambda: TR.baseline_metrics(
+        matrix, SETTINGS.FEATURE_COLS, [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]))
+    metrics = c.fx.derived("trained_metrics", lambda: _model_metrics(c, matrix, base))
+    model = F.broadcast(c.regions.select("country_code", "model"))
+    importance = c.fx.derived("trained_importance", lambda: BO.importance(c._trees, SETTINGS.FEATURE_COLS).join(
+        model, "country_code", "left"))
+    c._trained = base, metrics, importance
     return c._trained
 
 
-def _train_and_save(c: Context, root: str) -> None:
-    spark = c.spark
-    tf = train_frame(c).checkpoint()
-    encoder = FT.fit_label_encoder(tf).checkpoint()
-    matrix = _encoded_matrix(c, tf, encoder).checkpoint()
-    countries = [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]
-    base = TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS, countries)
-    base_rows = {r["country_code"]: r for r in base.collect()}
-    def one(cc):
-        m = matrix.where(F.col("country_code") == cc)
-        if m.where(F.col("split") == "train").limit(1).count() == 0:
-            return None
-        models = TR.train_quantile_models(m, SETTINGS.FEATURE_COLS, **QBT_PARAMS)
-        for q, mod in models.items():
-            mod.save(f"{root}/models/{cc}/{q}")
-        pred = m.where(F.col("split") == "test")
-        for q, mod in models.items():
-            pred = mod.transform(pred, f"pred_{q}")
-        pred = pred.withColumn("session_median_price", F.exp(F.col("log_session_median_price")) - 1)
-        ev = TR.evaluate(pred).first()
-        cal = TR.calibrate(pred).first()
-        counts = m.groupBy().agg(*[F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(s)
-                                   for s in ("train", "validation", "test")]).first()
-        name = f"{cc.lower()}_v1"
-        b = base_rows.get(cc)
-        row = (cc, name, 1, counts["train"], counts["validation"], counts["test"],
-               b["naive_mae"] if b else None, b["test_mae"] if b else None, b["passes"] if b else None,
-               models["q25"].num_trees, models["q50"].num_trees, models["q75"].num_trees,
-               ev["mae"] if ev else None, ev["rmse"] if ev else None, ev["r2"] if ev else None,
-               ev["raw_coverage_p25"] if ev else None, ev["raw_coverage_p75"] if ev else None,
-               cal["offset_p25"] if cal else None, cal["offset_p75"] if cal else None,
-               cal["calibrated_coverage_p25"] if cal else None,
-               cal["calibrated_coverage_p75"] if cal else None, ev["mape"] if ev else None)
-        imp = [(cc, name, q, f, float(g)) for q, f, g in TR.importance_rows(models, SETTINGS.FEATURE_COLS)]
-        return row, imp
-
-    # countries are independent: their (small) Spark jobs are submitted concurrently
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(len(countries), 8))) as pool:
-        results = [r for r in pool.map(one, countries) if r is not None]
-    metric_rows = [r for r, _ in results]
-    imp_rows = [x for _, imp in results for x in imp]
-    base.write.mode("overwrite").parquet(f"{root}/baseline")
-    spark.createDataFrame(metric_rows, RG.METRICS_SCHEMA).write.mode("overwrite").parquet(f"{root}/metrics")
-    spark.createDataFrame(imp_rows, RG.IMPORTANCE_SCHEMA).write.mode("overwrite").parquet(f"{root}/importance")
-    encoder.write.mode("overwrite").parquet(f"{root}/encoder")
-    spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{root}/_DONE")
+def _model_metrics(c: Context, matrix: DataFrame, base: DataFrame) -> DataFrame:
+    """One row a country, named as the region's configured model."""
+    pred = BO.predict_quantiles(matrix.where(F.col("split") == "test"), c._trees, SETTINGS.FEATURE_COLS)
+    pred = pred.withColumn("session_median_price", F.exp(F.col("log_session_median_price")) - 1).checkpoint()
+    counts = matrix.groupBy("country_code").agg(*[
+        F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(f"{s}_rows") for s in ("train", "validation", "test")])
+    b = base.select("country_code", "naive_mae", F.col("test_mae").alias("baseline_test_mae"), F.col("passes").alias("baseline_passes"))
+    out = (BO.tree_counts(c._trees).join(counts, "country_code").join(F.broadcast(c.regions.select("country_code", "model")), "country_code")
+           .join(b, "country_code", "left").join(TR.evaluate(pred).drop("test_rows"), "country_code", "left")
+           .join(TR.calibrate(pred), "country_code", "left").withColumn("version", F.lit(1)))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in RG.METRICS_SCHEMA])
 
 
 @register("baseline_metrics")
@@ -784,13 +752,13 @@ def q_region_dim(c: Context):
 def q_score_lots_trained(c: Context):
     """M11 + M16 with the boosters trained above: features -> stored encoder -> matrix -> predict -> score."""
     trained(c)
-    models, encoder, metrics = c._models, c._encoder, c._trained[1]
+    encoder, metrics = c._encoder, c._trained[1]
     f = SC.scorable(FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides")))
     enc = FT.apply_label_encoder(f, encoder)
     keep = ["lot_id", "horse_id", "sale_id", "country_code", "lot_number", "book_number", "sex", "horse_name",
             "sire_name"]
     mm = FT.model_matrix(enc, keep=keep)
-    pred = TR.predict_quantiles(mm, models)
+    pred = BO.predict_quantiles(mm, c._trees, SETTINGS.FEATURE_COLS)
     return SC.score(pred, TR.trained_offsets(metrics, c.regions), c.settings).select(
         *SCORE_COLS, *[py_round(F.col(x), 6).alias(x) for x in ("mv_expected_index", "mv_low_index",
                                                                   "mv_high_index")])

@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = LOCAL_SHARED_DIR
         os.makedirs(conf_dir, exist_ok=True)
     if not spark.sparkContext.getCheckpointDir():

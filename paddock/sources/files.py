@@ -1,10 +1,9 @@
 """File sources and sinks (S6-S8): CSV training data in, inference/scored rows out.
 
 Schemas are declared, never inferred. Sinks write one directory per
-``sale_id`` in one job. Rows are first hash-partitioned by (sale, salt) with a
-small salt, so each task holds few sales (files stay ~ salt x sales instead of
-tasks x sales) while a very large sale is still written by ``salt`` tasks; rows
-are ordered by lot number within each file (no global sort).
+``sale_id`` in one job and leave the other sales' directories alone. Rows are
+range-split by (sale, lot number): a very large sale is written by several tasks,
+and the order of its files is the order of its lots.
 """
 
 from __future__ import annotations
@@ -16,13 +15,9 @@ from pyspark.sql import functions as F
 
 from paddock import settings as S
 
-# Tasks that share one sale's output directory.
-SINK_SALT = 8
-
-
 def _by_sale(df: DataFrame) -> DataFrame:
-    salt = F.pmod(F.xxhash64(F.col("lot_id")), F.lit(SINK_SALT))
-    return df.repartition("sale_id", salt).sortWithinPartitions("sale_id", "lot_number")
+    return df.repartitionByRange("sale_id", "lot_number").sortWithinPartitions("sale_id", "lot_number")
+
 
 _LONG = {"lot_id", "horse_id", "sale_id", "sale_year", "lot_number", "book_number", "day_number"}
 _STR = {"sex", "horse_name", "sire_name", "sale_company", "vendor_volume_bucket", "sale_name", "country_code"}
@@ -38,20 +33,23 @@ def training_csv_schema() -> T.StructType:
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A training export read back with an explicit schema."""
-    return spark.read.schema(training_csv_schema()).option("header", True).csv(path)
+    """A training export read back by its header; declared columns it lacks are NULL, text that is no number too."""
+    raw = spark.read.option("header", True).csv(path)
+    have = set(raw.columns)
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).try_cast(f.dataType).alias(f.name)
+                        for f in training_csv_schema().fields])
 
 
 def write_inference(features: DataFrame, path: str) -> None:
     """Keep the export columns that exist, one CSV per sale, ordered by lot number."""
     cols = [c for c in S.INFERENCE_EXPORT_COLS if c in features.columns]
     out = features.select(*cols) if "sale_id" in cols else features.select(*cols, "sale_id")
-    _by_sale(out).write.mode("overwrite").partitionBy("sale_id").option("header", True).csv(path)
+    _by_sale(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sale_id").option("header", True).csv(path)
 
 
 def write_scored(scored: DataFrame, path: str, fmt: str = "csv") -> None:
     """Full score rows per sale (CSV or parquet)."""
-    w = _by_sale(scored).write.mode("overwrite").partitionBy("sale_id")
+    w = _by_sale(scored).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sale_id")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

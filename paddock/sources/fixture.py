@@ -10,7 +10,6 @@ the lineage is cut, so a lost executor only recomputes from those files.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -108,7 +107,10 @@ SELECT horse_id, sale_id, market_value,
   market_value / 50000.0 AS market_value_multiplier,
   CASE WHEN market_value IS NULL THEN NULL ELSE 'medium' END AS confidence,
   CAST(50000.0 AS DOUBLE) AS session_median_price,
-  CAST(sale_id % 10 + 1 AS BIGINT) AS currency_id
+  CAST(sale_id % 10 + 1 AS BIGINT) AS currency_id,
+  CAST(horse_id % 7 + 10 AS BIGINT) AS created_by, '2000-01-02 03:04:05' AS created_on,
+  CASE WHEN horse_id % 2 = 0 THEN CAST(55 AS BIGINT) END AS modified_by,
+  CASE WHEN horse_id % 2 = 0 THEN '2000-02-03 04:05:06' END AS modified_on
 FROM (SELECT CAST(lot_id AS BIGINT) AS horse_id, CAST(sale_id AS BIGINT) AS sale_id,
         CASE WHEN lot_id % 21 = 0 THEN NULL
              WHEN price IS NULL THEN CAST(40000.0 AS DOUBLE)
@@ -144,16 +146,17 @@ def oracle_prefix(names: list[str] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _signature(sf_dir: str) -> str:
-    h = hashlib.sha1(FIXTURE_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+def _signature(spark: SparkSession, sf_dir: str) -> str:
+    """Of this run and of the input files (path, length, modification time, as the Hadoop filesystem lists them):
+    derived tables are never shared between runs, and never outlive their input."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1(f"{FIXTURE_VERSION} {spark.sparkContext.applicationId} {sf_dir}".encode())
     for t in TPCH_TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{t}:missing".encode())
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        files = fs.listStatus(path) if fs.exists(path) else []
+        for s in sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files):
+            h.update(s.encode())
     return h.hexdigest()[:16]
 
 
@@ -175,12 +178,12 @@ class Fixture:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
-        self.root = f"{shared_dir(spark)}/paddock_tables/{_signature(sf_dir)}"
+        self.root = f"{shared_dir(spark)}/paddock_tables/{_signature(spark, sf_dir)}"
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Fixture":
-        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
         fx = cls._cache.get(key)
         if fx is None:
             fx = cls(spark, sf_dir)

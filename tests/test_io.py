@@ -63,7 +63,7 @@ def test_scored_sink_snapshot_and_registry_sinks(spark, regions):
     back = spark.read.parquet(d + "/scored")
     assert back.count() == scored.count()
     snap = PR.upsert(c.t("predictions"), PR.batch_rows(scored.withColumn("mv_expected_index", F.lit(1.0))),
-                     regions, 2)
+                     regions, 2, "2001-01-01 00:00:00")
     p1 = PR.write_snapshot(snap, d + "/store", 1)
     assert spark.read.parquet(p1).count() == snap.count()
     m = spark.createDataFrame([("AFR", "afr_v1", 1)], "country_code string, model string, version int")

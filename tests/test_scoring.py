@@ -2,6 +2,8 @@
 
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,9 +24,17 @@ def test_rounding_twins(spark):
     # exact binary ties agree with Python's round (half-even)
     assert val(spark, py_round(F.lit(6.25), 1)) == round(6.25, 1) == 6.2
     assert val(spark, py_round(F.lit(0.125), 2)) == round(0.125, 2) == 0.12
-    # documented deviation: a decimal-text tie whose binary value is below the tie
-    # (2.675 is stored as 2.67499999...) rounds up in Spark, down in Python
-    assert val(spark, py_round(F.lit(2.675), 2)) == 2.68 and round(2.675, 2) == 2.67
+    # decimal-text ties whose binary value is beside the tie
+    for x, d in [(2.675, 2), (2.45, 1), (49 / 20, 1), (-2.675, 2), (1.005, 2), (0.15, 1), (1e15 + 0.5, 1), (-0.004, 2), (5e-324, 6)]:
+        assert val(spark, py_round(F.lit(x), d)) == round(x, d), x
+
+
+def test_python_rounding_of_many_values(spark):
+    rng = random.Random(3)
+    xs = [rng.choice([rng.uniform(-1e6, 1e6), rng.randrange(-10**6, 10**6) / 200, rng.randrange(-10**7, 10**7) / 2000]) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select("x", py_round(F.col("x"), 1).alias("a"), py_round(F.col("x"), 2).alias("b"), py_round(F.col("x"), 6).alias("c")).collect()
+    assert all((r["a"], r["b"], r["c"]) == (round(r["x"], 1), round(r["x"], 2), round(r["x"], 6)) for r in rows)
 
 
 @pytest.mark.parametrize("abs_log,flags,tier", [
@@ -114,7 +124,7 @@ def test_upsert_last_row_wins_and_tags(spark, regions):
         "horse_id long, sale_id long, country_code string, mv_expected_price double, mv_low_price double, "
         "mv_high_price double, mv_expected_index double, mv_confidence_tier string, session_median_price double, "
         "seq int")
-    snap = {r["horse_id"]: r for r in PR.upsert(store, PR.batch_rows(batch, "seq"), regions, 2).collect()}
+    snap = {r["horse_id"]: r for r in PR.upsert(store, PR.batch_rows(batch, "seq"), regions, 2, "2001-01-01 00:00:00").collect()}
     assert snap[1]["action"] == "update" and snap[1]["market_value"] == 200.0 and snap[1]["currency_id"] == 1
     assert snap[2]["action"] == "insert" and snap[5]["action"] == "keep" and snap[5]["currency_id"] == 9
 
@@ -141,7 +151,29 @@ def test_commit_rejects_lot_of_another_sale(spark, regions):
                                   "horse_id long, sale_id long, market_value double, market_value_low double, "
                                   "market_value_high double, market_value_multiplier double, confidence string, "
                                   "session_median_price double, currency_id long")
-    ok = PR.commit(store, scored, spark.createDataFrame([(10, 1)], "sale_id long, lot_id long"), regions, 2).first()
+    ok = PR.commit(store, scored, spark.createDataFrame([(10, 1)], "sale_id long, lot_id long"), regions, 2, "2001-01-01 00:00:00").first()
     assert (ok["inserted"], ok["updated"], ok["total"]) == (0, 1, 1)
-    with pytest.raises(ValueError):
-        PR.commit(store, scored, spark.createDataFrame([(10, 2)], "sale_id long, lot_id long"), regions, 2)
+    asked = spark.createDataFrame([(10, 1), (10, 2), (10, 3)], "sale_id long, lot_id long")
+    assert {(r["lot_id"], r["reason"]) for r in PR.rejected(asked, scored).collect()} == {(2, "other sale"), (3, "not scored")}
+    for lot in (2, 3):
+        with pytest.raises(Exception, match="a committed lot"):
+            PR.commit(store, scored, asked.where(F.col("lot_id") == lot), regions, 2, "2001-01-01 00:00:00").collect()
+
+
+def test_upsert_keeps_audit_columns(spark, regions):
+    store = spark.createDataFrame(
+        [(1, 10, 1.0, 1.0, 1.0, 1.0, "low", 1.0, 9, 7, "a", 55, "b", "x"), (5, 10, 5.0, 5.0, 5.0, 5.0, "low", 5.0, 9, 7, "a", 55, "b", "y")],
+        "horse_id long, sale_id long, market_value double, market_value_low double, market_value_high double, "
+        "market_value_multiplier double, confidence string, session_median_price double, currency_id long, "
+        "created_by long, created_on string, modified_by long, modified_on string, note string")
+    batch = spark.createDataFrame(
+        [(k, 1, 10, "AFR", 100.0 + k, 90.0, 110.0, 1.1, "high", 50.0) for k in (1, 2)]
+        + [(k, 2, 10, "AFR", 100.0 + k, 90.0, 110.0, 1.1, "high", 50.0) for k in (3, 4)],
+        "lot_id long, horse_id long, sale_id long, country_code string, mv_expected_price double, mv_low_price double, "
+        "mv_high_price double, mv_expected_index double, mv_confidence_tier string, session_median_price double")
+    snap = PR.upsert(store, PR.batch_rows(batch), regions, 2, "now")
+    got = {r["horse_id"]: (r["created_by"], r["created_on"], r["modified_by"], r["modified_on"], r["note"], r["market_value"])
+           for r in snap.collect()}
+    assert got == {1: (7, "a", 2, "now", "x", 102.0), 5: (7, "a", 55, "b", "y", 5.0), 2: (2, "now", 2, "now", None, 104.0)}
+    c = PR.upsert_counts(snap).first()
+    assert (c["inserted"], c["updated"]) == (1, 3)
