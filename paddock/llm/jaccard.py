@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from paddock.llm import learn as L
 from paddock.llm import text as T
 from paddock.llm.components import components
+from paddock.llm.sieve import sieved
 from paddock.llm.store import stored
 
 SKETCH = 18           # bits of the counters: 2**18 of 8 bytes, whatever the input
@@ -145,13 +146,14 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     table = stored(index(docs, words, percent), "jaccard-index")
     sized = table.where("doc_id is not null and n > 0")
     # equal sets are one set from here on, under their least id
-    same = stored(sized.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-                                           F.min_by("prefix", "doc_id").alias("prefix")), "jaccard-sets")
-    entries = same.select(F.posexplode("prefix").alias("pos", "token"), F.col("rep").alias("id"), "n")
+    same = stored(sized.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-sets")
+    reps = sized.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    entries = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("id"), "n")
     lists = entries.groupBy("token").agg(F.count("*").alias("len"), F.min(F.struct("id", "n", "pos")).alias("leader"))
     lists = lists.where("len > 1").drop("len")
     entries = stored(entries.join(lists, "token"), "jaccard-lists")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    texts = stored(sieved(texts, entries.select("id")), "jaccard-texts")
 
     def possible(x: str, y: str) -> str:
         return (f"least({x}n, {y}n) * 100 >= {percent} * greatest({x}n, {y}n) and "

@@ -516,3 +516,13 @@ def test_passages_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
     assert kept.where("doc_id = 9").first().text.strip() == "tail"
     assert passages.repeated(none).count() == 0 and passages.deduplicated(none).count() == 0
+
+
+def test_sieve_loses_nothing(spark):
+    from paddock.llm.sieve import sieved
+
+    rows = spark.range(-500, 20_000).withColumn("x", F.col("id") * 2)
+    wanted = spark.range(-500, 20_000, 37).repartition(5)
+    got = {r.id for r in sieved(rows, wanted).collect()}
+    assert got >= set(range(-500, 20_000, 37)) and len(got) < 2000
+    assert sieved(rows, wanted.where("false")).count() == 0
