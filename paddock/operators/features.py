@@ -25,11 +25,13 @@ def first_history_year(history: DataFrame) -> int | None:
 
 
 def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scope: str = "set",
-                   first_year: int | None = None):
+                   first_year: int | None = None, year_start: int | None = None):
+    """``year_start``: the first year of ``base``; the 36-month blocks read history from three years before it."""
     hm = region_hist(regions, scope)
-    sire = P.sire_metrics(base, history, hm, regions)
+    late = P.recent(history, None if year_start is None else year_start - 3)
+    sire = P.sire_metrics(base, late, hm, regions)
     dam = P.dam_stats(base, history, hm, first_year)
-    vendor = P.vendor_metrics(base, history, hm)
+    vendor = P.vendor_metrics(base, late, hm)
     return sire, dam, vendor
 
 
@@ -60,7 +62,7 @@ def lot_features(lots: DataFrame, regions: DataFrame, settings: Settings,
     base = L.base_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median_final(base, lots, overrides, use_prior_year, settings.lot_type)
-    sire, dam, vendor = feature_blocks(base, history, regions, "set", first_history_year(lots))
+    sire, dam, vendor = feature_blocks(base, history, regions, "set", first_history_year(lots), settings.year_start)
     return assemble(base, medians, sire, dam, vendor, with_deltas=True)
 
 
@@ -72,7 +74,7 @@ def training_frame(lots: DataFrame, regions: DataFrame, settings: Settings, scop
     base = L.training_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median(base)
-    sire, dam, vendor = feature_blocks(base, history, regions, scope, first_history_year(lots))
+    sire, dam, vendor = feature_blocks(base, history, regions, scope, first_history_year(lots), settings.year_start)
     f = assemble(base, medians, sire, dam, vendor, with_deltas=False)
     y = F.log(F.col("price") / F.col("session_median_price"))
     return (f.withColumn("log_price_index", y)

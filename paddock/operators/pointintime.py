@@ -15,12 +15,17 @@ Physical plan, chosen for skewed keys (one sire may carry a third of all lots):
    the exact date range as a residual. The spine row is exploded over the
    calendar years its window touches (<= 4 for 36 months), so a sort-merge join
    only pairs a spine row with history of those years, and a hot key is split
-   into per-year sub-keys that land in different tasks (AQE's skew-join split
-   divides what remains).
+   into per-year sub-keys that land in different tasks. The join is an inner one, so
+   AQE's skew-join rule may split either side of what remains (of a left outer join
+   it splits the left side only); spine rows without history come back in step 5.
 4. **One aggregation** per spine row: counts are sums, the exact median is
    ``percentile(price, 0.5, frequency)``, which combines partial maps
    map-side. The 12-month block is a conditional aggregate inside the same pass
    (12m is a subset of 36m), not a second join.
+5. The spine is joined with the aggregates, one row each, and rows without history get
+   zero counts and NULL medians.
+
+The rows of step 3 grow with the as-of dates of a key times the sale dates in its window.
 """
 
 from __future__ import annotations
@@ -31,10 +36,6 @@ from pyspark.sql import functions as F
 from paddock.functions.rounding import np_round
 from paddock import settings as S
 
-# Calendar-year sub-keys on the range join (see module docstring, step 3).
-YEAR_BUCKETS = True
-
-
 def spine(lots: DataFrame, key: str) -> DataFrame:
     """Distinct non-NULL keys per (country, as-of date)."""
     return (lots.where(F.col(key).isNotNull())
@@ -53,16 +54,14 @@ def history_histogram(history: DataFrame, key: str) -> DataFrame:
 
 def _joined(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
             months: int | None, first_year: int | None = None) -> DataFrame:
-    """Spine rows left-joined to the history histogram rows inside their window.
+    """Spine rows joined to the history histogram rows inside their window (none: no row).
 
     ``first_year`` (unbounded windows only) is the earliest history year; the
     caller passes it so the spine can be bucketed by year without a scan here.
     """
     sp = spine(lots, key).join(F.broadcast(hist_map), "country_code")
     hh = history_histogram(history, key).withColumn("h_year", F.year("h_date"))
-    if not YEAR_BUCKETS:
-        lo_year = None
-    elif months is not None:
+    if months is not None:
         lo_year = F.year(F.add_months(F.col("as_of"), -months))
     else:
         lo_year = F.lit(first_year) if first_year is not None else None
@@ -76,7 +75,18 @@ def _joined(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
         cond = cond & (sp["s_year"] == hh["h_year"])
     if months is not None:
         cond = cond & (hh["h_date"] >= F.add_months(sp["as_of"], -months))
-    return sp.join(hh, cond, "left").drop("s_year", "h_year")
+    return sp.join(hh, cond).drop("s_year", "h_year")
+
+
+def _every(lots: DataFrame, key: str, aggregates: DataFrame) -> DataFrame:
+    """The aggregates of every spine row; zero counts where a row has no history."""
+    counts = [c for c, t in aggregates.dtypes if t == "bigint" and c not in ("country_code", key, "as_of")]
+    return spine(lots, key).join(aggregates, ["country_code", key, "as_of"], "left").fillna(0, counts)
+
+
+def recent(history: DataFrame, since_year: int | None) -> DataFrame:
+    """History of the years from ``since_year`` on: prunes the partitions of a year-partitioned table."""
+    return history if since_year is None or "sale_year" not in history.columns else history.where(F.col("sale_year") >= since_year)
 
 
 def _median(price: Column, freq: Column) -> Column:
@@ -108,7 +118,7 @@ def sire_metrics(lots: DataFrame, history: DataFrame, hist_map: DataFrame, regio
             _count(F.when(inside, F.col("h_passed"))).alias(f"sire_passedin_count_{m}m"),
             _median(F.when(inside, F.col("h_price")), F.col("h_sold")).alias(f"sire_median_price_{m}m"),
         ]
-    g = j.groupBy("country_code", "sire_id", "as_of").agg(*aggs)
+    g = _every(lots, "sire_id", j.groupBy("country_code", "sire_id", "as_of").agg(*aggs))
     cols = [F.col("country_code"), F.col("sire_id"), F.col("as_of").alias("sale_date")]
     for m in months:
         sold, passed = F.col(f"sire_sold_count_{m}m"), F.col(f"sire_passedin_count_{m}m")
@@ -142,6 +152,7 @@ def dam_stats(lots: DataFrame, history: DataFrame, hist_map: DataFrame,
         _count(F.col("h_passed")).alias("dam_progeny_passedin_count"),
         _median(F.col("h_price"), F.col("h_sold")).alias("dam_progeny_median_price"),
     )
+    g = _every(lots, "dam_id", g)
     sold, passed = F.col("dam_progeny_sold_count"), F.col("dam_progeny_passedin_count")
     return g.select(
         "country_code", "dam_id", F.col("as_of").alias("sale_date"), sold, passed,
@@ -167,6 +178,7 @@ def vendor_metrics(lots: DataFrame, history: DataFrame, hist_map: DataFrame, mon
         _count(F.col("h_passed")).alias("passed"),
         _median(F.col("h_price"), F.col("h_sold")).alias("median"),
     )
+    g = _every(lots, "vendor_id", g)
     sold, passed = F.col("sold"), F.col("passed")
     m = months
     return g.select(

@@ -159,7 +159,7 @@ def q_session_median_final(c: Context):
 # ------------------------------------------------------------------ point-in-time
 
 def _sire(c: Context, months):
-    return P.sire_metrics(c.base, c.history, region_hist(c.regions, "set"), c.regions, months)
+    return P.sire_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"), c.regions, months)
 
 
 @register("sire_metrics_36m", O.with_() + O.sire_sql((36,)) + " SELECT * FROM sire")
@@ -184,7 +184,7 @@ def q_dam(c: Context):
 
 @register("vendor_metrics", O.with_() + O.vendor_sql() + " SELECT * FROM vendor")
 def q_vendor(c: Context):
-    return P.vendor_metrics(c.base, c.history, region_hist(c.regions, "set"))
+    return P.vendor_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"))
 
 
 FEATURE_OUT = ["lot_id", "sale_id", "country_code", "sale_date", "session_median_price",
