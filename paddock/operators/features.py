@@ -90,12 +90,9 @@ def fit_label_encoder(frame: DataFrame, group_cols: list[str] = ("country_code",
     values travel; the window runs over that tiny table.
     """
     group_cols = list(group_cols)
-    parts = [frame.select(*group_cols, F.lit(c).alias("feature"),
-                          F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")).distinct()
-             for c in columns]
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value"))
+                      for c in columns])
+    vals = frame.select(*group_cols, F.explode(pairs).alias("_p")).select(*group_cols, "_p.feature", "_p.value").distinct()
     w = Window.partitionBy(*group_cols, "feature").orderBy("value")
     return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
@@ -104,15 +101,14 @@ def apply_label_encoder(frame: DataFrame, encoder: DataFrame, group_cols: list[s
                         columns: list[str] = tuple(S.CATEGORICAL_COLS)) -> DataFrame:
     """Adds ``<col>_encoded``; values unseen at fit time get code k (handleInvalid='keep')."""
     group_cols = list(group_cols)
-    sizes = encoder.groupBy(*group_cols, "feature").agg(F.count("*").cast("int").alias("k"))
-    out = frame
+    sizes = encoder.groupBy(*group_cols).agg(*[F.count(F.when(F.col("feature") == c, 1)).cast("int").alias(f"__k_{c}")
+                                               for c in columns])
+    out = frame.join(sizes, group_cols, "left")
     for c in columns:
         e = (encoder.where(F.col("feature") == c)
              .select(*group_cols, F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"{c}_encoded")))
-        k = sizes.where(F.col("feature") == c).select(*group_cols, F.col("k").alias(f"__k_{c}"))
         out = (out.withColumn(f"__v_{c}", F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
                .join(e, group_cols + [f"__v_{c}"], "left")
-               .join(k, group_cols, "left")
                .withColumn(f"{c}_encoded", F.coalesce(F.col(f"{c}_encoded"), F.col(f"__k_{c}"), F.lit(0)))
                .drop(f"__v_{c}", f"__k_{c}"))
     return out

@@ -105,6 +105,15 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
                                              F.monotonically_increasing_id().alias("line")))
 
 
+def parse_activity(lines: DataFrame, text: str = "value", line_no: str = "line_no") -> DataFrame:
+    """S12 from a DataFrame of lines (text, line_no); malformed lines keep their text in ``_corrupt_record``."""
+    fields = T.StructType([f for f in ACTIVITY_SCHEMA if f.name != "_corrupt_record"])
+    parsed = F.from_json(F.col(text), T.StructType([*fields, ACTIVITY_SCHEMA["_corrupt_record"]]),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.where(F.length(F.trim(F.col(text))) > 0).select(parsed.alias("_l"), F.col(line_no).alias("line_no")).select(
+        "_l.*", "line_no")
+
+
 def recent_activity(log: DataFrame, limit: int = 50, category: str | None = None,
                     status: str | None = None) -> DataFrame:
     """P14 + L3: parsed entries, optional filters, the last ``limit`` in file order."""

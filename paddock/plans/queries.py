@@ -677,7 +677,6 @@ def q_calibration(c: Context):
 
 from paddock.operators import boosting as BO  # noqa: E402
 from paddock.operators import registry as RG  # noqa: E402
-from paddock.sources.regions import region_dim  # noqa: E402
 
 def trained(c: Context):
     """(baseline, metrics, importance) of every configured country, trained once in this run; also the trees and the encoder.
@@ -740,12 +739,24 @@ def q_model_listing(c: Context):
     return RG.model_listing(metrics, importance, c.regions)
 
 
-@register("region_dim")
-def q_region_dim(c: Context):
-    """The region config, for the countries present in the sales data."""
-    present = c.t("countries").join(c.t("sales").select("country_id").distinct(), "country_id") \
-        .select("country_code")
-    return region_dim(c.spark).join(present, "country_code")
+@register("activity_recent", """
+SELECT user, action, detail, category, status FROM (
+  SELECT CAST(user_id AS VARCHAR) AS user, event_type AS action, props AS detail,
+    CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'general' END AS category,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, event_id
+  FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_type <> 'error') e
+ORDER BY event_id DESC LIMIT 50""")
+def q_activity_recent(c: Context):
+    """S12 + P14 + L3 over the events as log lines: every seventh is cut off, every eleventh lacks a required field."""
+    e = c.fx.raw("events")
+    fields = [F.col("ts").cast("string").alias("timestamp"), F.col("user_id").cast("string").alias("user"),
+              F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("action"), F.col("props").alias("detail"),
+              F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("category"),
+              F.when(F.col("event_type") == "error", "error").alias("status")]
+    line = F.to_json(F.struct(*fields))
+    lines = e.select(F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"),
+                     F.col("event_id").alias("line_no"))
+    return RG.recent_activity(RG.parse_activity(lines), 50, status="success").select("user", "action", "detail", "category", "status")
 
 
 @register("score_lots_trained")
