@@ -340,12 +340,12 @@ def q_commit_lots(c: Context):
 
 
 @register("commit_rejected", O.with_() + O.SCORE + """
-, asked AS (SELECT lot_id, CASE WHEN lot_id % 100 = 0 THEN sale_id + 1 ELSE sale_id END AS sale_id FROM base WHERE lot_id % 5 = 0)
+, asked AS (SELECT lot_id, CASE WHEN lot_id % 7 = 0 THEN sale_id + 1 ELSE sale_id END AS sale_id FROM base)
 SELECT a.sale_id, a.lot_id, CASE WHEN s.lot_id IS NULL THEN 'not scored' ELSE 'other sale' END AS reason
 FROM asked a LEFT JOIN scored s ON s.lot_id = a.lot_id WHERE s.lot_id IS NULL OR s.sale_id <> a.sale_id""")
 def q_commit_rejected(c: Context):
-    asked = c.base.where("lot_id % 5 = 0").select(
-        "lot_id", F.when(F.col("lot_id") % 100 == 0, F.col("sale_id") + 1).otherwise(F.col("sale_id")).alias("sale_id"))
+    asked = c.base.select(
+        "lot_id", F.when(F.col("lot_id") % 7 == 0, F.col("sale_id") + 1).otherwise(F.col("sale_id")).alias("sale_id"))
     return PR.rejected(asked, scored_df(c))
 
 
