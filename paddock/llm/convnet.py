@@ -99,7 +99,7 @@ class Net:
         return L.sigmoid(self.mix[0] * mean + self.mix[1] * least + self.mix[2])
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray, steps: int = 200, batch: int = 192,
+def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray, steps: int = 300, batch: int = 128,
         rate: float = 6e-3, seed: int = 3) -> Net:
     """Adam on the logistic loss of the mean chunk logit; classes weigh equally. Fold 0 calibrates the combination."""
     net, rng = Net(seed), np.random.RandomState(seed)
@@ -177,7 +177,7 @@ def combine(mean: np.ndarray, least: np.ndarray, y: np.ndarray, steps: int = 60)
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int | None = MODULUS, held: int = HELD) -> Net:
-    return fit(*L.collect_sample(L.labelled_sample(docs, labels, "quality", modulus, held, rows=SAMPLE_ROWS)))
+    return L.fitted(L.labelled_sample(docs, labels, "quality", modulus, held, rows=SAMPLE_ROWS), fit)
 
 
 def scored(docs: DataFrame, net: Net, keep: list[str], name: str = "score") -> DataFrame:

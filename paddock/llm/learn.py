@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,12 +43,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
             .withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(10))))
 
 
-def collect_sample(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, label, fold) of a bounded sample, in the order of a hash of the id."""
-    rows = sorted(sample.select("text", "label", "fold", F.xxhash64("doc_id").alias("at"), "doc_id").collect(),
-                  key=lambda r: (r["at"], r["doc_id"]))
-    data, offsets = T.of_strings([r["text"] for r in rows])
-    return data, offsets, np.array([r["label"] for r in rows], int), np.array([r["fold"] for r in rows], int)
+def in_one_task(rows: DataFrame, f: Callable[[pa.Table], object]) -> object:
+    """What f makes of a bounded table, computed in one task: the driver gets the result only, and a lost executor costs a
+    retry. rows must be bounded by a parameter, whatever the input."""
+    small_batches(rows.sparkSession)
+    schema = pa.schema([("__model", pa.binary())])
+    columns, empty = rows.columns, rows.limit(0).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held).rename_columns(columns) if held else empty
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(table))], pa.binary())], schema=schema)
+
+    made = rows.repartition(1).mapInArrow(run, "__model binary").collect()
+    return pickle.loads(made[0][0]) if made else f(empty)
+
+
+def fitted(sample: DataFrame, fit: Callable[..., object]) -> object:
+    """fit(bytes, offsets, label, fold) of a bounded labelled sample, its rows in the order of a hash of the id."""
+
+    def run(table: pa.Table) -> object:
+        table = table.sort_by([("at", "ascending"), ("doc_id", "ascending")])
+        data, offsets = T.raw(table.column("text"))
+        y, fold = (table.column(c).to_numpy().astype(int) for c in ("label", "fold"))
+        return fit(data, offsets, y, fold)
+
+    return in_one_task(sample.select("text", "label", "fold", F.xxhash64("doc_id").alias("at"), "doc_id"), run)
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -146,7 +146,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*L.collect_sample(L.labelled_sample(docs, labels, "quality", rows=SAMPLE_ROWS)))
+    return L.fitted(L.labelled_sample(docs, labels, "quality", rows=SAMPLE_ROWS), fit)
 
 
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -251,9 +251,13 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYT
     n = docs.count()
     share = min(1_000_000, -(-rows * 1_100_000 // max(n, 1)))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).where(F.octet_length("text").between(1, text_bytes))
-    got = sample.select("doc_id", "text").limit(2 * rows).collect()
-    got = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got})[:rows]
-    return fit([t for _, _, t in got])
+    sample = sample.select("doc_id", "text").limit(2 * rows)
+
+    def run(table: pa.Table) -> Field:
+        got = zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
+        return fit([t for _, _, t in sorted({(i is None, i or 0, t) for i, t in got})[:rows]])
+
+    return L.in_one_task(sample, run)
 
 
 def scan(docs: DataFrame, field: Field, out_name: str = "spans") -> DataFrame:

@@ -59,8 +59,8 @@ class Model:
         return {"score": L.sigmoid(self.logits(owner, term, len(offsets) - 1))}
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 10,
-        batch: int = 64, rate: float = 0.3, sparse: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Model:
+def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 16,
+        batch: int = 64, rate: float = 0.3, sparse: float = 2e-3, decay: float = 1e-3, seed: int = 7) -> Model:
     rng = np.random.RandomState(seed)
     w0, w = -2.0, np.zeros(1 << bits, np.float32)
     v = (rng.randn(1 << bits, factors) * 0.01).astype(np.float32)
@@ -104,8 +104,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, bits: int = BITS,
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held: int = HELD) -> Model:
-    data, offsets, y, _ = L.collect_sample(L.labelled_sample(docs, labels, "toxic", modulus, held, rows=SAMPLE_ROWS))
-    return fit(data, offsets, y)
+    sample = L.labelled_sample(docs, labels, "toxic", modulus, held, rows=SAMPLE_ROWS)
+    return L.fitted(sample, lambda data, offsets, y, fold: fit(data, offsets, y))
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
