@@ -98,9 +98,11 @@ def prior_year_block(sales: DataFrame, lot_rows: DataFrame, mode: str = "fuzzy",
     m = matches(sales, 1, 1, mode, threshold).checkpoint()
     meta = m.groupBy("sale_id").agg(
         F.count(F.lit(1)).alias("prior_sale_count"),
-        F.array_sort(F.collect_list("match_sale_id")).alias("prior_sale_ids"),
+        F.array_sort(F.collect_list(F.struct("match_start_date", "match_sale_id", "match_sale_name"))).alias("_l"),
         F.min("match_start_date").alias("prior_start_date"),
         F.max("match_end_date").alias("prior_end_date"))
+    meta = meta.withColumn("prior_sale_ids", F.col("_l.match_sale_id")).withColumn(
+        "prior_sale_names", F.col("_l.match_sale_name")).drop("_l")
     prior = sale_stats(lot_rows, m.select("sale_id", F.col("match_sale_id").alias("member_id"))
                        .withColumnRenamed("sale_id", "group_id").withColumnRenamed("member_id", "sale_id"),
                        ["group_id"]).withColumnRenamed("group_id", "sale_id")

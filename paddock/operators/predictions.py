@@ -104,6 +104,9 @@ def compare(scored: DataFrame, store: DataFrame) -> DataFrame:
     """
     s = store.select("horse_id", "sale_id", F.col("market_value").alias("old_expected"),
                      F.col("market_value_low").alias("old_low"), F.col("market_value_high").alias("old_high"),
+                     *[(F.col(c) if c in store.columns else F.lit(None)).alias(name) for c, name in (
+                         ("market_value_multiplier", "old_index"), ("confidence", "old_tier"),
+                         ("session_median_price", "old_session_median"))],
                      F.lit(True).alias("_has"))
     j = scored.join(s, ["horse_id", "sale_id"], "left")
     has_old = F.col("_has").isNotNull()
@@ -111,9 +114,10 @@ def compare(scored: DataFrame, store: DataFrame) -> DataFrame:
     d = F.col("mv_expected_price") - F.col("old_expected")
     pct = F.when(F.col("old_expected") != 0, d / F.col("old_expected") * F.lit(100.0)).otherwise(F.lit(0.0))
     out = j.select(
-        "lot_id", "horse_id", "sale_id", "mv_expected_price",
+        "lot_id", "horse_id", "sale_id", *[c for c in ("lot_number", "horse_name", "sire_name") if c in scored.columns],
+        "mv_expected_price",
         (~has_old).alias("is_new"),
-        "old_expected",
+        "old_expected", "old_low", "old_high", "old_index", "old_tier", "old_session_median",
         F.when(has_delta, d).alias("_delta"),
         F.when(has_delta, pct).alias("_pct"),
         F.when(has_delta, py_round(d, 2)).alias("delta_expected"),

@@ -236,8 +236,9 @@ SCORE_OUT = """lot_id, horse_id, sale_id, country_code, lot_number, book_number,
   mv_expected_price, mv_low_price, mv_high_price, mv_raw_price, mv_confidence_tier, 'v2.2' AS mv_model_version"""
 
 COMPARE = SCORE + """
-, cmp AS (SELECT s.lot_id, s.horse_id, s.sale_id, s.mv_expected_price, p.horse_id IS NULL AS is_new,
-    p.market_value AS old_expected,
+, cmp AS (SELECT s.lot_id, s.horse_id, s.sale_id, s.lot_number, s.horse_name, s.sire_name, s.mv_expected_price,
+    p.horse_id IS NULL AS is_new, p.market_value AS old_expected, p.market_value_low AS old_low, p.market_value_high AS old_high,
+    p.market_value_multiplier AS old_index, p.confidence AS old_tier, p.session_median_price AS old_session_median,
     CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL THEN s.mv_expected_price - p.market_value END
       AS d_raw,
     CASE WHEN p.horse_id IS NOT NULL AND p.market_value IS NOT NULL THEN

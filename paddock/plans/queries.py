@@ -293,7 +293,8 @@ SETTINGS_RUN = str(FIXTURE_SETTINGS.run_ts)
 
 # ------------------------------------------------------------------ predictions
 
-CMP_COLS = ["lot_id", "horse_id", "sale_id", "mv_expected_price", "is_new", "old_expected", "delta_expected",
+CMP_COLS = ["lot_id", "horse_id", "sale_id", "lot_number", "horse_name", "sire_name", "mv_expected_price", "is_new",
+            "old_expected", "old_low", "old_high", "old_index", "old_tier", "old_session_median", "delta_expected",
             "delta_expected_pct", "delta_low", "delta_high", "changed"]
 
 
@@ -479,8 +480,10 @@ YOY_COLS = ["sale_id", "prior_sale_count", "prior_start_date", "prior_end_date",
                WHERE sale_id IN (SELECT sale_id FROM m))""" + O.stats_sql("pooled_p", ["group_id"], "ps")
           + O.stats_sql("pooled_c", ["sale_id"], "cs") + """
 , meta AS (SELECT sale_id, count(*) AS prior_sale_count, min(match_start_date) AS prior_start_date,
+    string_agg(CAST(match_sale_id AS VARCHAR), ',' ORDER BY match_start_date, match_sale_id) AS prior_sale_ids,
+    string_agg(match_sale_name, '|' ORDER BY match_start_date, match_sale_id) AS prior_sale_names,
                   max(match_end_date) AS prior_end_date FROM m GROUP BY sale_id)
-SELECT meta.sale_id, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
+SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
   ps.total_lots AS prior_total_lots, ps.sold_count AS prior_sold_count, ps.clearance_rate AS prior_clearance_rate,
   ps.gross AS prior_gross, ps.avg_price AS prior_avg_price, ps.median_price AS prior_median_price,
   CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.gross IS NOT NULL AND cs.gross <> 0 AND ps.gross > 0
@@ -498,7 +501,13 @@ SELECT meta.sale_id, meta.prior_sale_count, meta.prior_start_date, meta.prior_en
        THEN round_even(cs.clearance_rate - ps.clearance_rate, 1) END AS clearance_rate_change
 FROM meta JOIN ps ON ps.group_id = meta.sale_id LEFT JOIN cs ON cs.sale_id = meta.sale_id""")
 def q_sale_yoy(c: Context):
-    return FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact").select(*YOY_COLS)
+    return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact")).select(
+        *YOY_COLS, "prior_sale_ids", "prior_sale_names")
+
+
+def _prior_lists(df):
+    return df.withColumn("prior_sale_ids", F.array_join(F.transform("prior_sale_ids", lambda x: x.cast("string")), ",")) \
+        .withColumn("prior_sale_names", F.array_join("prior_sale_names", "|"))
 
 
 HIST_COLS = ["sale_id", "year", "start_date", "end_date", "total_lots", "sold_count", "passed_in_count",
@@ -537,8 +546,7 @@ def q_fuzzy_matches(c: Context):
 
 @register("prior_year_stats")
 def q_prior_year_stats(c: Context):
-    return FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "fuzzy", c.settings.similarity_threshold) \
-        .drop("prior_sale_ids")
+    return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "fuzzy", c.settings.similarity_threshold))
 
 
 @register("sale_history_fuzzy")
