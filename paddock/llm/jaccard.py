@@ -1,8 +1,9 @@
 """N-gram Jaccard join with set-relation skipping: every pair of texts whose shingle sets are similar enough is linked.
 
 A set's shingles are ordered by a corpus-wide order, rare ones first, so two sets that qualify share one of their first
-few (the prefix). The order is by a sketch: SKETCH counters over all texts, then the hash; any common order is exact, the
-counts only keep index lists short. Sets are skipped by their relations at two levels:
+few (the prefix). The order is by a sketch, counters over all texts' shingles, then the hash; any common order is exact, the
+counts only keep index lists short. There is a counter for about COUNTER_ROWS texts, so lists are alike at every size up to
+2**COUNTERS counters. Sets are skipped by their relations at two levels:
 
 * index lists hold (size, position) of a shingle in its sets; a pair is skipped when even full agreement after the two
   positions, or the sizes alone, can't reach the overlap that is needed;
@@ -33,7 +34,8 @@ from paddock.llm.components import components
 from paddock.llm.sieve import sieved
 from paddock.llm.store import stored
 
-SKETCH = 18           # bits of the counters: 2**18 of 8 bytes, whatever the input
+COUNTER_ROWS = 16
+COUNTERS = 22         # bits of the sketch at most: 2**22 counters, 32 MB
 PART = 200            # members that are compared with a leader in one group
 
 
@@ -56,24 +58,25 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
     return out
 
 
-def counter(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(64 - SKETCH)).astype(np.int64)
+def counter(shingle: np.ndarray, bits: int) -> np.ndarray:
+    return (shingle >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How many texts' shingles fall on each counter, over all texts."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / COUNTER_ROWS)), 10, COUNTERS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, _, d, o in L.chunks(*T.raw(batch.column(0))):
                 sets = shingles(d, o, words)
                 if sets:
-                    total += np.bincount(counter(np.concatenate(sets)), minlength=1 << SKETCH)
+                    total += np.bincount(counter(np.concatenate(sets), bits), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for row in batch.column(0):
                 total += np.frombuffer(row.as_buffer(), np.int64)
@@ -81,7 +84,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(count, "counts binary")
     few = parts.coalesce(8).mapInArrow(add, "counts binary") if parts.rdd.getNumPartitions() > 64 else parts
-    total = np.zeros(1 << SKETCH, np.int64)
+    total = np.zeros(1 << bits, np.int64)
     for row in few.toLocalIterator():
         total += np.frombuffer(row["counts"], np.int64)
     return total
@@ -95,7 +98,9 @@ def needed(a: int, b: int, percent: int) -> str:
 def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, sig, prefix): set size, 128-bit signature, and the first shingles in the corpus order."""
     L.small_batches(docs.sparkSession)
-    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, words))
+    counts = frequencies(docs, words)
+    bits = len(counts).bit_length() - 1
+    order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +111,7 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     two = np.array([T.mix(s).sum(dtype=np.uint64), T.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)])
                     sig.append(two.tobytes() if len(s) else None)
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                    prefix.append(s[np.lexsort((s, order.value[counter(s)]))[:keep]].view(np.int64))
+                    prefix.append(s[np.lexsort((s, order.value[counter(s, bits)]))[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
                                               pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
 
@@ -173,20 +178,26 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = components(links)
 
     # level two: pairs of one list that are still apart, unless the overlaps with a common leader decide
-    known = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap", F.col("na").alias("lead_n"))
-    state = (same.select(F.col("rep").alias("id")).join(found, "id", "left").join(known, "id", "left")
-             .select("id", F.coalesce("root", "id").alias("root"), F.coalesce("lead", "id").alias("lead"), "overlap", "lead_n"))
-    apart = entries.drop("leader").join(state, "id")
+    state = same.select(F.col("rep").alias("id")).join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    apart = entries.select("token", "id", "n", "pos").join(state, "id")
     mixed = apart.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
-    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root", "lead", F.coalesce("overlap", "n").alias("overlap"),
-                                                               F.coalesce("lead_n", "n").alias("lead_n")).alias("x"))
-    need = needed("x.n", "y.n", percent)
-    pairs = apart.alias("l").join(apart.withColumnRenamed("x", "y").alias("r"), "token").where(
-        f"x.id < y.id and x.root != y.root and {possible('x.', 'y.')} and not (x.lead = y.lead and "
-        f"least(x.overlap, y.overlap) + least(x.n - x.overlap, y.n - y.overlap) < {need})")
+    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root").alias("x"))
+    pairs = apart.join(apart.withColumnRenamed("x", "y"), "token").where(
+        f"x.id < y.id and x.root != y.root and {possible('x.', 'y.')}")
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.max(F.expr(f"x.lead = y.lead and x.overlap + y.overlap - x.lead_n >= {need}")).alias("certain"),
         F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    known = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap", F.col("na").alias("lead_n"))
+    known = known.unionByName(first.select(F.col("a").alias("id"), F.col("a").alias("lead"), F.col("na").alias("overlap"),
+                                           F.col("na").alias("lead_n")).distinct())
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("id").alias(x), "lead", F.struct("overlap", "lead_n").alias(f"k{x}"))
+                           .groupBy(x).agg(F.collect_set(F.struct("lead", f"k{x}")).alias(f"leads_{x}")), x, "left")
+    need = needed("na", "nb", percent)
+    common = """filter(flatten(transform(leads_a, p -> transform(leads_b, q -> if(p.lead = q.lead, named_struct('o', p.ka.overlap,
+        'u', q.kb.overlap, 'l', p.ka.lead_n), null)))), s -> s is not null)"""
+    pairs = pairs.withColumn("common", F.coalesce(F.expr(common), F.expr("array()").cast("array<struct<o:bigint,u:bigint,l:bigint>>")))
+    pairs = pairs.where(f"not exists(common, s -> least(s.o, s.u) + least(na - s.o, nb - s.u) < {need})")
+    pairs = pairs.select("a", "b", "na", "nb", F.expr(f"exists(common, s -> s.o + s.u - s.l >= {need})").alias("certain"))
     pairs = stored(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-apart")
     second = compared(pairs.where("not certain").select("a", "b"), texts, words).dropDuplicates(["a", "b"]).join(pairs, ["a", "b"])
     more = second.where(f"overlap >= {needed('na', 'nb', percent)}").select("a", "b").unionByName(pairs.where("certain").select("a", "b"))
