@@ -4,8 +4,11 @@ Texts are split by the vocabulary's pattern in Arrow batches; a block of about B
 distinct words and, for every text, the places of its words in that list. In the JVM each distinct word starts as its bytes'
 ids and is folded: the adjacent pair of the lowest rank merges, the leftmost first, until no pair has a rank. The ranks are
 a literal of the plan: an open-addressed table of (left id, right id, merged id), bounded by the vocabulary. Decoding
-concatenates the binary pieces of a word's ids. A last Arrow step puts the words' ids and bytes back in text order. There is
-no shuffle, and memory is bounded by the block.
+concatenates the binary pieces of a word's ids. A last Arrow step puts the words' ids and bytes back in text order. Texts are
+not shuffled, and memory is bounded by the block.
+
+The words that repeat in a bounded sample of texts (``DICTIONARY_ROWS``, ``DICTIONARY_WORDS``) are folded once beforehand, in the
+same way, and broadcast; blocks then fold only the words beyond them. Results don't depend on the sample.
 
 The fold takes time that grows with the square of a word's length, so words beyond LONG bytes (unbroken runs of letters,
 digits or signs) are merged by a heap with the same ranks in the Arrow step.
@@ -21,17 +24,24 @@ import hashlib
 import heapq
 import json
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm import learn as L
+from paddock.llm import text as T
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 14 << 20
+DICTIONARY_ROWS = 20_000
+DICTIONARY_WORDS = 300_000
+DICTIONARY_TEXT = 1 << 16  # bytes of a sampled text at most
 LONG = 96
 SLOTS = 524_287       # of the rank table; prime
 NONE = 131_071
@@ -150,22 +160,72 @@ BLOCK = pa.schema([("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()
 BLOCK_SQL = "keys array<bigint>, sizes array<int>, codes binary, words array<array<tinyint>>"
 
 
-def blocks(docs: DataFrame, key: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each block of texts: their keys, their numbers of words, the words' places, the distinct words."""
+class Dictionary:
+    """Words with their ids and decoded bytes, as flat arrays."""
+
+    def __init__(self, words: list[bytes], ids: list[np.ndarray], texts: list[bytes]):
+        self.words = words
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        self.id_ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        self.texts = np.frombuffer(b"".join(texts), np.uint8)
+        self.text_ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+        self._places: Places | None = None
+
+    def places(self) -> Places:
+        if self._places is None:
+            self._places = Places((w.decode(), k) for k, w in enumerate(self.words))
+        return Places(self._places)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_places": None}
+
+
+def byte_lists(words: list[bytes]) -> pa.Array:
+    """The words as lists of signed bytes."""
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.int8)))
+
+
+def dictionary(docs: DataFrame, table: Table, key: str, pattern: str, rows: int = DICTIONARY_ROWS, words: int = DICTIONARY_WORDS) -> Dictionary:
+    """The words found twice or more in at most ``rows`` texts (by a hash of their key), the most frequent first, folded."""
+    L.small_batches(docs.sparkSession)
+    share = min(1_000_000, -(-rows * 1_000_000 // max(1, docs.count())))
+    sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < share).where(F.octet_length("text") <= DICTIONARY_TEXT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(split(text.as_py() or ""))
+        found = [(w.encode(), n) for w, n in seen.items()]
+        found = [x for x in found if len(x[0]) <= LONG]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), byte_lists([w for w, _ in found]),
+                                          pa.array([n for _, n in found], pa.int64())], names=["word", "bytes", "n"])
+
+    found = sample.select("text").limit(rows).mapInArrow(count, "word binary, bytes array<tinyint>, n bigint")
+    found = found.groupBy("word").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).where("n > 1")
+    found = found.orderBy(F.desc("n"), "word").limit(words).select("word", "bytes")
+    found = found.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("word", "bytes")).alias("w"))
+    found = found.withColumn("ids", F.expr(table.encode("w.bytes"))).withColumn("texts", F.expr(table.decode("ids")))
+    got = found.select(F.col("w.word").alias("word"), "ids", "texts").toArrow()
+    parts = [(w, np.array(i, "<u4"), t) for row in zip(*(got.column(c).to_pylist() for c in range(3))) for w, i, t in zip(*row)]
+    return Dictionary(*([list(c) for c in zip(*parts)] if parts else ([], [], [])))
+
+
+def blocks(docs: DataFrame, key: str, pattern: str, known: Broadcast, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each block of texts: their keys, their numbers of words, the words' places, the distinct words beyond the
+    known ones (whose places come first)."""
     L.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        keys, sizes, codes, place, seen = [], [], array("i"), Places(), 0
+        split, first = regex.compile(pattern).findall, len(known.value.words)
+        keys, sizes, codes, place, seen = [], [], array("i"), known.value.places(), 0
 
         def row() -> pa.RecordBatch:
-            words = [w.encode() for w in place]
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.int8)))
-            outer = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), listed)
+            listed = byte_lists([w.encode() for w in islice(place, first, None)])
+            outer = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
             return pa.RecordBatch.from_arrays([pa.array([keys], BLOCK.field("keys").type), pa.array([sizes], BLOCK.field("sizes").type),
-                                               pa.array([codes.tobytes()], pa.binary()), outer],
-                                              schema=BLOCK)
+                                               pa.array([codes.tobytes()], pa.binary()), outer], schema=BLOCK)
 
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -177,22 +237,32 @@ def blocks(docs: DataFrame, key: str, pattern: str, block_bytes: int = BLOCK_BYT
                 seen += len(text)
                 if seen >= block_bytes:
                     yield row()
-                    keys, sizes, codes, place, seen = [], [], array("i"), Places(), 0
+                    keys, sizes, codes, place, seen = [], [], array("i"), known.value.places(), 0
         if keys:
             yield row()
 
     return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, BLOCK_SQL)
 
 
+def gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The value runs of the codes, one after another."""
+    size = sizes[code]
+    end = np.cumsum(size)
+    if not len(end):
+        return values[:0]
+    return values[np.repeat(begins[code] - (end - size), size) + np.arange(end[-1])]
+
+
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", schema: str = "",
             f: Callable[[bytes, bytes], tuple] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The key of every row with what f makes of its ids (little-endian unsigned 32-bit) and its decoded bytes; by
     default ``ids array<int>, decoded binary``. f runs in the tasks, one text at a time."""
     table = Table(ranks)
-    rows = blocks(docs, key, pattern, block_bytes)
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(dictionary(docs, table, key, pattern))
+    rows = blocks(docs, key, pattern, known, block_bytes)
     rows = rows.withColumn("ids", F.expr(table.encode(f"transform(words, w -> if(size(w) > {LONG}, slice(w, 1, 0), w))")))
     rows = rows.withColumn("texts", F.expr(table.decode("ids")))
-    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     f = f or (lambda ids, text: (np.frombuffer(ids, np.int32).tolist(), text))
     schema = f"{key} bigint, " + (schema or "ids array<int>, decoded binary")
@@ -201,25 +271,38 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark.sql.pandas.types as types
         target = types.to_arrow_schema(out)
-        pieces = {v: k for k, v in shared.value.items()}
         for batch in batches:
             for b in range(batch.num_rows):
                 keys, sizes, codes, words, ids, texts = (c[b] for c in batch.columns)
-                flat = ids.values.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                first = ids.values.offsets.to_numpy() - ids.values.offsets[0].as_py()
-                id_bytes = [flat[a:z].tobytes() for a, z in zip(first[:-1], first[1:])]
-                text_bytes = texts.values.to_pylist()
+                own = ids.values.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                own_ends = ids.values.offsets.to_numpy()[1:].astype(np.int64) - ids.values.offsets[0].as_py()
+                text, text_offsets = T.raw(texts.values)
+                text_ends = text_offsets[1:]
                 length = np.diff(words.values.offsets.to_numpy())
-                for w in np.flatnonzero(length > LONG):
-                    own = merged(words.values[int(w)].values.to_numpy().tobytes(), shared.value)
-                    id_bytes[w] = np.array(own, "<u4").tobytes()
-                    text_bytes[w] = b"".join(pieces[i] for i in own)
+                long = np.flatnonzero(length > LONG)
+                if len(long):  # merged here, and set in their places
+                    id_runs = np.split(own, own_ends[:-1])
+                    text_runs = np.split(text, text_ends[:-1])
+                    pieces = {v: k for k, v in shared.value.items()}
+                    for w in long:
+                        made = merged(words.values[int(w)].values.to_numpy().tobytes(), shared.value)
+                        id_runs[w] = np.array(made, "<u4")
+                        text_runs[w] = np.frombuffer(b"".join(pieces[i] for i in made), np.uint8)
+                    own, text = np.concatenate(id_runs), np.concatenate(text_runs)
+                    own_ends, text_ends = (np.cumsum([len(r) for r in x]) for x in (id_runs, text_runs))
+                d = known.value
+                all_ids = np.concatenate([d.ids, own])
+                id_ends = np.concatenate([d.id_ends, own_ends + len(d.ids)])
+                all_text = np.concatenate([d.texts, text])
+                ends = np.concatenate([d.text_ends, text_ends + len(d.texts)])
                 code = np.frombuffer(codes.as_buffer(), np.int32)
                 made, at = [], 0
-                for k, n in zip(keys.as_py(), sizes.as_py()):
-                    own = code[at : at + n].tolist()
+                id_runs, text_runs = ((x, np.concatenate([[0], e[:-1]]), np.diff(e, prepend=0)) for x, e in (
+                    (all_ids, id_ends), (all_text, ends)))
+                for k, n in zip(keys.as_py(), sizes.values.to_numpy()):
+                    one = code[at : at + n]
                     at += n
-                    made.append((k, *f(b"".join([id_bytes[c] for c in own]), b"".join([text_bytes[c] for c in own]))))
+                    made.append((k, *f(gathered(*id_runs, one).tobytes(), gathered(*text_runs, one).tobytes())))
                 columns = list(zip(*made))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
 
