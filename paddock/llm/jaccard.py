@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from paddock.llm import learn as L
 from paddock.llm import text as T
 from paddock.llm.components import components
-from paddock.llm.sieve import sieved
+from paddock.llm.sieve import divided, sieved
 from paddock.llm.store import stored
 
 COUNTER_ROWS = 16
@@ -211,9 +211,13 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """docs with one row of each class: that of the least doc_id. Rows without an id, and without words, stay."""
-    kept = classes(docs, words, percent).where("component_id = doc_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    found = stored(classes(docs, words, percent).select("doc_id", "component_id").where("doc_id is not null"), "jaccard-classes")
+    others = found.where("component_id != doc_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rows = docs.where("doc_id is not null").select("doc_id", *[c for c in docs.columns if c != "doc_id"])
+    some, rest = divided(rows, others.unionByName(again))  # most rows are neither, and needn't be shuffled
+    out = some.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"]).unionByName(rest)
+    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 from paddock.llm import learn as L
@@ -39,13 +40,21 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose first column (bigint) may be among ids; none that is goes missing."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids))
-
+def _kept(rows: DataFrame, shared: Broadcast, inside: bool) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())]))
+            yield batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())] == inside))
 
     return rows.mapInArrow(keep, rows.schema)
+
+
+def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose first column (bigint, no nulls) may be among ids; none that is goes missing."""
+    return _kept(rows, rows.sparkSession.sparkContext.broadcast(bitmap(ids)), True)
+
+
+def divided(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose first column may be among ids, the others, none of which is)."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids))
+    return _kept(rows, shared, True), _kept(rows, shared, False)
