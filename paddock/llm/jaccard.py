@@ -6,7 +6,7 @@ counts only keep index lists short. There is a counter for about COUNTER_ROWS te
 2**COUNTERS counters. Sets are skipped by their relations at two levels:
 
 * index lists hold (size, position) of a shingle in its sets; a pair is skipped when even full agreement after the two
-  positions, or the sizes alone, can't reach the overlap that is needed;
+  positions, or the sizes alone, can't reach the overlap that is needed, or when the lists that hold both sets are too few;
 * answers come from a highly similar set: each list's members are first compared with one leader, the member with the
   smallest id. Members linked to it are one class already, and two sets with known overlaps to one leader need no
   comparison when the bounds min(o) + min(n - o) < needed (skipped) or o + o' - n(leader) >= needed (linked) decide.
@@ -183,9 +183,14 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     mixed = apart.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
     apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root").alias("x"))
     pairs = apart.join(apart.withColumnRenamed("x", "y"), "token").where(
-        f"x.id < y.id and x.root != y.root and {possible('x.', 'y.')}")
+        f"x.id < y.id and x.root != y.root and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n)")
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+        F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count(F.lit(1)).alias("shared"),
+        F.max(F.expr(possible("x.", "y."))).alias("possible"))
+    # what two sets share up to the end of the prefix that ends first is in both prefixes; the rest is after that end
+    after = f"cast(ceil({percent} * {{0}} / 100D - 1e-9) as bigint) - 1"
+    pairs = pairs.where(f"possible and shared + greatest({after.format('na')}, {after.format('nb')}) >= {needed('na', 'nb', percent)}")
+    pairs = pairs.drop("shared", "possible")
     known = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap", F.col("na").alias("lead_n"))
     known = known.unionByName(first.select(F.col("a").alias("id"), F.col("a").alias("lead"), F.col("na").alias("overlap"),
                                            F.col("na").alias("lead_n")).distinct())
