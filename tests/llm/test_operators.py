@@ -509,6 +509,24 @@ def test_exact_runs_are_covered(spark):
     assert total and missed <= 0.03 * total and all(covered[i] for i in need)
 
 
+@pytest.mark.parametrize("between", [30, 45, 60, 80])
+def test_two_passages_of_one_source(spark, between):
+    def other(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    first, second = other("p", 60), other("q", 60)
+    texts = [(k, " ".join([other(f"a{k}x", 30), first, other(f"b{k}x", between), second, other(f"c{k}x", 30)])) for k in (1, 2)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted((r.start_word, r.end_word, r.agreeing) for r in passages.repeated(df).collect())
+    assert got == [(30, 90, 60), (90 + between, 150 + between, 60)]
+
+
+def test_a_chance_seed_beside_a_passage():
+    own, source = np.arange(200), np.arange(1000, 1200)
+    source[50:110], source[140:145] = own[50:110], own[140:145]  # 60 words, 30 others, a seed
+    assert passages.passages(own, source, np.array([52, 60, 100, 140]), np.array([52, 60, 100, 140])) == [(50, 110, 50, 110, 60)]
+
+
 def test_passages_of_odd_rows(odd, none):
     got = {(r.doc_id, r.source_id) for r in passages.repeated(odd).collect()}
     assert got == {(9, 6)}
