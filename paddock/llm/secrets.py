@@ -3,8 +3,8 @@
 The patterns (``base``) give exact spans of three kinds. The field tags each word (run of non-space) as secret begin, inside
 or outside (B, I, O) from its shape, itself, its neighbours and features of the whole text, with learned transitions; the
 best tagging is found by Viterbi over the whole text. It is trained on the patterns' own spans in a bounded sample of texts
-(``SAMPLE_ROWS``): a tagging learned from surroundings and shapes goes on where a pattern is too narrow. Its spans that touch
-no pattern's span are added with kind ``crf``.
+(``SAMPLE_ROWS``): a tagging learned from surroundings and shapes goes on where a pattern is too narrow. Its spans, or the parts of them
+outside the patterns' spans, are added with kind ``crf``.
 
 Viterbi is exact though it visits few words: where O beats B and I by more than twice the range of the transitions, the best
 tagging has O there whatever its neighbours are, so such words cut a text into independent stretches.
@@ -33,6 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_ASSIGN = 6
+SPACES = " \t\n\v\f\r"
+DELIMITERS = SPACES + "\"'`,;:.=()[]{}<>"
 
 SAMPLE_ROWS = 4096    # texts that the fit sees at most
 SAMPLE_BYTES = 1 << 15
@@ -50,6 +52,19 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def beyond(text: str, found: list[tuple[int, int, int]], a: int, b: int) -> list[tuple[int, int, int]]:
+    """The parts of a tagged span that no pattern's span covers, as added spans; parts of delimiters alone stay."""
+    out, at = [], a
+    for s, _, e in [*found, (b, 0, b)]:
+        part = text[at : min(s, b)]
+        inner = part.strip(SPACES)
+        if inner and (len(part) == b - a or inner.strip(DELIMITERS)):
+            start = at + len(part) - len(part.lstrip(SPACES))
+            out.append((start, 3, start + len(inner)))
+        at = max(at, e)
+    return out
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -282,10 +297,7 @@ def scan(docs: DataFrame, field: Field, out_name: str = "spans") -> DataFrame:
                     found = base(text)
                     if extra:
                         points = T.code_points(d[o[k] : o[k + 1]])
-                        for x, y in extra:
-                            x, y = int(points[x]), int(points[y])
-                            if all(y <= s or e <= x for s, _, e in found):
-                                found.append((x, 3, y))
+                        found += [part for x, y in extra for part in beyond(text, found, int(points[x]), int(points[y]))]
                     out.append([{"kind": KINDS[k_], "start": s, "end": e} for s, k_, e in sorted(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, span)], names=names)
 

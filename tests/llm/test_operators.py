@@ -225,6 +225,18 @@ def test_viterbi_is_exact():
         assert tuple(field.tags(em, np.array([0, n]))) == best
 
 
+def test_tagged_parts_beyond_a_pattern_are_kept():
+    text = 'login password="Abc123!xyz789" done'
+    found = secrets.base(text)
+    a, b = text.index("password"), text.index(" done")
+    assert [text[s:e] for s, _, e in found] == ['password="Abc123']
+    assert [(k, text[s:e]) for s, k, e in secrets.beyond(text, found, a, b)] == [(3, '!xyz789"')]
+    assert [text[s:e] for s, _, e in secrets.beyond(text, found, a, len(text))] == ['!xyz789" done']
+    text = '"token": "abcdef123", next'
+    assert secrets.beyond(text, secrets.base(text), 0, text.index(" next")) == []  # quotes and a comma
+    assert secrets.beyond("one two", [], 0, 3) == [(0, 3, 3)]
+
+
 def test_field_goes_beyond_the_patterns():
     rng = np.random.RandomState(4)
     plain = ["the", "cat", "sat", "on", "a", "mat", "and", "ran"]
