@@ -18,6 +18,7 @@ import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -135,27 +136,32 @@ def completion(left: Remaining, room: int, used: dict[int, int], nodes: int = NO
     def free(s: int) -> int:
         return counts.get(s, 0) - used.get(s, 0) - chosen.get(s, 0)
 
-    def search(rest: int, top: int) -> None:
+    total = list(accumulate(s * free(s) for s in sizes))  # of all free pieces up to a length
+
+    def search(rest: int, i: int) -> None:
+        """Fills rest with lengths up to the place i: a level for a length, so the depth is bounded by the room (1 + 2 + ...)."""
         budget[0] -= 1
-        if rest <= top and free(rest) > 0:  # exact
-            state[0], state[1] = 0, chosen | {rest: chosen.get(rest, 0) + 1}
+        i = min(i, left.largest(rest))
+        if i >= 0 and sizes[i] == rest and free(rest) > 0:  # exact
+            state[0], state[1] = 0, chosen | {rest: 1}
             return
-        i = bisect_right(sizes, min(rest, top)) - 1
         fits = False
         while i >= 0 and state[0] and budget[0] > 0:
+            if rest - total[i] >= state[0]:  # all that is left wastes no less than the incumbent
+                return
             s = sizes[i]
-            if free(s) > 0:
-                fits = True
-                chosen[s] = chosen.get(s, 0) + 1
-                search(rest - s, s)
-                chosen[s] -= 1
-                if not chosen[s]:
-                    del chosen[s]
+            k = min(rest // s, free(s))
+            fits = fits or k > 0
+            while k > 0 and state[0] and budget[0] > 0:
+                chosen[s] = k
+                search(rest - k * s, i - 1)
+                del chosen[s]
+                k -= 1
             i -= 1
         if not fits and rest < state[0]:  # nothing more fits: an undominated filling
             state[0], state[1] = rest, dict(chosen)
 
-    search(room, room)
+    search(room, len(sizes) - 1)
     return state[1]
 
 

@@ -321,6 +321,18 @@ def test_fillings_are_as_few_as_exhaustive_search():
     assert more <= 2
 
 
+def test_many_empty_texts_are_packed():
+    for n in (1500, 2047, 5000):
+        plan = packing.fillings({1: n})
+        assert sum(times for _, times in plan) == -(-n // 2048) and sum(f[1] * times for f, times in plan) == n
+    plan = packing.fillings({1: 1500, 7: 200, 900: 3})
+    used = collections.Counter()
+    for filling, times in plan:
+        assert sum(s * k for s, k in filling.items()) <= 2048
+        used.update({s: k * times for s, k in filling.items()})
+    assert used == {1: 1500, 7: 200, 900: 3} and sum(times for _, times in plan) == 3
+
+
 # ---- op5
 
 def test_bpe_round_trip(docs, odd, none):
