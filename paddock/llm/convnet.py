@@ -39,6 +39,15 @@ def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, begin, np.minimum(begin + CHUNK, offsets[1:][owner])
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray):
+    """(bytes, text, begin, end): the texts with WIDTH zero bytes behind each, so no filter sees two, and their chunks."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.zeros(len(data) + WIDTH * (len(offsets) - 1), np.uint8)
+    out[np.arange(len(data)) + WIDTH * text] = data
+    owner, begin, end = cut(offsets)
+    return out, owner, begin + WIDTH * owner, end + WIDTH * owner
+
+
 class Net:
     """tables[WIDTH, 256, FILTERS], bias; hidden layer; output; combination (mean, least, constant)."""
 
@@ -88,7 +97,7 @@ class Net:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and least chunk logit of every text."""
-        owner, begin, end = cut(offsets)
+        data, owner, begin, end = spaced(data, offsets)
         z = self.logits(self.pooled(data, begin, end, pairs), end - begin)[2].astype(float)
         n = len(offsets) - 1
         first = np.searchsorted(owner, np.arange(n))
@@ -111,10 +120,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, fold: np.ndarray,
     epochs = max(4, -(-steps * batch // len(use))) if len(use) else 0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     weight = np.sqrt(weight)
-    owner, begin, end = cut(offsets)
+    padded, owner, begin, end = spaced(data, offsets)
     first = np.searchsorted(owner, np.arange(len(y) + 1))
-    padded = np.zeros(len(data) + WIDTH + 1, np.uint8)
-    padded[: len(data)] = data
     t = 0
     for epoch in range(epochs):
         order = rng.permutation(use)

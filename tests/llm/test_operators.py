@@ -407,6 +407,25 @@ def test_factorization_pairs_equal_the_double_sum():
         assert abs(z[t] - want) < 1e-3
 
 
+def test_a_text_scores_the_same_in_any_batch():
+    rng = np.random.RandomState(5)
+    texts = ["", "a", "", "short", None, "x" * 600, "".join(chr(c) for c in rng.randint(33, 126, 1500)), "", "\x7f~~~", ""]
+    net = convnet.Net()
+    net.mix = np.array([0.5, 0.5, 0.0])
+    pairs = net.pair_tables()
+    alone = [float(net.score(*T.of_strings([t]), pairs)[0]) for t in texts]
+    for _ in range(20):
+        order = rng.permutation(len(texts))
+        assert np.allclose(net.score(*T.of_strings([texts[k] for k in order]), pairs), [alone[k] for k in order], rtol=0, atol=1e-6)
+    y, fold = np.arange(40) % 2, np.arange(40) % 5 + 1
+    data, offsets, owner, begin, end = *T.of_strings(texts), *convnet.spaced(*T.of_strings(texts))[1:]
+    spread = convnet.spaced(data, offsets)[0]
+    for k, t in enumerate(texts):
+        b, e = begin[owner == k].min(), end[owner == k].max()
+        assert bytes(spread[b:e]).decode() == (t or "") and not spread[e:e + convnet.WIDTH].any()
+    assert np.isfinite(convnet.fit(*T.of_strings(["", "abc"] * 20), y, fold, steps=5).mix).all()
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         owner, begin, end = convnet.cut(np.array([0, n]))
