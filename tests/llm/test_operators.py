@@ -570,6 +570,21 @@ def test_a_chance_seed_beside_a_passage():
     assert passages.passages(own, source, np.array([52, 60, 100, 140]), np.array([52, 60, 100, 140])) == [(50, 110, 50, 110, 60)]
 
 
+def test_each_copy_of_a_passage_is_found():
+    def other(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    texts = [" ".join([other("a", 20), other("p", 60)]), " ".join([other("p", 60), other("b", 40), other("p", 60), other("c", 9), other("p", 60)])]
+    _, _, h, first = T.words(*T.of_strings(texts), T.SPACE, lower=True)
+    heads = {}
+    (v, p, *_), (w, q, *_) = passages.seeds(h, first)
+    for seed, at in zip(v, p):
+        heads.setdefault(seed, at)
+    found = np.array([(at, heads[seed]) for seed, at in zip(w, q) if seed in heads])
+    got = passages.passages(h[first[1]:], h[:first[1]], found[:, 0], found[:, 1])
+    assert sorted(got) == [(0, 60, 20, 80, 60), (100, 160, 20, 80, 60), (169, 229, 20, 80, 60)]
+
+
 def test_passages_of_odd_rows(odd, none):
     got = {(r.doc_id, r.source_id) for r in passages.repeated(odd).collect()}
     assert got == {(9, 6)}
