@@ -585,6 +585,36 @@ def test_each_copy_of_a_passage_is_found():
     assert sorted(got) == [(0, 60, 20, 80, 60), (100, 160, 20, 80, 60), (169, 229, 20, 80, 60)]
 
 
+def test_seeds_that_lead_to_other_texts(spark):
+    def some(name, a, b):
+        return " ".join(f"{name}{i}" for i in range(a, b))
+
+    both = some("p", 0, 80)
+    rows = [(1, some("p", 0, 40) + " x1"), (2, "x2 " + some("p", 40, 80)), (3, f"x3 {both} y3"), (4, f"x4 x5 {both} y4"),
+            (11, some("q", 0, 45)), (12, "z " + some("q", 0, 50)), (13, some("q", 0, 50) + " z"),
+            (21, some("r", 3, 50)), (22, some("r", 0, 47)), (23, some("r", 0, 50)), (24, "v " + some("r", 0, 50) + " w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.source_id, r.start_word, r.end_word) for r in passages.repeated(df).collect()}
+    assert got == {(4, 3, 2, 82), (13, 12, 0, 50), (24, 23, 1, 51)}
+
+
+def test_no_exact_run_is_missed(spark):
+    rng = np.random.RandomState(12)
+    lines = [" ".join(f"k{v}" for v in rng.randint(0, 3000, n)) for n in rng.randint(8, 40, 60)]  # frequent lines
+    texts = {k: " ".join(lines[v] for v in rng.randint(0, 60, rng.randint(2, 9))).split() for k in range(300)}
+    texts = {k: v[rng.randint(0, 6):len(v) - rng.randint(0, 6)] for k, v in texts.items()}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id bigint, text string").repartition(4)
+    first, need = {}, collections.defaultdict(set)
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 49):
+            if first.setdefault(tuple(texts[i][k:k + 50]), i) != i:
+                need[i].update(range(k, k + 50))
+    covered = collections.defaultdict(set)
+    for r in passages.repeated(df).collect():
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    assert sum(map(len, need.values())) > 1000 and not sum(len(v - covered[i]) for i, v in need.items())
+
+
 def test_passages_of_odd_rows(odd, none):
     got = {(r.doc_id, r.source_id) for r in passages.repeated(odd).collect()}
     assert got == {(9, 6)}
