@@ -3,34 +3,20 @@
 from __future__ import annotations
 
 from paddock.llm.bpe import op5_bpe
+from paddock.llm.centroids import op11_centroid_clustering
 from paddock.llm.convnet import op6_quality_classifier
 from paddock.llm.fingerprint import op8_document_fingerprints
 from paddock.llm.jaccard import op1_ngram_jaccard_join
+from paddock.llm.manifest import op12_merkle_manifest
+from paddock.llm.neighbours import op13_embedding_near_dedup
 from paddock.llm.packing import op4_best_fit_packing
 from paddock.llm.passages import op10_substring_dedup
 from paddock.llm.rules import op2_quality_rules
 from paddock.llm.secrets import op3_secret_scans
 from paddock.llm.shards import op7_sharding
+from paddock.llm.sql import ORACLE  # noqa: F401
 from paddock.llm.toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_secret_scans, op4_best_fit_packing, op5_bpe, op6_quality_classifier,
-                                   op7_sharding, op8_document_fingerprints, op9_toxicity, op10_substring_dedup)}
-# Near-duplicate classes in SQL: shingle sets, pairs that share shingles, and the least id reachable by links.
-JACCARD_SQL = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (SELECT DISTINCT doc_id, shingle FROM (
-  SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words) u),
-sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
-edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.least FROM reach r JOIN edges e ON e.x = r.doc_id)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
-FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
-LEFT JOIN (SELECT doc_id, min(least) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
-
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": JACCARD_SQL}
+                                   op7_sharding, op8_document_fingerprints, op9_toxicity, op10_substring_dedup, op11_centroid_clustering,
+                                   op12_merkle_manifest, op13_embedding_near_dedup)}
