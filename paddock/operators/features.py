@@ -16,22 +16,15 @@ from paddock.settings import Settings
 KEYS = ["country_code", "sale_date"]
 
 
-def first_history_year(history: DataFrame) -> int | None:
-    """Earliest sale year present: ``min`` over the one date column (the scan
-    reads only that column). A lower bound is enough: extra empty year buckets
-    cost nothing, a missing one would drop history."""
-    d = history.agg(F.min("sale_date")).first()[0]
-    return d.year if d is not None else None
-
-
 def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scope: str = "set",
-                   first_year: int | None = None, year_start: int | None = None):
-    """``year_start``: the first year of ``base``; the 36-month blocks read history from three years before it."""
+                   year_start: int | None = None, hot: DataFrame | None = None):
+    """``year_start``: the first year of ``base``; the 36-month blocks read history from three years before it.
+    ``hot``: the crowded keys, where a table of them is at hand."""
     hm = region_hist(regions, scope)
     late = P.recent(history, None if year_start is None else year_start - 3)
-    sire = P.sire_metrics(base, late, hm, regions)
-    dam = P.dam_stats(base, history, hm, first_year)
-    vendor = P.vendor_metrics(base, late, hm)
+    sire = P.sire_metrics(base, late, hm, regions, hot=hot)
+    dam = P.dam_stats(base, history, hm, hot=hot)
+    vendor = P.vendor_metrics(base, late, hm, hot=hot)
     return sire, dam, vendor
 
 
@@ -57,16 +50,17 @@ def assemble(base: DataFrame, medians: DataFrame, sire: DataFrame, dam: DataFram
 
 
 def lot_features(lots: DataFrame, regions: DataFrame, settings: Settings,
-                 overrides: DataFrame | None = None, use_prior_year: bool = True) -> DataFrame:
+                 overrides: DataFrame | None = None, use_prior_year: bool = True, hot: DataFrame | None = None) -> DataFrame:
     """Scoring features for every lot of every sale in the year range (the inference rows)."""
     base = L.base_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median_final(base, lots, overrides, use_prior_year, settings.lot_type)
-    sire, dam, vendor = feature_blocks(base, history, regions, "set", first_history_year(lots), settings.year_start)
+    sire, dam, vendor = feature_blocks(base, history, regions, "set", settings.year_start, hot)
     return assemble(base, medians, sire, dam, vendor, with_deltas=True)
 
 
-def training_frame(lots: DataFrame, regions: DataFrame, settings: Settings, scope: str = "own") -> DataFrame:
+def training_frame(lots: DataFrame, regions: DataFrame, settings: Settings, scope: str = "own",
+                   hot: DataFrame | None = None) -> DataFrame:
     """S17 + P9/P10: sold lots with point-in-time features and ``log_price_index``.
 
     Training history is the own country (``scope='own'``), as the reference trains.
@@ -74,7 +68,7 @@ def training_frame(lots: DataFrame, regions: DataFrame, settings: Settings, scop
     base = L.training_lots(lots, settings)
     history = L.yearling_history(lots, settings.lot_type)
     medians = M.session_median(base)
-    sire, dam, vendor = feature_blocks(base, history, regions, scope, first_history_year(lots), settings.year_start)
+    sire, dam, vendor = feature_blocks(base, history, regions, scope, settings.year_start, hot)
     f = assemble(base, medians, sire, dam, vendor, with_deltas=False)
     y = F.log(F.col("price") / F.col("session_median_price"))
     return (f.withColumn("log_price_index", y)

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.operators import lots as L
+from paddock.operators import pointintime as P
 from paddock.settings import FIXTURE_SETTINGS, Settings
 from paddock.sources import regions as R
 from paddock.sources.fixture import Fixture
@@ -47,6 +48,11 @@ class Context:
             fx.table("lot_rows"), fx.table("sales"), fx.table("companies"), fx.table("countries"),
             fx.table("lot_types"), fx.table("horses"), fx.table("sires")), partition_by="sale_year")
 
+    @property
+    def hot_keys(self) -> DataFrame:
+        """The crowded sires, dams and vendors of the history (few or none)."""
+        return self.fx.derived("hot_keys", lambda: P.hot_keys(self.history))
+
     @property
     def base(self) -> DataFrame:
         return L.base_lots(self.lots, self.settings)

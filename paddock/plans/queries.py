@@ -17,6 +17,7 @@ from paddock.operators import medians as M
 from paddock.operators import pointintime as P
 from paddock.plans import oracle as O
 from paddock.plans.context import Context
+from paddock.session import saved, work_path
 from paddock.sources.regions import region_hist
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,7 +160,7 @@ def q_session_median_final(c: Context):
 # ------------------------------------------------------------------ point-in-time
 
 def _sire(c: Context, months):
-    return P.sire_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"), c.regions, months)
+    return P.sire_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"), c.regions, months, c.hot_keys)
 
 
 @register("sire_metrics_36m", O.with_() + O.sire_sql((36,)) + " SELECT * FROM sire")
@@ -179,12 +180,12 @@ def q_sire(c: Context):
 
 @register("dam_stats", O.with_() + O.dam_sql() + " SELECT * FROM dam")
 def q_dam(c: Context):
-    return P.dam_stats(c.base, c.history, region_hist(c.regions, "set"), FT.first_history_year(c.lots))
+    return P.dam_stats(c.base, c.history, region_hist(c.regions, "set"), c.hot_keys)
 
 
 @register("vendor_metrics", O.with_() + O.vendor_sql() + " SELECT * FROM vendor")
 def q_vendor(c: Context):
-    return P.vendor_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"))
+    return P.vendor_metrics(c.base, P.recent(c.history, c.settings.year_start - 3), region_hist(c.regions, "set"), hot=c.hot_keys)
 
 
 FEATURE_OUT = ["lot_id", "sale_id", "country_code", "sale_date", "session_median_price",
@@ -200,12 +201,12 @@ FEATURE_OUT = ["lot_id", "sale_id", "country_code", "sale_date", "session_median
 
 def features_df(c: Context):
     return c.fx.derived("lot_features", lambda: FT.lot_features(
-        c.lots, c.regions, c.settings, c.t("session_overrides")))
+        c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
 
 
 @register("lot_features", O.with_() + O.FEATURES + f" SELECT {', '.join(FEATURE_OUT)} FROM feat")
 def q_lot_features(c: Context):
-    return FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides")).select(*FEATURE_OUT)
+    return FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys).select(*FEATURE_OUT)
 
 
 # ------------------------------------------------------------------ scoring
@@ -218,8 +219,8 @@ from paddock.operators import scoring as SC  # noqa: E402
 
 
 def scored_df(c: Context, features: DataFrame | None = None) -> DataFrame:
-    f = features if features is not None else FT.lot_features(c.lots, c.regions, c.settings,
-                                                               c.t("session_overrides"))
+    f = features if features is not None else FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"),
+                                                               hot=c.hot_keys)
     return SC.score(SC.fixed_model(SC.scorable(f)), c.offsets, c.settings)
 
 
@@ -248,7 +249,7 @@ def q_elite_scaling(c: Context):
 @register("confidence_tier", O.with_() + O.SCORE + """
 SELECT lot_id, sale_id, flags AS flag_count, distance_band, mv_confidence_tier FROM scored""")
 def q_confidence_tier(c: Context):
-    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"))
+    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys)
     p = SC.fixed_model(SC.scorable(f)).join(F.broadcast(c.offsets.select(
         "country_code", "close_threshold", "extreme_threshold")), "country_code")
     a = F.abs(F.col("pred_q50"))
@@ -570,7 +571,7 @@ TRAIN_OUT = ["lot_id", "sale_id", "country_code", "sale_year", "price", "session
 
 
 def train_frame(c: Context) -> DataFrame:
-    return FT.training_frame(c.lots, c.regions, c.settings, "own")
+    return FT.training_frame(c.lots, c.regions, c.settings, "own", c.hot_keys)
 
 
 @register("training_frame", O.with_() + O.TRAIN + f"""
@@ -686,6 +687,10 @@ def q_calibration(c: Context):
 from paddock.operators import boosting as BO  # noqa: E402
 from paddock.operators import registry as RG  # noqa: E402
 
+# Fewer and larger steps than the source's 500 of 0.05: a round is six passes over the rows of all countries.
+BOOSTER = {"rounds": 24, "rate": 0.3, "patience": 6}
+
+
 def trained(c: Context):
     """(baseline, metrics, importance) of every configured country, trained once in this run; also the trees and the encoder.
 
@@ -693,12 +698,11 @@ def trained(c: Context):
     """
     if getattr(c, "_trained", None) is not None:
         return c._trained
-    tf = train_frame(c).checkpoint()
+    tf = c.fx.derived("trained_rows", lambda: train_frame(c))
     c._encoder = c.fx.derived("trained_encoder", lambda: FT.fit_label_encoder(tf))
     matrix = c.fx.derived("trained_matrix", lambda: _encoded_matrix(c, tf, c._encoder), partition_by="country_code")
-    c._trees = c.fx.derived("trained_trees", lambda: BO.train_boosters(matrix, SETTINGS.FEATURE_COLS))
-    base = c.fx.derived("trained_baseline", lambda: TR.baseline_metrics(
-        matrix, SETTINGS.FEATURE_COLS, [r[0] for r in c.regions.select("country_code").orderBy("country_code").collect()]))
+    c._trees = c.fx.derived("trained_trees", lambda: BO.train_boosters(matrix, SETTINGS.FEATURE_COLS, **BOOSTER))
+    base = c.fx.derived("trained_baseline", lambda: TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS))
     metrics = c.fx.derived("trained_metrics", lambda: _model_metrics(c, matrix, base))
     model = F.broadcast(c.regions.select("country_code", "model"))
     importance = c.fx.derived("trained_importance", lambda: BO.importance(c._trees, SETTINGS.FEATURE_COLS).join(
@@ -710,7 +714,8 @@ def trained(c: Context):
 def _model_metrics(c: Context, matrix: DataFrame, base: DataFrame) -> DataFrame:
     """One row a country, named as the region's configured model."""
     pred = BO.predict_quantiles(matrix.where(F.col("split") == "test"), c._trees, SETTINGS.FEATURE_COLS)
-    pred = pred.withColumn("session_median_price", F.exp(F.col("log_session_median_price")) - 1).checkpoint()
+    pred = pred.withColumn("session_median_price", F.exp(F.col("log_session_median_price")) - 1)
+    pred = saved(pred, work_path(c.spark, "trained-predictions"))
     counts = matrix.groupBy("country_code").agg(*[
         F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(f"{s}_rows") for s in ("train", "validation", "test")])
     b = base.select("country_code", "naive_mae", F.col("test_mae").alias("baseline_test_mae"), F.col("passes").alias("baseline_passes"))
@@ -772,7 +777,7 @@ def q_score_lots_trained(c: Context):
     """M11 + M16 with the boosters trained above: features -> stored encoder -> matrix -> predict -> score."""
     trained(c)
     encoder, metrics = c._encoder, c._trained[1]
-    f = SC.scorable(FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides")))
+    f = SC.scorable(FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
     enc = FT.apply_label_encoder(f, encoder)
     keep = ["lot_id", "horse_id", "sale_id", "country_code", "lot_number", "book_number", "sex", "horse_name",
             "sire_name"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings every job in the library assumes: UTC so DATE/TIMESTAMP
 # arithmetic is day-exact, AQE for runtime re-planning (skew splits, partition
@@ -56,3 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf_dir.rstrip("/") + "/rdd-checkpoints")
     return conf_dir.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table of this run, below the shared folder."""
+    return f"{shared_dir(spark)}/paddock-work/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written once as Parquet and read again: later jobs start from the files, also after losing an executor."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def freed(spark: SparkSession, path: str) -> None:
+    """Drops an intermediate table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
