@@ -48,9 +48,22 @@ def py_round(x: Column, digits: int) -> Column:
     return F.when(F.abs(p) < F.lit(2.0 ** 52), whole / F.lit(f) + F.lit(0.0)).otherwise(x)
 
 
-def truthy_round(x: Column, digits: int) -> Column:
-    """``round(v, d) if v else None``: zero and NULL both become NULL."""
-    return F.when(x.isNotNull() & (x != 0), py_round(x, digits))
+def py_round_of(name: str, digits: int) -> Column:
+    """``py_round`` of a double column by its name: the same formula as one SQL text, which is planned much faster."""
+    f = float(10 ** digits)
+    f_high = 134217729.0 * f - (134217729.0 * f - f)
+    high = f"(134217729D * {name} - (134217729D * {name} - {name}))"
+    low, p = f"({name} - {high})", f"({name} * {f!r}D)"
+    error = f"((({high} * {f_high!r}D - {p}) + {high} * {f - f_high!r}D + {low} * {f_high!r}D) + {low} * {f - f_high!r}D)"
+    tie = f"{p} - cast(floor({p}) as double) = 0.5D AND {error} <> 0"
+    whole = f"CASE WHEN {tie} THEN cast(floor({p}) as double) + CASE WHEN {error} > 0 THEN 1D ELSE 0D END ELSE rint({p}) END"
+    return F.expr(f"CASE WHEN abs({p}) < {2.0 ** 52!r}D THEN ({whole}) / {f!r}D + 0D ELSE {name} END")
+
+
+def truthy_round(x: Column | str, digits: int) -> Column:
+    """``round(v, d) if v else None``: zero and NULL both become NULL. A name stands for its double column."""
+    column, rounded = (F.col(x), py_round_of(x, digits)) if isinstance(x, str) else (x, py_round(x, digits))
+    return F.when(column.isNotNull() & (column != 0), rounded)
 
 
 def pct_rate(num: Column, den: Column, digits: int = 1, *, numpy_style: bool = True) -> Column:

@@ -30,17 +30,10 @@ def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scop
 
 def assemble(base: DataFrame, medians: DataFrame, sire: DataFrame, dam: DataFrame, vendor: DataFrame,
              with_deltas: bool = True) -> DataFrame:
-    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block.
-
-    The blocks meet on a narrow key frame, which joins the wide lot rows once (by lot_id).
-    """
-    keys = base.select("lot_id", "country_code", "sale_date", "sire_id", "dam_id", "vendor_id")
-    blocks = (keys.join(sire, KEYS + ["sire_id"], "left")
-              .join(dam, KEYS + ["dam_id"], "left")
-              .join(vendor, KEYS + ["vendor_id"], "left")
-              .drop("country_code", "sale_date", "sire_id", "dam_id", "vendor_id"))
-    f = (base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
-         .join(blocks, "lot_id", "left"))
+    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block."""
+    f = base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
+    for block, key in ((sire, "sire_id"), (dam, "dam_id"), (vendor, "vendor_id")):
+        f = f.join(block, KEYS + [key], "left")
     if with_deltas:
         m = F.col("session_median_price")
         f = (f.withColumn("sire_vs_sale_median_delta", F.col("sire_median_price_36m") - m)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from paddock.functions.similarity import char_tokens_udf, name_ratio, overlap_fraction
 from paddock.packaging import ship_package
-from paddock.session import shared_dir
-from paddock.operators.salestats import sale_stats, yoy_change
+from paddock.operators.salestats import COUNT_COLS, QUARTILES, STAT_COLS, YOY_STATS, sale_stats, yoy_change
+from paddock.session import saved, work_path
 
 
 def _sales(sales: DataFrame) -> DataFrame:
@@ -89,35 +89,41 @@ def matches(sales: DataFrame, min_back: int, max_back: int, mode: str = "fuzzy",
                     "match_end_date", "match_sale_type_id", "ratio"))
 
 
+def _matched(sales: DataFrame, back: int, mode: str, threshold: float) -> DataFrame:
+    """The matches, evaluated once: pairs of sales are few, and the similarity UDF stays out of every later branch."""
+    return saved(matches(sales, 1, back, mode, threshold), work_path(sales.sparkSession, "sale-matches"))
+
+
 def prior_year_block(sales: DataFrame, lot_rows: DataFrame, mode: str = "fuzzy",
-                     threshold: float = 0.75) -> DataFrame:
-    """A17 + A18: pooled stats over all matched sales of year - 1, and the YoY block."""
-    # sale pairs are few (bounded by sales, not lots); checkpointing them once in
-    # the shared folder keeps the similarity UDF out of every later branch
-    shared_dir(sales.sparkSession)
-    m = matches(sales, 1, 1, mode, threshold).checkpoint()
+                     threshold: float = 0.75, columns: list[str] | None = None) -> DataFrame:
+    """A17 + A18: pooled stats over all matched sales of year - 1, and the YoY block.
+
+    ``columns``: the pooled statistics wanted besides those of the YoY block (all without it).
+    """
+    m = _matched(sales, 1, mode, threshold)
+    wanted = [c for c in STAT_COLS if c in YOY_STATS or columns is None or c in columns]
     meta = m.groupBy("sale_id").agg(
         F.count(F.lit(1)).alias("prior_sale_count"),
         F.array_sort(F.collect_list(F.struct("match_start_date", "match_sale_id", "match_sale_name"))).alias("_l"),
         F.min("match_start_date").alias("prior_start_date"),
         F.max("match_end_date").alias("prior_end_date"))
-    meta = meta.withColumn("prior_sale_ids", F.col("_l.match_sale_id")).withColumn(
-        "prior_sale_names", F.col("_l.match_sale_name")).drop("_l")
-    prior = sale_stats(lot_rows, m.select("sale_id", F.col("match_sale_id").alias("member_id"))
-                       .withColumnRenamed("sale_id", "group_id").withColumnRenamed("member_id", "sale_id"),
-                       ["group_id"]).withColumnRenamed("group_id", "sale_id")
-    cur = sale_stats(lot_rows.join(meta.select("sale_id"), "sale_id", "left_semi"))
+    # a sale itself and its matches are two groups of sales: both come from one reading of the lots
+    own = m.select("sale_id").distinct().select("sale_id", F.lit("own").alias("side"), F.col("sale_id").alias("member"))
+    members = m.select("sale_id", F.lit("prior").alias("side"), F.col("match_sale_id").alias("member")).unionByName(own)
+    both = sale_stats(lot_rows, members.select(F.col("sale_id").alias("group_id"), "side", F.col("member").alias("sale_id")),
+                      ["group_id", "side"], columns=wanted).withColumnRenamed("group_id", "sale_id")
+    both = saved(both, work_path(sales.sparkSession, "sale-years"))   # two rows a sale
+    prior, cur = (both.where(F.col("side") == s).drop("side") for s in ("prior", "own"))
     yoy = yoy_change(cur, prior)
-    p = prior.select("sale_id", *[F.col(c).alias(f"prior_{c}") for c in prior.columns if c != "sale_id"])
-    return meta.join(p, "sale_id").join(yoy, "sale_id", "left")
+    p = prior.select("sale_id", *[F.col(c).alias(f"prior_{c}") for c in wanted])
+    out = meta.join(p, "sale_id").join(yoy, "sale_id", "left")
+    return out.withColumn("prior_sale_ids", F.col("_l.match_sale_id")).withColumn("prior_sale_names", F.col("_l.match_sale_name")).drop("_l")
 
 
 def history_block(sales: DataFrame, lot_rows: DataFrame, years: int, mode: str = "fuzzy",
                   threshold: float = 0.75) -> DataFrame:
     """Per (sale, matched year): ordered id/name/type lists and pooled stats; ``years=0`` disables."""
-    shared_dir(sales.sparkSession)
-    m = matches(sales, 1, max(years, 1), mode, threshold)
-    m = m.checkpoint() if years > 0 else m.where(F.lit(False))
+    m = _matched(sales, years, mode, threshold) if years > 0 else matches(sales, 1, 1, "exact").where(F.lit(False))
     ordered = F.array_sort(F.collect_list(F.struct("match_start_date", "match_sale_id", "match_sale_name",
                                                    "match_sale_type_id")))
     meta = m.groupBy("sale_id", F.col("match_year").alias("year")).agg(
@@ -130,7 +136,6 @@ def history_block(sales: DataFrame, lot_rows: DataFrame, years: int, mode: str =
                        "start_date", "end_date")
     mem = m.select(F.col("sale_id").alias("group_id"), F.col("match_year").alias("year"),
                    F.col("match_sale_id").alias("sale_id"))
-    st = sale_stats(lot_rows, mem, ["group_id", "year"]).withColumnRenamed("group_id", "sale_id")
-    st = st.select("sale_id", "year", "total_lots", "sold_count", "passed_in_count", "withdrawn_count",
-                   "clearance_rate", "gross", "avg_price", "median_price", "q1_price", "q3_price", "top10_avg")
+    st = sale_stats(lot_rows, mem, ["group_id", "year"], columns=[
+        *COUNT_COLS, "clearance_rate", "gross", "avg_price", *QUARTILES, "top10_avg"]).withColumnRenamed("group_id", "sale_id")
     return meta.join(st, ["sale_id", "year"])

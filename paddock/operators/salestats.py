@@ -2,15 +2,17 @@
 
 Statistics are computed for *groups of sales*: a group is one sale (sale
 detail), a set of fuzzy-matched prior-year sales (prior-year block) or one year
-of a sale's history. ``membership`` rows (group..., sale_id) say which sales a
-group pools; the lot rows are joined to it and aggregated once per group.
+of a sale's history. A single sale's statistics are aggregates over its lots. Groups of several
+sales are merged from summaries: one row a sale (counts, sums, moments, extremes, bands, its ten
+highest prices) and one row a (sale, price); ``membership`` rows (group..., sale_id) say which sales a group pools, so lots
+are read and reduced once however many groups a sale is in.
 
-Scale notes: a group can hold a third of all lots, so every statistic is
-partial-aggregating (sums, min/max, ``stddev_samp``, ``percentile`` maps) and
+Scale notes: a sale can hold a third of all lots, so every statistic is
+partial-aggregating (sums, min/max, ``var_pop``, ``percentile`` maps of prices) and
 the top-10 uses a ``row_number() <= 10`` filter, which Spark turns into a
 map-side ``WindowGroupLimit`` (each map task keeps its local top 10 per group
-before the shuffle). How the membership table (pairs of sales) is joined is left
-to the measured sizes.
+before the shuffle). Only the parts that the asked columns need are planned. How the membership table
+(pairs of sales) is joined is left to the measured sizes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock import settings as S
-from paddock.functions.rounding import py_round, truthy_round
+from paddock.functions.rounding import py_round, py_round_of, truthy_round
 from paddock.operators.lots import not_withdrawn, upcoming_label
 from paddock.settings import Settings
 
@@ -31,13 +33,6 @@ def _sold_price() -> Column:
     return F.when(_sold(), F.col("price"))
 
 
-def _pooled(lot_rows: DataFrame, membership: DataFrame | None, group_cols: list[str]) -> DataFrame:
-    rows = lot_rows.select("sale_id", "price", "is_withdrawn", "is_passed_in")
-    if membership is None:
-        return rows.withColumnRenamed("sale_id", group_cols[0]) if group_cols != ["sale_id"] else rows
-    return rows.join(membership.select(*group_cols, "sale_id").distinct(), "sale_id")
-
-
 def lot_stats_aggs() -> list[Column]:
     """Total, withdrawn, passed-in (not withdrawn), sold; all lot types."""
     return [
@@ -49,21 +44,22 @@ def lot_stats_aggs() -> list[Column]:
     ]
 
 
+def _bands() -> list[tuple[str, float | None, float | None]]:
+    edges = S.PRICE_BAND_EDGES
+    return list(zip(BAND_COLS, [None, *edges], [*edges, None]))
+
+
 def price_aggs() -> list[Column]:
+    """Gross, average, extremes, bands and moments of the sold prices."""
     p = _sold_price()
-    edges = S.PRICE_BAND_EDGES
-    bands = [("under_50k", None, edges[0]), ("band_50k_100k", edges[0], edges[1]),
-             ("band_100k_200k", edges[1], edges[2]), ("band_200k_500k", edges[2], edges[3]),
-             ("band_500k_1m", edges[3], edges[4]), ("over_1m", edges[4], None)]
     out = [
         F.sum(F.coalesce(p, F.lit(0.0))).alias("_gross"),
         F.avg(p).alias("_avg"),
         F.min(p).alias("_min"),
         F.max(p).alias("_max"),
         F.stddev_samp(p).alias("_std"),
-        F.percentile(p, [0.25, 0.5, 0.75]).alias("_q"),
     ]
-    for name, lo, hi in bands:
+    for name, lo, hi in _bands():
         cond = p.isNotNull()
         if lo is not None:
             cond = cond & (p >= lo)
@@ -74,50 +70,107 @@ def price_aggs() -> list[Column]:
 
 
 BAND_COLS = ["under_50k", "band_50k_100k", "band_100k_200k", "band_200k_500k", "band_500k_1m", "over_1m"]
+COUNT_COLS = ["total_lots", "sold_count", "passed_in_count", "withdrawn_count"]
+QUARTILES = {"q1_price": 0, "median_price": 1, "q3_price": 2}
+STAT_COLS = [*COUNT_COLS, "clearance_rate", "gross", "avg_price", *QUARTILES, "min_price", "max_price", "top10_avg", "std_dev", *BAND_COLS]
+TOP = 10
 
 
-def top10_avg(pooled: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Mean of the 10 highest sold prices per group (fewer if fewer)."""
+def highest(rows: DataFrame, group_cols: list[str]) -> DataFrame:
+    """L2: the (at most ten) highest sold prices of each group, ``_top`` in falling order."""
     w = Window.partitionBy(*group_cols).orderBy(F.col("price").desc())
-    top = (pooled.where(_sold()).select(*group_cols, "price")
-           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 10))
-    return top.groupBy(*group_cols).agg(F.avg("price").alias("_top10"))
+    top = rows.where(_sold()).select(*group_cols, "price").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= TOP)
+    return top.groupBy(*group_cols).agg(F.sort_array(F.collect_list("price"), asc=False).alias("_top"))
+
+
+def top10_avg() -> Column:
+    """Mean of the highest prices."""
+    return F.aggregate("_top", F.lit(0.0), lambda a, x: a + x) / F.size("_top")
+
+
+def _aggregated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The statistics of each sale, unrounded, from its lots."""
+    aggs = [*lot_stats_aggs(), *price_aggs()]
+    if set(columns) & set(QUARTILES):
+        aggs.append(F.percentile(_sold_price(), [0.25, 0.5, 0.75]).alias("_q"))
+    g = rows.groupBy("sale_id").agg(*aggs)
+    if "top10_avg" in columns:
+        g = g.join(highest(rows, ["sale_id"]), "sale_id", "left").withColumn("_top10", top10_avg())
+    return g
+
+
+def sale_summary(lot_rows: DataFrame, columns: list[str] = tuple(STAT_COLS)) -> DataFrame:
+    """One mergeable row a sale: counts, sums, extremes, bands, ``_mean`` and ``_m2`` of the sold prices, highest prices."""
+    rows = lot_rows.select("sale_id", "price", "is_withdrawn", "is_passed_in")
+    p = _sold_price()
+    g = rows.groupBy("sale_id").agg(*lot_stats_aggs(), *price_aggs(), (F.var_pop(p) * F.count(p)).alias("_m2"))
+    return g.join(highest(rows, ["sale_id"]), "sale_id", "left") if "top10_avg" in columns else g
+
+
+def price_counts(lot_rows: DataFrame) -> DataFrame:
+    """(sale_id, price, n): how often each sold price of a sale comes."""
+    return lot_rows.where(_sold()).groupBy("sale_id", "price").agg(F.count("*").alias("n"))
+
+
+def _merged(lot_rows: DataFrame, membership: DataFrame, group_cols: list[str], columns: list[str]) -> DataFrame:
+    """The statistics of each group of sales, unrounded, from the summaries of its members; zeros where none has lots."""
+    members = membership.select(*group_cols, "sale_id").distinct()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in [*COUNT_COLS, *BAND_COLS]]
+    own = members.join(sale_summary(lot_rows, columns), "sale_id", "left")
+    parts = F.collect_list(F.when(F.col("sold_count") > 0, F.struct("sold_count", "_avg", "_m2")))   # one a member
+    g = own.groupBy(*group_cols).agg(*sums, F.sum("_gross").alias("_gross"), F.min("_min").alias("_min"), F.max("_max").alias("_max"),
+                                     *([parts.alias("_parts")] if "std_dev" in columns else []),
+                                     *([F.flatten(F.collect_list("_top")).alias("_tops")] if "top10_avg" in columns else []))
+    g = g.withColumn("_avg", F.col("_gross") / F.nullif(F.col("sold_count"), F.lit(0)))
+    if "std_dev" in columns:
+        spread = F.aggregate("_parts", F.lit(0.0), lambda a, s: a + s["_m2"] + s["sold_count"] * (s["_avg"] - F.col("_avg")) * (s["_avg"] - F.col("_avg")))
+        g = g.withColumn("_std", F.when(F.col("sold_count") > 1, F.sqrt(spread / (F.col("sold_count") - 1))))
+    if "top10_avg" in columns:
+        g = g.withColumn("_top", F.slice(F.sort_array("_tops", asc=False), 1, TOP))
+        g = g.withColumn("_top10", F.when(F.size("_top") > 0, top10_avg()))
+    if set(columns) & set(QUARTILES):
+        q = members.join(price_counts(lot_rows), "sale_id").groupBy(*group_cols).agg(
+            F.percentile("price", [0.25, 0.5, 0.75], F.col("n")).alias("_q"))
+        g = g.join(q, group_cols, "left")
+    return g
 
 
 def sale_stats(lot_rows: DataFrame, membership: DataFrame | None = None,
-               group_cols: list[str] = ("sale_id",), every: DataFrame | None = None) -> DataFrame:
+               group_cols: list[str] = ("sale_id",), every: DataFrame | None = None,
+               columns: list[str] | None = None) -> DataFrame:
     """A11-A16 for each group: lot counts, clearance, price block (NULL when nothing sold).
 
     Rounding follows the source: Python ``round`` (half-even on the binary
-    value), and a zero gross/avg/... becomes NULL. ``every`` holds groups that get a
-    row of zeros when they have no lots; with a membership, its groups do.
+    value), and a zero gross/avg/... becomes NULL. ``every`` holds sales (one row
+    each) that get a row of zeros when they have no lots; with a membership, its groups do.
+    ``columns`` are the statistics wanted (all of STAT_COLS without it).
     """
-    group_cols = list(group_cols)
-    pooled = _pooled(lot_rows, membership, group_cols)
-    g = pooled.groupBy(*group_cols).agg(*lot_stats_aggs(), *price_aggs())
-    g = g.join(top10_avg(pooled, group_cols), group_cols, "left")
-    if every is None and membership is not None:
-        every = membership
-    if every is not None:
-        g = every.select(*group_cols).distinct().join(g, group_cols, "left").fillna(
-            0, ["total_lots", "withdrawn_count", "passed_in_count", "sold_count"])
+    group_cols, columns = list(group_cols), list(columns or STAT_COLS)
+    if membership is not None:
+        g = _merged(lot_rows, membership, group_cols, columns)
+    else:
+        g = _aggregated(lot_rows.select("sale_id", "price", "is_withdrawn", "is_passed_in"), columns)
+        if every is not None:
+            g = every.select("sale_id").join(g, "sale_id", "left").fillna(0, COUNT_COLS)
     eligible = F.col("total_lots") - F.col("withdrawn_count")
     has = F.col("sold_count") > 0
-    q = F.col("_q")
-    cols = [F.col(c) for c in group_cols] + [
-        "total_lots", "sold_count", "passed_in_count", "withdrawn_count",
-        F.when(eligible > 0, py_round(F.lit(100.0) * F.col("sold_count") / eligible, 1)).alias("clearance_rate"),
-        F.when(has, truthy_round(F.col("_gross"), 2)).alias("gross"),
-        F.when(has, truthy_round(F.col("_avg"), 2)).alias("avg_price"),
-        F.when(has, truthy_round(q[1], 2)).alias("median_price"),
-        F.when(has, truthy_round(q[0], 2)).alias("q1_price"),
-        F.when(has, truthy_round(q[2], 2)).alias("q3_price"),
-        F.when(has, truthy_round(F.col("_min"), 2)).alias("min_price"),
-        F.when(has, truthy_round(F.col("_max"), 2)).alias("max_price"),
-        F.when(has, truthy_round(F.col("_top10"), 2)).alias("top10_avg"),
-        F.when(has, truthy_round(F.col("_std"), 2)).alias("std_dev"),
-    ] + [F.when(has, F.col(b)).alias(b) for b in BAND_COLS]
-    return g.select(*cols)
+    g = g.withColumn("_clearance", F.when(eligible > 0, F.lit(100.0) * F.col("sold_count") / eligible))
+    if set(columns) & set(QUARTILES):
+        g = g.withColumns({f"_{c}": F.col("_q")[i] for c, i in QUARTILES.items()})
+
+    def shown(c: str) -> Column:
+        if c in COUNT_COLS:
+            return F.col(c)
+        if c == "clearance_rate":
+            return py_round_of("_clearance", 1).alias(c)
+        if c in BAND_COLS:
+            return F.when(has, F.col(c)).alias(c)
+        if c in QUARTILES:
+            return F.when(has, truthy_round(f"_{c}", 2)).alias(c)
+        source = {"gross": "_gross", "avg_price": "_avg", "min_price": "_min", "max_price": "_max", "top10_avg": "_top10", "std_dev": "_std"}
+        return F.when(has, truthy_round(source[c], 2)).alias(c)
+
+    return g.select(*group_cols, *[shown(c) for c in columns])
 
 
 def sale_books(lot_rows: DataFrame) -> DataFrame:
@@ -207,15 +260,16 @@ def lot_type_volume(lots: DataFrame, settings: Settings) -> DataFrame:
                         py_round(F.lit(100.0) * F.col("sold_lots") / F.col("total_lots"), 1))
 
 
+YOY_STATS = ["gross", "avg_price", "median_price", "sold_count", "clearance_rate"]
+
+
 def yoy_change(cur: DataFrame, prior: DataFrame, key: str = "sale_id") -> DataFrame:
     """Year-over-year block from two already-rounded stat rows joined on ``key``.
 
     Present only when both sides have a price block (sold > 0 on both).
     """
-    c = cur.select(key, *[F.col(x).alias(f"c_{x}") for x in
-                          ("gross", "avg_price", "median_price", "sold_count", "clearance_rate")])
-    p = prior.select(key, *[F.col(x).alias(f"p_{x}") for x in
-                            ("gross", "avg_price", "median_price", "sold_count", "clearance_rate")])
+    c = cur.select(key, *[F.col(x).alias(f"c_{x}") for x in YOY_STATS])
+    p = prior.select(key, *[F.col(x).alias(f"p_{x}") for x in YOY_STATS])
     j = c.join(p, key)
 
     def pct(name):

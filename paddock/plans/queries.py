@@ -357,37 +357,36 @@ POOLED_ALL = "\n, pooled AS (SELECT sale_id, price, is_withdrawn, is_passed_in F
 STATS_ALL = O.with_() + POOLED_ALL + O.stats_sql("pooled", ["sale_id"], every="SELECT sale_id FROM sales")
 
 
-def _stats(c: Context):
-    return ST.sale_stats(c.t("lot_rows"), every=c.t("sales").select("sale_id"))
+def _stats(c: Context, *columns: str):
+    return ST.sale_stats(c.t("lot_rows"), every=c.t("sales").select("sale_id"), columns=columns).select("sale_id", *columns)
 
 
 @register("sale_lot_stats", STATS_ALL + """
 SELECT sale_id, total_lots, sold_count, passed_in_count, withdrawn_count, clearance_rate FROM st""")
 def q_sale_lot_stats(c: Context):
-    return _stats(c).select("sale_id", "total_lots", "sold_count", "passed_in_count", "withdrawn_count",
-                            "clearance_rate")
+    return _stats(c, "total_lots", "sold_count", "passed_in_count", "withdrawn_count", "clearance_rate")
 
 
 @register("sale_price_stats", STATS_ALL + """
 SELECT sale_id, gross, avg_price, min_price, max_price, std_dev FROM st""")
 def q_sale_price_stats(c: Context):
-    return _stats(c).select("sale_id", "gross", "avg_price", "min_price", "max_price", "std_dev")
+    return _stats(c, "gross", "avg_price", "min_price", "max_price", "std_dev")
 
 
 @register("sale_quartiles", STATS_ALL + "SELECT sale_id, q1_price, median_price, q3_price FROM st")
 def q_sale_quartiles(c: Context):
-    return _stats(c).select("sale_id", "q1_price", "median_price", "q3_price")
+    return _stats(c, "q1_price", "median_price", "q3_price")
 
 
 @register("sale_price_bands", STATS_ALL + """
 SELECT sale_id, under_50k, band_50k_100k, band_100k_200k, band_200k_500k, band_500k_1m, over_1m FROM st""")
 def q_sale_price_bands(c: Context):
-    return _stats(c).select("sale_id", *ST.BAND_COLS)
+    return _stats(c, *ST.BAND_COLS)
 
 
 @register("sale_top10_avg", STATS_ALL + "SELECT sale_id, top10_avg FROM st")
 def q_sale_top10_avg(c: Context):
-    return _stats(c).select("sale_id", "top10_avg")
+    return _stats(c, "top10_avg")
 
 
 @register("sale_books", O.with_() + """
@@ -502,7 +501,7 @@ SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale
        THEN round_even(cs.clearance_rate - ps.clearance_rate, 1) END AS clearance_rate_change
 FROM meta JOIN ps ON ps.group_id = meta.sale_id LEFT JOIN cs ON cs.sale_id = meta.sale_id""")
 def q_sale_yoy(c: Context):
-    return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact")).select(
+    return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact", columns=["total_lots"])).select(
         *YOY_COLS, "prior_sale_ids", "prior_sale_names")
 
 

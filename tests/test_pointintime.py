@@ -166,3 +166,97 @@ def test_hot_key_matches_brute_force(spark, regions):
             assert r[f"sire_passedin_count_{m}"] == int(ww["passed_in_flag"].sum())
             med = sold.median() if len(sold) else None
             assert (med is None and pd.isna(r[f"sire_median_price_{m}"])) or med == r[f"sire_median_price_{m}"]
+
+
+def crowd(spark, n=4000, days=300, seed=1):
+    import numpy as np
+    rng = np.random.RandomState(seed)
+    rows = []
+    for i in range(n):
+        sold = int(rng.rand() < 0.7)
+        rows.append((("AFR", "EUR", "ASI")[i % 3], i, D(2015, 1, 1) + dt.timedelta(int(rng.randint(0, days)) * 7), 7 if i % 3 else int(rng.randint(0, 40)),
+                     int(rng.randint(0, 9)), 1, float(rng.choice([500, 1000, 1000.5, 99999]) + rng.randint(0, 50)) if sold else None, sold, 1 - sold))
+    return lots(spark, rows)
+
+
+def test_two_looks_equal_one(spark, regions):
+    """Crowded keys, ranked by price bins first, have the windows of the single look, and both those of brute force."""
+    import statistics
+    df = crowd(spark).checkpoint()
+    hm = region_hist(regions)
+    months = (36, 12, None)
+    one_look = {tuple(r)[:3]: tuple(r)[3:] for r in P.windowed(df, df, hm, "sire_id", months, P.hot_keys(df, ("sire_id",), 10 ** 9)).collect()}
+    hot = P.hot_keys(df, ("sire_id",), 50)
+    assert 1 <= hot.count() < 40
+    two = {tuple(r)[:3]: tuple(r)[3:] for r in P.windowed(df, df, hm, "sire_id", months, hot).collect()}
+    assert one_look == two and len(two) > 1000
+    sets = {r["country_code"]: set(r["hist_countries"]) for r in regions.collect()}
+    rows = df.collect()
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r["sire_id"], []).append(r)
+    for (cc, key, day), got in list(two.items())[::37]:
+        i = 0
+        for m in months:
+            start = D.min if m is None else D(day.year - m // 12, day.month, min(day.day, 28) if day.month == 2 else day.day)
+            w = [r for r in by_key[key] if r["country_code"] in sets[cc] and start <= r["sale_date"] < day]
+            prices = [r["price"] for r in w if r["sold_flag"]]
+            k = len(months)
+            assert got[2 * i: 2 * i + 2] == (len(prices), sum(r["passed_in_flag"] for r in w))
+            assert got[2 * k + i] == (statistics.median(prices) if prices else None)
+            i += 1
+
+
+def test_rows_do_not_grow_with_the_window(spark, regions):
+    """No operator of the plan makes more rows than history and probes have, however long the windows are."""
+    df = crowd(spark, 1500, 100, 2).checkpoint()
+    hot = P.hot_keys(df, ("sire_id",), 10 ** 9)
+
+    def most_rows(months):
+        out = P.windowed(df, df, region_hist(regions), "sire_id", months, hot)
+        out.collect()
+        plan, seen = out._jdf.queryExecution().executedPlan(), []
+
+        def walk(p):
+            if "AdaptiveSparkPlan" in p.nodeName():
+                return walk(p.executedPlan())
+            if "QueryStage" in p.nodeName():
+                return walk(p.plan())
+            metric = p.metrics().get("numOutputRows")
+            if metric.isDefined():
+                seen.append(metric.get().value())
+            for i in range(p.children().size()):
+                walk(p.children().apply(i))
+        walk(plan)
+        return max(seen)
+
+    short, long = most_rows((1,)), most_rows((1200,))
+    assert short == long <= 3 * 1500
+
+
+def test_ranks_by_halving():
+    import numpy as np
+    rng = np.random.RandomState(0)
+    value, weight = rng.randint(0, 30, 400).astype(float), rng.randint(0, 4, 400)
+    a = rng.randint(0, 390, 500)
+    b = np.minimum(400, a + 1 + rng.randint(0, 200, 500))
+    total = np.array([weight[x:y].sum() for x, y in zip(a, b)])
+    a, b, total = a[total > 0], b[total > 0], total[total > 0]
+    k = (rng.rand(len(a)) * total).astype(int)
+    got, place = P.kth(value, weight, a, b, k)
+    for i in range(len(a)):
+        s = np.sort(np.repeat(value[a[i]:b[i]], weight[a[i]:b[i]]))
+        assert got[i] == s[k[i]] and place[i] == k[i] - np.searchsorted(s, s[k[i]])
+    assert P.kth(np.array([5.0]), np.array([3]), np.array([0]), np.array([1]), np.array([2]))[0] == [5.0]
+
+
+def test_runs_are_cut_between_keys(spark, regions, monkeypatch):
+    """Runs of a few rows at a time, with keys longer than a run, change nothing."""
+    import pyarrow as pa
+    t = pa.table({"country_code": ["A"] * 5 + ["B"] * 9 + ["C"], "key": pa.array([1, 1, 2, 2, 2] + [1] * 9 + [4], pa.int64())})
+    monkeypatch.setattr(P, "CHUNK", 4)
+    for size in (1, 2, 3, 20):
+        parts = list(P._runs(iter(t.to_batches(max_chunksize=size)), ["country_code", "key"]))
+        assert pa.concat_tables(parts).equals(t) or pa.concat_tables(parts).to_pylist() == t.to_pylist()
+        keys = [set(zip(p.column(0).to_pylist(), p.column(1).to_pylist())) for p in parts]
+        assert sum(map(len, keys)) == 4

@@ -86,3 +86,89 @@ def test_hot_sale_matches_brute_force(spark):
     assert got["top10_avg"] == round(sold.nlargest(10).mean(), 2)
     assert abs(got["std_dev"] - round(sold.std(), 2)) <= 0.01
     assert got["gross"] == round(sold.sum(), 2)
+
+
+def brute_stats(lots):
+    """Statistics of pooled lots (price, withdrawn, passed in), as the source rounds them."""
+    import numpy as np
+    wd = [w == 1 for _, w, _ in lots]
+    sold = sorted(p for (p, w, i) in lots if p is not None and p > 0 and w != 1 and i != 1)
+    nz = lambda v, d=2: round(float(v), d) if v else None
+    out = {"total_lots": len(lots), "sold_count": len(sold), "withdrawn_count": sum(wd),
+           "passed_in_count": sum(1 for _, w, i in lots if w != 1 and i == 1)}
+    eligible = len(lots) - sum(wd)
+    out["clearance_rate"] = round(100.0 * len(sold) / eligible, 1) if eligible > 0 else None
+    a = np.array(sold)
+    out.update(dict.fromkeys(["gross", "avg_price", "median_price", "q1_price", "q3_price", "min_price", "max_price", "top10_avg", "std_dev"]))
+    if sold:
+        out.update(gross=nz(a.sum()), avg_price=nz(a.mean()), median_price=nz(np.median(a)), q1_price=nz(np.quantile(a, 0.25)),
+                   q3_price=nz(np.quantile(a, 0.75)), min_price=nz(a[0]), max_price=nz(a[-1]), top10_avg=nz(a[::-1][:10].mean()),
+                   std_dev=nz(a.std(ddof=1)) if len(a) > 1 else None)
+    return out
+
+
+def test_pooled_statistics_equal_a_pooling_of_lots(spark):
+    """Groups of sales merged from summaries against the statistics of their lots put together: a sale with a third of all lots,
+    sales without lots or sold lots, sales in several groups, equal and very large prices."""
+    import numpy as np
+    rng = np.random.RandomState(3)
+    rows = []
+    for i in range(900):
+        sale = 1 if i % 3 == 0 else int(rng.randint(2, 9))
+        price = None if rng.rand() < 0.1 else float(rng.choice([0, 1000, 5e4, 123456, 1e6, 7e7]) + rng.randint(0, 3))
+        rows.append((sale, None if sale == 8 else price, int(rng.rand() < 0.1) or None, int(rng.rand() < 0.2), 1, 1))
+    rows += [(20, 3e7, 0, 0, 1, 1)] * 25
+    lots = lot_rows(spark, rows).repartition(6)
+    members = {"a": [1, 2, 3], "b": [3, 4], "c": [8], "d": [99], "e": [20], "f": [20, 5], "g": [6]}
+    m = spark.createDataFrame([(g, s) for g, ss in members.items() for s in ss] + [("a", 1)], "g string, sale_id long")
+    got = {r["g"]: r.asDict() for r in ST.sale_stats(lots, m, ["g"]).collect()}
+    alone = {r["sale_id"]: r.asDict() for r in ST.sale_stats(lots).collect()}
+    assert set(got) == set(members)
+    for g, sales in members.items():
+        want = brute_stats([(p, w, i) for s, p, w, i, _, _ in rows if s in sales])
+        assert {k: got[g][k] for k in want} == want, g
+    for s in range(1, 9):
+        want = brute_stats([(p, w, i) for x, p, w, i, _, _ in rows if x == s])
+        assert {k: alone[s][k] for k in want} == want
+    assert ST.sale_stats(lots, m, ["g"], columns=["gross", "total_lots"]).columns == ["g", "gross", "total_lots"]
+
+
+def test_prior_year_and_history_equal_a_pooling(spark):
+    """A17 and A19 with fuzzy names: every block equals the pooled lots of its matched sales."""
+    from paddock.operators import fuzzy as FZ
+    from paddock.plans import queries as Q
+    from paddock.plans.context import Context
+    c = Context.of(spark, "/root/testdata/sf0.001")
+    by_sale = {}
+    for r in c.t("lot_rows").select("sale_id", "price", "is_withdrawn", "is_passed_in").collect():
+        by_sale.setdefault(r[0], []).append(tuple(r)[1:])
+    matched, years = {}, {}
+    for r in FZ.matches(c.t("sales"), 1, c.settings.sale_history_years, "fuzzy", c.settings.similarity_threshold).collect():
+        years.setdefault((r["sale_id"], r["match_year"]), set()).add(r["match_sale_id"])
+        matched.setdefault(r["sale_id"], []).append((r["match_year"], r["match_sale_id"]))
+    pool = lambda ids: brute_stats([x for s in ids for x in by_sale.get(s, [])])
+    year = {r["sale_id"]: r["start_date"].year for r in c.t("sales").collect()}
+    prior = {r["sale_id"]: r for r in Q.q_prior_year_stats(c).collect()}
+    assert set(prior) == {s for s, y in years if y == year[s] - 1} and len(prior) > 50
+    pct = lambda a, b: round(100.0 * (a - b) / b, 1) if a and b else None
+    for s, r in prior.items():
+        want, own = pool(years[s, year[s] - 1]), brute_stats(by_sale.get(s, []))
+        assert {k: r[f"prior_{k}"] for k in want} == want
+        if own["sold_count"] and want["sold_count"]:
+            assert r["gross_pct"] == pct(own["gross"], want["gross"]) and r["median_price_pct"] == pct(own["median_price"], want["median_price"])
+    history = {(r["sale_id"], r["year"]): r for r in Q.q_sale_history_fuzzy(c).collect()}
+    assert set(history) == set(years)
+    for k, r in history.items():
+        want = pool(years[k])
+        assert all(r[x] == want[x] for x in ("total_lots", "sold_count", "gross", "avg_price", "median_price", "q1_price", "q3_price", "top10_avg"))
+
+
+def test_rounding_by_name(spark):
+    """The SQL form of Python's rounding, ties and near ties among the values."""
+    import random
+
+    from paddock.functions.rounding import py_round_of
+    rng = random.Random(5)
+    xs = [0.5, 1.5, 2.5, 2.675, 0.125, 2.45, 6.25, -0.05, -2.5, 0.0, -0.0, 1e16, 1e300, 1 / 3] + [rng.choice([1, -1]) * rng.randrange(10 ** 7) / 8000 for _ in range(3000)]
+    for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[py_round_of("x", d).alias(f"r{d}") for d in (1, 2)]).collect():
+        assert r["r1"] == round(r["x"], 1) and r["r2"] == round(r["x"], 2)
