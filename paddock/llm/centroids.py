@@ -39,6 +39,7 @@ from paddock.packaging import ship_package
 
 WIDTH, SCALE = 64, 1024
 CENTROIDS, ROUNDS, SALT = 8, 10, "3"
+LIMB = 100            # bits of a limb: the limbs of 2^26 tasks have a sum of 38 decimal digits
 FITS = 1 << 26        # components up to here have exact sums and squares in 64-bit integers
 MOST = (1 << 63) - 1
 
@@ -123,11 +124,22 @@ def starts(embeddings: DataFrame, k: int = CENTROIDS, width: int = WIDTH, scale:
     return [[int(v) for v in integers(np.array([r["x"]]), scale)[0]] for r in first]
 
 
+def limbs(v: int) -> list[tuple[int, int]]:
+    """(place, limb) of an integer in base 2^LIMB, without zeros; limbs carry its sign."""
+    sign, v, out, place = (-1 if v < 0 else 1), abs(v), [], 0
+    while v:
+        v, limb = v >> LIMB, v & ((1 << LIMB) - 1)
+        if limb:
+            out.append((place, sign * limb))
+        place += 1
+    return out
+
+
 def totals(embeddings: DataFrame, centroids: list[list[int]], scale: int = SCALE) -> list[list[int]]:
     """For each centroid: the sum of each component of its vectors, their count, and the sum of their distances."""
     ship_package(embeddings.sparkSession)
     k, width = len(centroids), len(centroids[0])
-    schema = pa.schema([("c", pa.int32()), ("part", pa.int32()), ("total", pa.decimal128(38, 0))])
+    schema = pa.schema([("c", pa.int32()), ("part", pa.int32()), ("place", pa.int32()), ("total", pa.decimal128(38, 0))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Ordered(centroids)
@@ -141,14 +153,14 @@ def totals(embeddings: DataFrame, centroids: list[list[int]], scale: int = SCALE
                 of = cluster == j
                 sums = [*x[of].sum(0).tolist(), int(of.sum()), int(d[of].astype(object).sum())]
                 own[j] = [a + int(b) for a, b in zip(own[j], sums)]
-        rows = [(j, p, Decimal(v)) for j in range(k) for p, v in enumerate(own[j]) if v]
+        rows = [(j, p, place, Decimal(limb)) for j in range(k) for p, v in enumerate(own[j]) for place, limb in limbs(v)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    parts = embeddings.select("embedding").mapInArrow(run, "c int, part int, total decimal(38,0)")
+    parts = embeddings.select("embedding").mapInArrow(run, "c int, part int, place int, total decimal(38,0)")
     out = [[0] * (width + 2) for _ in range(k)]
-    for r in parts.groupBy("c", "part").agg(F.sum("total").alias("total")).collect():  # k x (width + 2) rows at most
-        out[r["c"]][r["part"]] = int(r["total"])
+    for r in parts.groupBy("c", "part", "place").agg(F.sum("total").alias("total")).collect():  # k x (width + 2), times the limbs
+        out[r["c"]][r["part"]] += int(r["total"]) << (LIMB * r["place"])
     return out
 
 
