@@ -344,6 +344,11 @@ SALES_Y = """
 """
 
 
+def with_recursive() -> str:
+    """``with_`` for a query with a recursive CTE."""
+    return with_().replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def exact_matches(min_back: int, max_back: int) -> str:
     return SALES_Y + f"""
 , m AS (SELECT c.sale_id, p.sale_id AS match_sale_id, p.year AS match_year, p.sale_name AS match_sale_name,
@@ -353,6 +358,43 @@ def exact_matches(min_back: int, max_back: int) -> str:
 """
 
 
+def fuzzy_matches(min_back: int, max_back: int, threshold: float) -> str:
+    """``m`` as in exact_matches with names that are similar instead of equal, and their ``ratio``.
+
+    Ratcliff-Obershelp by its definition: the longest common run of a window (the first in the one name, then the first in the
+    other, of equally long ones) splits it in two, and so on; the ratio is twice the matched characters over all. ``grid`` holds
+    the length of the common run that starts at each pair of places, ``runs`` the longest run of each window as one number.
+    """
+    best = "max(least(g.k, {w}.ahi - g.i, {w}.bhi - g.j) * 1000000 + (999 - g.i) * 1000 + (999 - g.j)) AS best"
+    inside = "g.an = {w}.an AND g.bn = {w}.bn AND g.i >= {w}.alo AND g.i < {w}.ahi AND g.j >= {w}.blo AND g.j < {w}.bhi"
+    return SALES_Y + f"""
+, pairs AS MATERIALIZED (SELECT DISTINCT c.lname AS an, p.lname AS bn FROM sl c JOIN sl p ON p.company_id = c.company_id
+   AND p.year >= c.year - {max_back} AND p.year <= c.year - {min_back})
+, chars_a AS (SELECT DISTINCT an, i, an[i] AS ch FROM (SELECT an, unnest(range(1, length(an) + 1)) AS i FROM pairs) u)
+, chars_b AS (SELECT DISTINCT bn, j, bn[j] AS ch FROM (SELECT bn, unnest(range(1, length(bn) + 1)) AS j FROM pairs) u)
+, equal_at AS (SELECT p.an, p.bn, a.i, b.j, a.i - row_number() OVER (PARTITION BY p.an, p.bn, a.i - b.j ORDER BY a.i) AS island
+   FROM pairs p JOIN chars_a a ON a.an = p.an JOIN chars_b b ON b.bn = p.bn AND b.ch = a.ch)
+, grid AS MATERIALIZED (SELECT an, bn, i, j, max(i) OVER (PARTITION BY an, bn, i - j, island) - i + 1 AS k FROM equal_at)
+, runs(an, bn, alo, ahi, blo, bhi, best) AS (
+   SELECT w.an, w.bn, w.alo, w.ahi, w.blo, w.bhi, {best.format(w="w")}
+   FROM (SELECT an, bn, 1 AS alo, length(an) + 1 AS ahi, 1 AS blo, length(bn) + 1 AS bhi FROM pairs) w JOIN grid g ON {inside.format(w="w")}
+   GROUP BY w.an, w.bn, w.alo, w.ahi, w.blo, w.bhi
+   UNION ALL
+   SELECT w.an, w.bn, w.alo, w.ahi, w.blo, w.bhi, {best.format(w="w")}
+   FROM (SELECT an, bn, CASE side WHEN 0 THEN alo ELSE i + k END AS alo, CASE side WHEN 0 THEN i ELSE ahi END AS ahi,
+           CASE side WHEN 0 THEN blo ELSE j + k END AS blo, CASE side WHEN 0 THEN j ELSE bhi END AS bhi
+         FROM (SELECT *, best // 1000000 AS k, 999 - best // 1000 % 1000 AS i, 999 - best % 1000 AS j FROM runs) r, (VALUES (0), (1)) s(side)) w
+   JOIN grid g ON {inside.format(w="w")}
+   GROUP BY w.an, w.bn, w.alo, w.ahi, w.blo, w.bhi)
+, alike AS (SELECT an, bn, CAST(2.0 AS DOUBLE) * CAST(sum(best // 1000000) AS BIGINT) / (length(an) + length(bn)) AS ratio FROM runs GROUP BY an, bn)
+, m AS (SELECT c.sale_id, p.sale_id AS match_sale_id, p.year AS match_year, p.sale_name AS match_sale_name,
+    p.start_date AS match_start_date, p.end_date AS match_end_date, p.sale_type_id AS match_sale_type_id, s.ratio
+  FROM sl c JOIN sl p ON p.company_id = c.company_id
+   AND p.year >= c.year - {max_back} AND p.year <= c.year - {min_back} AND p.sale_id <> c.sale_id
+  JOIN alike s ON s.an = c.lname AND s.bn = p.lname AND s.ratio >= {threshold})
+"""
+
+
 # ---------------------------------------------------------------- training frame (own-country history)
 
 TRAIN = ("""

@@ -472,7 +472,7 @@ YOY_COLS = ["sale_id", "prior_sale_count", "prior_start_date", "prior_end_date",
             "gross_pct", "avg_price_pct", "median_price_pct", "sold_count_change", "clearance_rate_change"]
 
 
-@register("sale_yoy", O.with_() + O.exact_matches(1, 1) + """
+YOY_GROUPS = ("""
 , pm AS (SELECT l.sale_id AS member_id, m.sale_id AS group_id, l.price, l.is_withdrawn, l.is_passed_in
          FROM lot_rows l JOIN m ON m.match_sale_id = l.sale_id)
 , pooled_p AS (SELECT group_id, price, is_withdrawn, is_passed_in FROM pm)
@@ -483,10 +483,8 @@ YOY_COLS = ["sale_id", "prior_sale_count", "prior_start_date", "prior_end_date",
     string_agg(CAST(match_sale_id AS VARCHAR), ',' ORDER BY match_start_date, match_sale_id) AS prior_sale_ids,
     string_agg(match_sale_name, '|' ORDER BY match_start_date, match_sale_id) AS prior_sale_names,
                   max(match_end_date) AS prior_end_date FROM m GROUP BY sale_id)
-SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
-  ps.total_lots AS prior_total_lots, ps.sold_count AS prior_sold_count, ps.clearance_rate AS prior_clearance_rate,
-  ps.gross AS prior_gross, ps.avg_price AS prior_avg_price, ps.median_price AS prior_median_price,
-  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.gross IS NOT NULL AND cs.gross <> 0 AND ps.gross > 0
+""")
+YOY_CHANGE = """  CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.gross IS NOT NULL AND cs.gross <> 0 AND ps.gross > 0
        THEN round_even(CAST(100.0 AS DOUBLE) * (cs.gross - ps.gross) / ps.gross, 1) END AS gross_pct,
   CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.avg_price IS NOT NULL AND cs.avg_price <> 0
             AND ps.avg_price > 0
@@ -499,7 +497,15 @@ SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale
   CASE WHEN cs.sold_count > 0 AND ps.sold_count > 0 AND cs.clearance_rate IS NOT NULL
             AND ps.clearance_rate IS NOT NULL
        THEN round_even(cs.clearance_rate - ps.clearance_rate, 1) END AS clearance_rate_change
-FROM meta JOIN ps ON ps.group_id = meta.sale_id LEFT JOIN cs ON cs.sale_id = meta.sale_id""")
+"""
+YOY_FROM = "FROM meta JOIN ps ON ps.group_id = meta.sale_id LEFT JOIN cs ON cs.sale_id = meta.sale_id"
+
+
+@register("sale_yoy", O.with_() + O.exact_matches(1, 1) + YOY_GROUPS + """
+SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
+  ps.total_lots AS prior_total_lots, ps.sold_count AS prior_sold_count, ps.clearance_rate AS prior_clearance_rate,
+  ps.gross AS prior_gross, ps.avg_price AS prior_avg_price, ps.median_price AS prior_median_price,
+""" + YOY_CHANGE + YOY_FROM)
 def q_sale_yoy(c: Context):
     return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "exact", columns=["total_lots"])).select(
         *YOY_COLS, "prior_sale_ids", "prior_sale_names")
@@ -523,7 +529,8 @@ def _history_out(df):
                       .alias("sale_type_ids"))
 
 
-@register("sale_history", O.with_() + O.exact_matches(1, FIXTURE_YEARS := 5) + """
+FIXTURE_YEARS = 5
+HISTORY_SQL = ("""
 , pooled_h AS (SELECT m.sale_id AS group_id, m.match_year AS year, l.price, l.is_withdrawn, l.is_passed_in
                FROM lot_rows l JOIN m ON m.match_sale_id = l.sale_id)""" + O.stats_sql("pooled_h", ["group_id", "year"], "hs") + """
 , meta AS (SELECT sale_id, match_year AS year, min(match_start_date) AS start_date, max(match_end_date) AS end_date,
@@ -535,21 +542,31 @@ SELECT meta.sale_id, meta.year, meta.start_date, meta.end_date, hs.total_lots, h
   hs.withdrawn_count, hs.clearance_rate, hs.gross, hs.avg_price, hs.median_price, hs.q1_price, hs.q3_price,
   hs.top10_avg, meta.sale_ids, meta.sale_names, meta.sale_type_ids
 FROM meta JOIN hs ON hs.group_id = meta.sale_id AND hs.year = meta.year""")
+
+
+@register("sale_history", O.with_() + O.exact_matches(1, FIXTURE_YEARS) + HISTORY_SQL)
 def q_sale_history(c: Context):
     return _history_out(FZ.history_block(c.t("sales"), c.t("lot_rows"), c.settings.sale_history_years, "exact"))
 
 
-@register("fuzzy_matches")
+FUZZY = ST.S.FIXTURE_SETTINGS.similarity_threshold
+
+
+@register("fuzzy_matches", O.with_recursive() + O.fuzzy_matches(1, FIXTURE_YEARS, FUZZY) + " SELECT * FROM m")
 def q_fuzzy_matches(c: Context):
     return FZ.matches(c.t("sales"), 1, c.settings.sale_history_years, "fuzzy", c.settings.similarity_threshold)
 
 
-@register("prior_year_stats")
+@register("prior_year_stats", O.with_recursive() + O.fuzzy_matches(1, 1, FUZZY) + YOY_GROUPS + """
+SELECT meta.sale_id, meta.prior_sale_ids, meta.prior_sale_names, meta.prior_sale_count, meta.prior_start_date, meta.prior_end_date,
+  """ + ", ".join(f"ps.{x} AS prior_{x}" for x in ST.STAT_COLS) + """,
+  cs.sold_count > 0 AND ps.sold_count > 0 AS has_yoy,
+""" + YOY_CHANGE + YOY_FROM)
 def q_prior_year_stats(c: Context):
     return _prior_lists(FZ.prior_year_block(c.t("sales"), c.t("lot_rows"), "fuzzy", c.settings.similarity_threshold))
 
 
-@register("sale_history_fuzzy")
+@register("sale_history_fuzzy", O.with_recursive() + O.fuzzy_matches(1, FIXTURE_YEARS, FUZZY) + HISTORY_SQL)
 def q_sale_history_fuzzy(c: Context):
     return _history_out(FZ.history_block(c.t("sales"), c.t("lot_rows"), c.settings.sale_history_years, "fuzzy",
                                          c.settings.similarity_threshold))
