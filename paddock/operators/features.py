@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock import settings as S
 from paddock.operators import lots as L
@@ -121,3 +122,26 @@ def model_matrix(frame: DataFrame, feature_cols: list[str] = tuple(S.FEATURE_COL
         cols.append(v.alias(c))
     return frame.select(*cols)
 
+
+def listed_matrix(frame: DataFrame, lists: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """M2 for models that each bring their own feature list: keep..., model, ``x`` (the model's values in its own order).
+
+    ``lists`` is (country_code, model, features array, further columns that are kept); a lot gets a row for every model of its
+    country, all in one pass. Features that the frame lacks, nulls and text that is no number are 0, as in ``model_matrix``.
+    """
+    models = lists.collect()                                       # one row a model
+    names = sorted({f for m in models for f in m["features"]})
+    place = {f: i + 1 for i, f in enumerate(names)}
+    spark = frame.sparkSession
+    schema = T.StructType([*lists.schema, T.StructField("_places", T.ArrayType(T.IntegerType()))])
+    placed = spark.createDataFrame([(*m, [place[f] for f in m["features"]]) for m in models], schema)
+    more = [c for c in lists.columns if c not in ("country_code", "model", "features")]
+    rows = model_matrix(frame, names, list(dict.fromkeys([*keep, "country_code"])))
+    rows = rows.withColumn("_all", F.array(*[F.col(f"`{f}`") for f in names]) if names else F.array().cast("array<double>"))
+    out = rows.join(F.broadcast(placed), "country_code")           # one row a model
+    return out.select(*keep, "model", F.transform("_places", lambda p: F.element_at("_all", p)).alias("x"), *more)
+
+
+def linear_score(x: str = "x", weights: str = "weights"):
+    """The sum of the products of two arrays."""
+    return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

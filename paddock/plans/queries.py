@@ -609,20 +609,20 @@ def _encoded_matrix(c: Context, tf: DataFrame | None = None, encoder: DataFrame
                            keep=["lot_id", "country_code", "split", "log_price_index", "sale_year", "price"])
 
 
-def _matrix_sql() -> str:
-    cols = []
-    for f in SETTINGS.FEATURE_COLS:
-        if f.startswith("log_"):
-            cols.append(f"round_even(ln(1 + coalesce(CAST(t.{f[4:]} AS DOUBLE), 0.0)), 6) AS {f}")
-        elif f.endswith("_encoded"):
-            base = f[: -len("_encoded")]
-            cols.append(f"CAST(e_{base}.code AS DOUBLE) AS {f}")
-        else:
-            cols.append(f"coalesce(CAST(t.{f} AS DOUBLE), 0.0) AS {f}")
+def _feature_sql(f: str) -> str:
+    if f.startswith("log_"):
+        return f"ln(1 + coalesce(CAST(t.{f[4:]} AS DOUBLE), 0.0))"
+    if f.endswith("_encoded"):
+        return f"CAST(e_{f[: -len('_encoded')]}.code AS DOUBLE)"
+    return f"coalesce(CAST(t.{f} AS DOUBLE), 0.0)"
+
+
+def _matrix_sql(select: str = "") -> str:
+    cols = [(f"round_even({_feature_sql(f)}, 6)" if f.startswith("log_") else _feature_sql(f)) + f" AS {f}" for f in SETTINGS.FEATURE_COLS]
     joins = "".join(
         f" LEFT JOIN enc e_{b} ON e_{b}.country_code = t.country_code AND e_{b}.feature = '{b}'"
         f" AND e_{b}.value = coalesce(t.{b}, 'Unknown')" for b in SETTINGS.CATEGORICAL_COLS)
-    return f"SELECT t.lot_id, t.country_code, t.split, {', '.join(cols)} FROM tfeat t{joins}"
+    return f"SELECT {select or 't.lot_id, t.country_code, t.split, ' + ', '.join(cols)} FROM tfeat t{joins}"
 
 
 @register("model_matrix", O.with_() + O.TRAIN + _matrix_sql())
@@ -633,6 +633,24 @@ def q_model_matrix(c: Context):
                       for f in SETTINGS.FEATURE_COLS])
 
 
+# Two models a country with lists of their own; the i-th weight is i.
+LISTS = {"trained": SETTINGS.FEATURE_COLS, "served": SETTINGS.SERVED_FEATURE_COLS}
+
+
+@register("model_matrix_by_list", O.with_() + O.TRAIN + " UNION ALL ".join(_matrix_sql(
+    f"t.lot_id, '{m}' AS model, {len(fs)} AS n_features, round_even(" + " + ".join(f"{i + 1} * {_feature_sql(f)}" for i, f in enumerate(fs)) + ", 2) AS score")
+    for m, fs in LISTS.items()))
+def q_model_matrix_by_list(c: Context):
+    """M2 + M16 with the feature list as data: both lists are scored side by side."""
+    tf = train_frame(c)
+    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf))
+    rows = [(m, fs, [float(i + 1) for i in range(len(fs))]) for m, fs in LISTS.items()]
+    lists = c.regions.select("country_code", F.explode(F.array(*[F.struct(
+        F.lit(m).alias("model"), F.array(*map(F.lit, fs)).alias("features"), F.array(*map(F.lit, w)).alias("weights")) for m, fs, w in rows])).alias("l"))
+    x = FT.listed_matrix(enc, lists.select("country_code", "l.*"), ["lot_id"])
+    return x.select("lot_id", "model", F.size("x").alias("n_features"), py_round(FT.linear_score(), 2).alias("score"))
+
+
 @register("split_counts", O.with_() + O.TRAIN + """
 SELECT country_code,
   CAST(sum(CASE WHEN split <> 'test' THEN 1 ELSE 0 END) AS BIGINT) AS train_all_rows,
@@ -734,11 +752,15 @@ def _model_metrics(c: Context, matrix: DataFrame, base: DataFrame) -> DataFrame:
     pred = saved(pred, work_path(c.spark, "trained-predictions"))
     counts = matrix.groupBy("country_code").agg(*[
         F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(f"{s}_rows") for s in ("train", "validation", "test")])
-    b = base.select("country_code", "naive_mae", F.col("test_mae").alias("baseline_test_mae"), F.col("passes").alias("baseline_passes"))
+    b = base.select("country_code", "naive_mae", *[F.col(x).alias(f"baseline_{x}") for x in (
+        "train_mae", "train_r2", "test_mae", "test_r2", "passes")])
     out = (BO.tree_counts(c._trees).join(counts, "country_code").join(F.broadcast(c.regions.select("country_code", "model")), "country_code")
            .join(b, "country_code", "left").join(TR.evaluate(pred).drop("test_rows"), "country_code", "left")
            .join(TR.calibrate(pred), "country_code", "left").withColumn("version", F.lit(1)))
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in RG.METRICS_SCHEMA])
+    out = out.withColumns({"generated_at": F.lit(str(c.settings.run_ts)), "features_count": F.lit(len(SETTINGS.FEATURE_COLS)),
+                           "total_samples": F.col("train_rows") + F.col("validation_rows") + F.col("test_rows"),
+                           "baseline_name": F.lit("Elastic Net")})
+    return RG.as_table(out, RG.METRICS_SCHEMA)
 
 
 @register("baseline_metrics")
@@ -768,6 +790,55 @@ def q_model_listing(c: Context):
     return RG.model_listing(metrics, importance, c.regions)
 
 
+# A run a cutoff year, of the fixed model: its test rows are those from that year on. The listing is as of the second run.
+REGISTRY_RUNS = [(2, "2001-01-01 00:00:00"), (1, "2001-02-01 00:00:00"), (0, "2001-03-01 00:00:00")]
+REGISTRY_FEATURES = ["sire_sold_count_36m", "dam_progeny_sold_count", "vendor_sold_count_36m"]
+REGISTRY_VALUES = ["mae", "rmse", "r2", "raw_coverage_p25", "raw_coverage_p75", "mape"]
+
+
+@register("model_registry", O.with_() + O.TRAIN + """
+, runs AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({i + 1}, {SETTINGS.FIXTURE_SETTINGS.cutoff_year - back}, '{at}')" for i, (back, at) in enumerate(REGISTRY_RUNS[:2])) + """) r(run, cutoff, generated_at))
+, te AS (SELECT r.run, r.generated_at, p.*, avg(log_price_index) OVER (PARTITION BY r.run, country_code) AS ybar
+  FROM tpred2 p JOIN runs r ON p.sale_year >= r.cutoff)
+, ev AS (SELECT run, generated_at, country_code, count(*) AS test_rows, avg(abs(log_price_index - pred_q50)) AS mae,
+    sqrt(avg((log_price_index - pred_q50) * (log_price_index - pred_q50))) AS rmse,
+    1.0 - sum((log_price_index - pred_q50) * (log_price_index - pred_q50)) / sum((log_price_index - ybar) * (log_price_index - ybar)) AS r2,
+    avg(CASE WHEN log_price_index < pred_q25 THEN 1.0 ELSE 0.0 END) * 100 AS raw_coverage_p25,
+    avg(CASE WHEN log_price_index < pred_q75 THEN 1.0 ELSE 0.0 END) * 100 AS raw_coverage_p75,
+    avg(CASE WHEN price > 0 THEN abs(price - session_median_price * exp(pred_q50)) / price END) * 100 AS mape
+  FROM te GROUP BY run, generated_at, country_code)
+, seen AS (SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY run) AS version FROM ev)
+, gains AS (SELECT r.run, p.country_code, f.feature, CAST(sum(CASE f.feature """ + " ".join(
+    f"WHEN '{x}' THEN p.{x}" for x in REGISTRY_FEATURES) + """ END) AS DOUBLE) AS g
+  FROM tpred2 p JOIN runs r ON p.sale_year < r.cutoff, (VALUES """ + ", ".join(f"('{x}')" for x in REGISTRY_FEATURES) + """) f(feature)
+  GROUP BY r.run, p.country_code, f.feature)
+, shares AS (SELECT run, country_code, feature, g / sum(g) OVER (PARTITION BY run, country_code) AS gain FROM gains)
+, maps AS (SELECT run, country_code, string_agg(concat(feature, '=', CAST(CAST(round_even(gain, 2) AS DECIMAL(6, 2)) AS VARCHAR)), ',' ORDER BY feature) AS importance
+  FROM shares GROUP BY run, country_code)
+SELECT s.country_code, CAST(s.version AS INTEGER) AS version, concat(lower(s.country_code), '_v', CAST(s.version AS VARCHAR)) AS model, s.generated_at, s.test_rows,
+  """ + ", ".join(f"round_even(s.{x}, 6) AS {x}" for x in REGISTRY_VALUES) + """,
+  s.version = max(s.version) OVER (PARTITION BY s.country_code) AS is_latest, m.importance
+FROM seen s LEFT JOIN maps m ON m.run = s.run AND m.country_code = s.country_code""")
+def q_model_registry(c: Context):
+    """S13 + S14 + M20: three runs appended one after the other, listed as of the second one."""
+    pred = c.fx.derived("fixed_predictions", lambda: SC.fixed_model(train_frame(c)))
+    root = work_path(c.spark, "registry")
+    for back, at in REGISTRY_RUNS:
+        year = c.settings.cutoff_year - back
+        run = TR.evaluate(pred.where(F.col("sale_year") >= year)).withColumn("generated_at", F.lit(at))
+        sums = pred.where(F.col("sale_year") < year).groupBy("country_code").agg(*[F.sum(x).cast("double").alias(x) for x in REGISTRY_FEATURES])
+        whole = sum((F.col(x) for x in REGISTRY_FEATURES[1:]), F.col(REGISTRY_FEATURES[0]))
+        gains = F.array(*[F.struct(F.lit(x).alias("feature"), (F.col(x) / whole).alias("gain")) for x in REGISTRY_FEATURES])
+        importance = sums.select("country_code", F.lit("average").alias("quantile"), F.explode(gains).alias("g")).select("country_code", "quantile", "g.*")
+        RG.append_run(run, importance, root)
+    out = RG.versions(*RG.read_registry(c.spark, root), c.regions, as_of=REGISTRY_RUNS[1][1])
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("importance_average")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("decimal(6,2)").cast("string"))), ",")
+    return out.select("country_code", "version", "model", "generated_at", "test_rows", *[py_round(F.col(x), 6).alias(x) for x in REGISTRY_VALUES],
+                      "is_latest", shown.alias("importance"))
+
+
 @register("activity_recent", """
 SELECT user, action, detail, category, status FROM (
   SELECT CAST(user_id AS VARCHAR) AS user, event_type AS action, props AS detail,

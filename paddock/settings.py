@@ -88,6 +88,34 @@ FEATURE_COLS = [
     "dam_first_foal_flag",
     "vendor_first_seen_flag",
 ]
+# The feature list of the model in service, which differs from a freshly trained one's.
+SERVED_FEATURE_COLS = [
+    "book_number",
+    "day_number",
+    "log_session_median_price",
+    "sex_encoded",
+    "sale_company_encoded",
+    "sire_sold_count_36m",
+    "sire_total_offered_36m",
+    "sire_clearance_rate_36m",
+    "log_sire_median_price_36m",
+    "sire_sold_count_12m",
+    "sire_total_offered_12m",
+    "sire_clearance_rate_12m",
+    "log_sire_median_price_12m",
+    "sire_momentum",
+    "sire_sample_flag_36m",
+    "dam_progeny_sold_count",
+    "dam_progeny_total_offered_count",
+    "log_dam_progeny_median_price",
+    "dam_first_foal_flag",
+    "vendor_sold_count_36m",
+    "vendor_total_offered_36m",
+    "vendor_clearance_rate_36m",
+    "log_vendor_median_price_36m",
+    "vendor_volume_bucket_encoded",
+    "vendor_first_seen_flag",
+]
 # Price columns that get a log1p companion.
 LOG_PRICE_COLS = [
     "session_median_price",
