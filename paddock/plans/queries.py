@@ -19,6 +19,7 @@ from paddock.plans import oracle as O
 from paddock.plans.context import Context
 from paddock.session import saved, work_path
 from paddock.sources.regions import region_hist
+from paddock.sources.store import PredictionStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -336,11 +337,35 @@ SELECT sale_id, CAST(sum(CASE WHEN action = 'insert' THEN 1 ELSE 0 END) AS BIGIN
   CAST(sum(CASE WHEN action IN ('insert', 'update') THEN 1 ELSE 0 END) AS BIGINT) AS total
 FROM snap WHERE action <> 'keep' GROUP BY sale_id""")
 def q_commit_lots(c: Context):
-    s = scored_df(c)
+    s = saved(scored_df(c), work_path(c.spark, "scored"))     # the selection and the commit both read it
     selection = s.where(F.col("mv_confidence_tier") == "high").select("sale_id", "lot_id")
     return PR.commit(c.t("predictions"), s, selection, c.regions, c.settings.audit_user_id, str(c.settings.run_ts))
 
 
+STORE_RUNS = [(7, "2001-07-01 00:00:00"), (8, "2001-08-01 00:00:00")]
+STORE_COLS = [x for x in UPSERT_COLS if x != "action"]
+
+
+def _second(sql: str) -> str:
+    """The CTEs of a batch on top of the ones before."""
+    return sql.replace(" batch ", " batch2 ").replace("snap AS", "snap2 AS").replace("FROM predictions p", "FROM snap p")
+
+
+@register("prediction_store", O.with_() + O.SCORE + """
+, high AS (SELECT * FROM scored WHERE mv_confidence_tier = 'high')
+, region_two AS (SELECT * FROM scored WHERE sale_id % 10 = 2)""" + O.BATCH.format(src="high", audit=STORE_RUNS[0][0], run=STORE_RUNS[0][1])
+          + _second(O.BATCH.format(src="region_two", audit=STORE_RUNS[1][0], run=STORE_RUNS[1][1]))
+          + f" SELECT {', '.join(STORE_COLS)}, round_even(market_value_multiplier, 6) AS market_value_multiplier FROM snap2")
+def q_prediction_store(c: Context):
+    """S9 + S10: a store is created from the stored predictions, upserted twice and read back."""
+    store = PredictionStore(c.spark, work_path(c.spark, "predictions"))
+    store.create(c.t("predictions"))
+    scored = saved(scored_df(c), work_path(c.spark, "scored"))
+    for lots, (user, at) in zip((F.col("mv_confidence_tier") == "high", F.col("sale_id") % 10 == 2), STORE_RUNS):
+        store.upsert(scored.where(lots), c.regions, user, at)
+    return store.read().select(*STORE_COLS, py_round(F.col("market_value_multiplier"), 6).alias("market_value_multiplier"))
+
+
 @register("commit_rejected", O.with_() + O.SCORE + """
 , asked AS (SELECT lot_id, CASE WHEN lot_id % 7 = 0 THEN sale_id + 1 ELSE sale_id END AS sale_id FROM base)
 SELECT a.sale_id, a.lot_id, CASE WHEN s.lot_id IS NULL THEN 'not scored' ELSE 'other sale' END AS reason

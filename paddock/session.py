@@ -80,3 +80,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether the session's filesystem (local, HDFS, an object store) has the path."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names below a folder; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
