@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm import learn as L
 from paddock.llm import text as T
+from paddock.llm.store import free_name
 
 WIDTH = 8             # bytes under a filter; even
 FILTERS = 16
@@ -205,7 +206,8 @@ def quality(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFram
 
 def accepted(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score the threshold or more, with their own columns."""
-    return scored(docs, net, docs.columns, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    score = free_name(docs.columns, "__quality")
+    return scored(docs, net, docs.columns, score).where(F.col(score) >= threshold).drop(score)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm import text as T
+from paddock.llm.store import free_name
 from paddock.packaging import ship_package
 
 # Training bounds. Models are fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of the id, each of at
@@ -94,10 +95,11 @@ def map_text(docs: DataFrame, keep: list[Column], schema: str,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    body = free_name(docs.select(*keep).columns, "__text")
+    inner = docs.select(*keep, F.col("text").alias(body))
     kept = inner.columns[:-1]
     empty = spark.createDataFrame([], schema).schema
-    out_schema = inner.drop("__text").schema
+    out_schema = inner.drop(body).schema
     for field in empty:
         out_schema = out_schema.add(field)
     fields = [(f_.name, f_.dataType.simpleString()) for f_ in empty]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm import learn as L
 from paddock.llm import text as T
+from paddock.llm.store import free_name
 
 # The patterns of the contract, in the order in which kinds sort. {n} forms drop what is too short, where that
 # can't change which matches follow; the first pattern's second group is measured after matching.
@@ -280,7 +281,7 @@ def scan(docs: DataFrame, field: Field, out_name: str = "spans") -> DataFrame:
     spark = docs.sparkSession
     L.small_batches(spark)
     shared = spark.sparkContext.broadcast(field)
-    inner = docs.withColumn("__text", F.col("text"))
+    inner = docs.select("*", F.col("text").alias(free_name([*docs.columns, out_name], "__text")))
     schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias(out_name)).schema
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     names = [*docs.columns, out_name]
@@ -314,14 +315,15 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, field: Field, mask: str = "[secret]") -> DataFrame:
     """docs with every span of ``text`` replaced by the mask (overlapping spans by one), and n_chars of the new text."""
-    pieces = """aggregate(__spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out',
+    name = free_name(docs.columns, "__spans")
+    pieces = """aggregate(`{spans}`, named_struct('at', 0, 'out', ''), (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out',
         concat(s.out, if(x.start >= s.at, concat(substring(text, s.at + 1, x.start - s.at), '{m}'), '')))),
-        s -> concat(s.out, substring(text, s.at + 1, 2147483647)))""".format(m=mask.replace("'", "\\'"))
-    found = F.size("__spans") > 0
-    out = scan(docs, field, "__spans").withColumn("text", F.when(found, F.expr(pieces)).otherwise(F.col("text")))
+        s -> concat(s.out, substring(text, s.at + 1, 2147483647)))""".format(m=mask.replace("'", "\\'"), spans=name)
+    found = F.size(name) > 0
+    out = scan(docs, field, name).withColumn("text", F.when(found, F.expr(pieces)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__spans")
+    return out.drop(name)
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
