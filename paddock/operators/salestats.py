@@ -107,6 +107,17 @@ def sale_summary(lot_rows: DataFrame, columns: list[str] = tuple(STAT_COLS)) ->
     return g.join(highest(rows, ["sale_id"]), "sale_id", "left") if "top10_avg" in columns else g
 
 
+def exact_price_stats(lot_rows: DataFrame) -> DataFrame:
+    """A13 over decimal prices: gross, average (whole cents, half up), extremes of each sale's sold prices, all exact.
+    Sales without a sold lot have a gross of 0 and no average or extremes."""
+    p = F.when(_sold(), F.col("price").cast("decimal(12,2)"))
+    g = lot_rows.groupBy("sale_id").agg(F.sum(p).alias("_sum"), F.count(p).alias("_n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"))
+    cents = F.expr("(2 * cast(_sum * 100 as decimal(30,0)) + _n) div (2 * _n)")
+    return g.select("sale_id", F.col("_n").alias("sold_count"), F.coalesce("_sum", F.lit(0).cast("decimal(22,2)")).alias("gross"),
+                    F.when(F.col("_n") > 0, (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")).alias("avg_price"),
+                    "min_price", "max_price")
+
+
 def price_counts(lot_rows: DataFrame) -> DataFrame:
     """(sale_id, price, n): how often each sold price of a sale comes."""
     return lot_rows.where(_sold()).groupBy("sale_id", "price").agg(F.count("*").alias("n"))

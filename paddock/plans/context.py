@@ -10,6 +10,7 @@ from paddock.operators import lots as L
 from paddock.operators import pointintime as P
 from paddock.settings import FIXTURE_SETTINGS, Settings
 from paddock.sources import regions as R
+from paddock.sources import typed as TY
 from paddock.sources.fixture import Fixture
 
 
@@ -48,6 +49,16 @@ class Context:
             fx.table("lot_rows"), fx.table("sales"), fx.table("companies"), fx.table("countries"),
             fx.table("lot_types"), fx.table("horses"), fx.table("sires")), partition_by="sale_year")
 
+    def typed(self, name: str) -> DataFrame:
+        """A table with its declared types: prices are decimals."""
+        return TY.typed(self.t(name), name)
+
+    @property
+    def typed_lots(self) -> DataFrame:
+        """The lot view over typed tables."""
+        return self.fx.derived("lot_view_typed", lambda: L.lot_view(*(self.typed(t) for t in (
+            "lot_rows", "sales", "companies", "countries", "lot_types", "horses", "sires"))), partition_by="sale_year")
+
     @property
     def hot_keys(self) -> DataFrame:
         """The crowded sires, dams and vendors of the history (few or none)."""

@@ -90,6 +90,14 @@ def q_base_lots(c: Context):
     return _base_out(c.base)
 
 
+_BASE_DECIMAL_COLS = ", ".join("CAST(price AS DECIMAL(12,2)) AS price" if c.strip() == "price" else c for c in _BASE_SQL_COLS.split(","))
+
+
+@register("base_lots_typed", O.with_() + f"SELECT {_BASE_DECIMAL_COLS} FROM base")
+def q_base_lots_typed(c: Context):
+    return _base_out(L.base_lots(c.typed_lots, c.settings))
+
+
 @register("hist_lots", O.with_() + """
 SELECT rh.country_code AS scope_country, h.lot_id, h.sale_id, h.sale_date, h.sire_id, h.dam_id, h.vendor_id,
   h.price, h.sold_flag, h.passed_in_flag
@@ -398,6 +406,19 @@ def q_sale_price_stats(c: Context):
     return _stats(c, "gross", "avg_price", "min_price", "max_price", "std_dev")
 
 
+@register("sale_price_stats_typed", O.with_() + """
+, p AS (SELECT sale_id, CASE WHEN price > 0 AND coalesce(is_withdrawn, 0) = 0 AND coalesce(is_passed_in, 0) = 0
+                             THEN CAST(price AS DECIMAL(12,2)) END AS price FROM lot_rows)
+, g AS (SELECT sale_id, sum(price) AS total, CAST(sum(price) * 100 AS HUGEINT) AS cents, count(price) AS n,
+               min(price) AS min_price, max(price) AS max_price FROM p GROUP BY sale_id)
+SELECT sale_id, n AS sold_count, coalesce(total, 0) AS gross,
+  CASE WHEN n > 0 THEN CAST(CAST((2 * cents + n) // (2 * n) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) END AS avg_price,
+  min_price, max_price
+FROM g""")
+def q_sale_price_stats_typed(c: Context):
+    return ST.exact_price_stats(c.typed("lot_rows"))
+
+
 @register("sale_quartiles", STATS_ALL + "SELECT sale_id, q1_price, median_price, q3_price FROM st")
 def q_sale_quartiles(c: Context):
     return _stats(c, "q1_price", "median_price", "q3_price")
