@@ -20,7 +20,7 @@ BITS = 24             # 2 MB
 MERGED = 32           # bitmaps that reach the driver, one after another, at most
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
+def place_of(ids: np.ndarray) -> np.ndarray:
     return (T.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -31,7 +31,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BITS, bool)
         for batch in batches:
-            own[_place(batch.column(0).to_numpy())] = True
+            own[place_of(batch.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << (BITS - 3), np.uint8)
@@ -44,7 +44,7 @@ def _kept(rows: DataFrame, shared: Broadcast, inside: bool) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())] == inside))
+            yield batch.filter(pa.array(bits[place_of(batch.column(0).to_numpy())] == inside))
 
     return rows.mapInArrow(keep, rows.schema)
 
