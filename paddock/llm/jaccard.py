@@ -178,12 +178,17 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = components(links)
 
     # level two: pairs of one list that are still apart, unless the overlaps with a common leader decide
-    state = same.select(F.col("rep").alias("id")).join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    led = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap")
+    state = same.select(F.col("rep").alias("id")).join(found, "id", "left").join(led, "id", "left")
+    state = state.select("id", F.coalesce("root", "id").alias("root"), "lead", "overlap")
     apart = entries.select("token", "id", "n", "pos").join(state, "id")
     mixed = apart.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
-    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root").alias("x"))
+    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root", "lead", "overlap").alias("x"))
+    # sets with one leader meet only if their overlaps with it leave room; a set and its leader have met
+    ruled_out = (f"x.lead = y.lead and least(x.overlap, y.overlap) + least(x.n - x.overlap, y.n - y.overlap) < {needed('x.n', 'y.n', percent)} "
+                 "or x.lead = y.id or y.lead = x.id")
     pairs = apart.join(apart.withColumnRenamed("x", "y"), "token").where(
-        f"x.id < y.id and x.root != y.root and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n)")
+        f"x.id < y.id and x.root != y.root and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n) and not coalesce({ruled_out}, false)")
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
         F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count(F.lit(1)).alias("shared"),
         F.max(F.expr(possible("x.", "y."))).alias("possible"))
