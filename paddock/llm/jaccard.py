@@ -2,8 +2,8 @@
 
 A set's shingles are ordered by a corpus-wide order, rare ones first, so two sets that qualify share one of their first
 few (the prefix). The order is by a sketch, counters over all texts' shingles, then the hash; any common order is exact, the
-counts only keep index lists short. There is a counter for about COUNTER_ROWS texts, so lists are alike at every size up to
-2**COUNTERS counters. Sets are skipped by their relations at two levels:
+counts only keep index lists short. There are 2**COUNTERS counters at every size; the more shingles share one, the less
+rare ones stand out and the longer lists get. Sets are skipped by their relations at two levels:
 
 * index lists hold (size, position) of a shingle in its sets; a pair is skipped when even full agreement after the two
   positions, or the sizes alone, can't reach the overlap that is needed, or when the lists that hold both sets are too few;
@@ -34,8 +34,8 @@ from paddock.llm.components import components
 from paddock.llm.sieve import divided, sieved
 from paddock.llm.store import stored
 
-COUNTER_ROWS = 16
-COUNTERS = 22         # bits of the sketch at most: 2**22 counters, 32 MB
+COUNTERS = 22         # bits of the sketch: 2**22 counters, 16 MB at every size
+MERGED = 32           # sketches that reach the driver, one after another, at most
 PART = 200            # members that are compared with a leader in one group
 
 
@@ -63,30 +63,40 @@ def counter(shingle: np.ndarray, bits: int) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How many texts' shingles fall on each counter, over all texts."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / COUNTER_ROWS)), 10, COUNTERS))
+    """How many texts' shingles fall on each of 2**COUNTERS counters, over all texts (int32, full counters stay full)."""
+    full = np.iinfo(np.int32).max
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pa.compress(total, "zstd", asbytes=True)], pa.binary())], names=["counts"])
+
+    def unpacked(row: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(bytes(row), 4 << COUNTERS, "zstd", asbytes=True), np.int32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << COUNTERS, np.int32)
         for batch in batches:
             for _, _, d, o in L.chunks(*T.raw(batch.column(0))):
                 sets = shingles(d, o, words)
                 if sets:
-                    total += np.bincount(counter(np.concatenate(sets), bits), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+                    at, n = np.unique(counter(np.concatenate(sets), COUNTERS), return_counts=True)
+                    total[at] = np.minimum(total[at] + n, full)
+        yield packed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << COUNTERS, np.int32)
         for batch in batches:
             for row in batch.column(0):
-                total += np.frombuffer(row.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    parts = docs.select("text").mapInArrow(count, "counts binary")
-    few = parts.coalesce(8).mapInArrow(add, "counts binary") if parts.rdd.getNumPartitions() > 64 else parts
-    total = np.zeros(1 << bits, np.int64)
-    for row in few.toLocalIterator():
-        total += np.frombuffer(row["counts"], np.int64)
+                total = np.minimum(total.astype(np.int64) + unpacked(row.as_py()), full).astype(np.int32)
+        yield packed(total)
+
+    wide = max(MERGED, docs.sparkSession.sparkContext.defaultParallelism)
+    texts = docs.select("text").coalesce(wide)  # a task sends one sketch, so tasks are as many as the cores
+    sketches = texts.mapInArrow(count, "counts binary")
+    if texts.rdd.getNumPartitions() > MERGED:
+        sketches = sketches.repartition(8).mapInArrow(add, "counts binary")
+    total = np.zeros(1 << COUNTERS, np.int32)
+    for row in sketches.toLocalIterator():
+        total = np.minimum(total.astype(np.int64) + unpacked(row["counts"]), full).astype(np.int32)
     return total
 
 
@@ -99,7 +109,6 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, sig, prefix): set size, 128-bit signature, and the first shingles in the corpus order."""
     L.small_batches(docs.sparkSession)
     counts = frequencies(docs, words)
-    bits = len(counts).bit_length() - 1
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +120,7 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     two = np.array([T.mix(s).sum(dtype=np.uint64), T.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)])
                     sig.append(two.tobytes() if len(s) else None)
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                    prefix.append(s[np.lexsort((s, order.value[counter(s, bits)]))[:keep]].view(np.int64))
+                    prefix.append(s[np.lexsort((s, order.value[counter(s, COUNTERS)]))[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
                                               pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
 
