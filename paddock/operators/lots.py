@@ -46,6 +46,8 @@ def lot_view(lot_rows: DataFrame, sales: DataFrame, companies: DataFrame, countr
     The small dimensions (sales, companies, countries, lot types) are left to
     the planner: their parquet size is known, and AQE converts the join to a
     broadcast from measured sizes, with a shuffle join beyond the threshold.
+    Lots meet their horses before they get the names of their sale, company and
+    country, so that the large join deals narrow rows.
     """
     sire_names = horses if sire_names is None else sire_names
     sale = sales.select(
@@ -56,11 +58,11 @@ def lot_view(lot_rows: DataFrame, sales: DataFrame, companies: DataFrame, countr
     lt = lot_types.select("lot_type_id", F.col("lot_type_name").alias("lot_type"))
     h = horses.select("horse_id", "horse_name", "sire_id", "dam_id")
     sn = sire_names.select(F.col("horse_id").alias("sire_id"), F.col("horse_name").alias("sire_name"))
-    j = (lot_rows.join(sale, "sale_id")
+    j = (lot_rows.join(lt, "lot_type_id")
+         .join(h, "horse_id")
+         .join(sale, "sale_id")
          .join(comp, "company_id")
-         .join(lt, "lot_type_id")
          .join(ctry, "country_id")
-         .join(h, "horse_id")
          .join(sn, "sire_id", "left"))
     return j.select(
         "lot_id", "sale_id", "sale_date", "sale_year", "company_id", "sale_company", "sale_name",

@@ -43,11 +43,15 @@ class Context:
 
     @property
     def lots(self) -> DataFrame:
-        """The joined lot view (all lot types, all years)."""
+        """The joined lot view (all lot types, all years), for plans that read it once: only their columns are joined."""
         fx = self.fx
-        return fx.derived("lot_view", lambda: L.lot_view(
-            fx.table("lot_rows"), fx.table("sales"), fx.table("companies"), fx.table("countries"),
-            fx.table("lot_types"), fx.table("horses"), fx.table("sires")), partition_by="sale_year")
+        return L.lot_view(fx.table("lot_rows"), fx.table("sales"), fx.table("companies"), fx.table("countries"),
+                          fx.table("lot_types"), fx.table("horses"), fx.table("sires"))
+
+    @property
+    def yearlings(self) -> DataFrame:
+        """The lots that features and medians read, all years, written once: such plans read them several times."""
+        return self.fx.derived("yearlings", lambda: L.yearling_history(self.lots, self.settings.lot_type), partition_by="sale_year")
 
     def typed(self, name: str) -> DataFrame:
         """A table with its declared types: prices are decimals."""
@@ -66,8 +70,8 @@ class Context:
 
     @property
     def base(self) -> DataFrame:
-        return L.base_lots(self.lots, self.settings)
+        return L.base_lots(self.yearlings, self.settings)
 
     @property
     def history(self) -> DataFrame:
-        return L.yearling_history(self.lots, self.settings.lot_type)
+        return L.yearling_history(self.yearlings, self.settings.lot_type)

@@ -163,7 +163,7 @@ def q_prior_year_median(c: Context):
 
 @register("session_median_final", O.with_() + O.MEDIANS + " SELECT * FROM med")
 def q_session_median_final(c: Context):
-    return M.session_median_final(c.base, c.lots, c.t("session_overrides"))
+    return M.session_median_final(c.base, c.yearlings, c.t("session_overrides"))
 
 
 # ------------------------------------------------------------------ point-in-time
@@ -210,12 +210,12 @@ FEATURE_OUT = ["lot_id", "sale_id", "country_code", "sale_date", "session_median
 
 def features_df(c: Context):
     return c.fx.derived("lot_features", lambda: FT.lot_features(
-        c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
+        c.yearlings, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
 
 
 @register("lot_features", O.with_() + O.FEATURES + f" SELECT {', '.join(FEATURE_OUT)} FROM feat")
 def q_lot_features(c: Context):
-    return FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys).select(*FEATURE_OUT)
+    return FT.lot_features(c.yearlings, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys).select(*FEATURE_OUT)
 
 
 # ------------------------------------------------------------------ scoring
@@ -228,7 +228,7 @@ from paddock.operators import scoring as SC  # noqa: E402
 
 
 def scored_df(c: Context, features: DataFrame | None = None) -> DataFrame:
-    f = features if features is not None else FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"),
+    f = features if features is not None else FT.lot_features(c.yearlings, c.regions, c.settings, c.t("session_overrides"),
                                                                hot=c.hot_keys)
     return SC.score(SC.fixed_model(SC.scorable(f)), c.offsets, c.settings)
 
@@ -258,7 +258,7 @@ def q_elite_scaling(c: Context):
 @register("confidence_tier", O.with_() + O.SCORE + """
 SELECT lot_id, sale_id, flags AS flag_count, distance_band, mv_confidence_tier FROM scored""")
 def q_confidence_tier(c: Context):
-    f = FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys)
+    f = FT.lot_features(c.yearlings, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys)
     p = SC.fixed_model(SC.scorable(f)).join(F.broadcast(c.offsets.select(
         "country_code", "close_threshold", "extreme_threshold")), "country_code")
     a = F.abs(F.col("pred_q50"))
@@ -293,7 +293,7 @@ GROUP BY b.sale_id
 HAVING max(CASE WHEN coalesce(o.session_median_override, own.m) IS NOT NULL
                  AND coalesce(o.session_median_override, own.m) <> 0 THEN 1 ELSE 0 END) = 0""")
 def q_unscorable_sales(c: Context):
-    med = M.session_median_final(c.base, c.lots, c.t("session_overrides"), False, c.settings.lot_type)
+    med = M.session_median_final(c.base, c.yearlings, c.t("session_overrides"), False, c.settings.lot_type)
     return SC.unscorable_sales(c.base.select("sale_id").join(med.select("sale_id", "session_median_price"), "sale_id", "left"))
 
 
@@ -487,7 +487,7 @@ MEDIAN_PATTERN = "%Premier%Sale%"
 SELECT DISTINCT b.sale_year, b.sale_name, med.session_median_price
 FROM base b JOIN med ON med.sale_id = b.sale_id WHERE b.sale_name LIKE '{MEDIAN_PATTERN}'""")
 def q_median_history(c: Context):
-    med = M.session_median_final(c.base, c.lots, c.t("session_overrides"))
+    med = M.session_median_final(c.base, c.yearlings, c.t("session_overrides"))
     f = c.base.select("sale_id", "sale_year", "sale_name").join(med.select("sale_id", "session_median_price"),
                                                                    "sale_id")
     return ST.median_history(f, MEDIAN_PATTERN)
@@ -633,7 +633,7 @@ TRAIN_OUT = ["lot_id", "sale_id", "country_code", "sale_year", "price", "session
 
 
 def train_frame(c: Context) -> DataFrame:
-    return FT.training_frame(c.lots, c.regions, c.settings, "own", c.hot_keys)
+    return FT.training_frame(c.yearlings, c.regions, c.settings, "own", c.hot_keys)
 
 
 @register("training_frame", O.with_() + O.TRAIN + f"""
@@ -645,14 +645,30 @@ def q_training_frame(c: Context):
 
 @register("label_encode", O.with_() + O.TRAIN + " SELECT * FROM enc")
 def q_label_encode(c: Context):
-    return FT.fit_label_encoder(train_frame(c))
+    return trained_encoder(c)
 
 
-def _encoded_matrix(c: Context, tf: DataFrame | None = None, encoder: DataFrame | None = None) -> DataFrame:
-    tf = train_frame(c) if tf is None else tf
-    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf) if encoder is None else encoder)
-    return FT.model_matrix(TR.split_frame(enc, c.settings),
-                           keep=["lot_id", "country_code", "split", "log_price_index", "sale_year", "price"])
+TRAIN_KEEP = ["lot_id", "country_code", "log_price_index", "sale_year", "price"]
+
+
+def trained_rows(c: Context) -> DataFrame:
+    """The columns of the training frame that encoders and matrices read, written once: both read them."""
+    used = {*TRAIN_KEEP, *SETTINGS.FEATURE_COLS, *SETTINGS.SERVED_FEATURE_COLS, *SETTINGS.LOG_PRICE_COLS, *SETTINGS.CATEGORICAL_COLS}
+
+    def build() -> DataFrame:
+        tf = train_frame(c)
+        return tf.select(*[x for x in tf.columns if x in used])
+    return c.fx.derived("trained_rows", build)
+
+
+def trained_encoder(c: Context) -> DataFrame:
+    """The label encoder of the training frame, written: its size is known where it is joined."""
+    return c.fx.derived("trained_encoder", lambda: FT.fit_label_encoder(trained_rows(c)))
+
+
+def _encoded_matrix(c: Context) -> DataFrame:
+    enc = FT.apply_label_encoder(trained_rows(c), trained_encoder(c))
+    return FT.model_matrix(TR.split_frame(enc, c.settings), keep=[*TRAIN_KEEP[:2], "split", *TRAIN_KEEP[2:]])
 
 
 def _feature_sql(f: str) -> str:
@@ -688,8 +704,7 @@ LISTS = {"trained": SETTINGS.FEATURE_COLS, "served": SETTINGS.SERVED_FEATURE_COL
     for m, fs in LISTS.items()))
 def q_model_matrix_by_list(c: Context):
     """M2 + M16 with the feature list as data: both lists are scored side by side."""
-    tf = train_frame(c)
-    enc = FT.apply_label_encoder(tf, FT.fit_label_encoder(tf))
+    enc = FT.apply_label_encoder(trained_rows(c), trained_encoder(c))
     rows = [(m, fs, [float(i + 1) for i in range(len(fs))]) for m, fs in LISTS.items()]
     lists = c.regions.select("country_code", F.explode(F.array(*[F.struct(
         F.lit(m).alias("model"), F.array(*map(F.lit, fs)).alias("features"), F.array(*map(F.lit, w)).alias("weights")) for m, fs, w in rows])).alias("l"))
@@ -778,9 +793,8 @@ def trained(c: Context):
     """
     if getattr(c, "_trained", None) is not None:
         return c._trained
-    tf = c.fx.derived("trained_rows", lambda: train_frame(c))
-    c._encoder = c.fx.derived("trained_encoder", lambda: FT.fit_label_encoder(tf))
-    matrix = c.fx.derived("trained_matrix", lambda: _encoded_matrix(c, tf, c._encoder), partition_by="country_code")
+    c._encoder = trained_encoder(c)
+    matrix = c.fx.derived("trained_matrix", lambda: _encoded_matrix(c), partition_by="country_code")
     c._trees = c.fx.derived("trained_trees", lambda: BO.train_boosters(matrix, SETTINGS.FEATURE_COLS, **BOOSTER))
     base = c.fx.derived("trained_baseline", lambda: TR.baseline_metrics(matrix, SETTINGS.FEATURE_COLS))
     metrics = c.fx.derived("trained_metrics", lambda: _model_metrics(c, matrix, base))
@@ -910,7 +924,7 @@ def q_score_lots_trained(c: Context):
     """M11 + M16 with the boosters trained above: features -> stored encoder -> matrix -> predict -> score."""
     trained(c)
     encoder, metrics = c._encoder, c._trained[1]
-    f = SC.scorable(FT.lot_features(c.lots, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
+    f = SC.scorable(FT.lot_features(c.yearlings, c.regions, c.settings, c.t("session_overrides"), hot=c.hot_keys))
     enc = FT.apply_label_encoder(f, encoder)
     keep = ["lot_id", "horse_id", "sale_id", "country_code", "lot_number", "book_number", "sex", "horse_name",
             "sire_name"]
