@@ -11,6 +11,7 @@ from paddock import settings as S
 from paddock.operators import lots as L
 from paddock.operators import medians as M
 from paddock.operators import pointintime as P
+from paddock.session import saved, work_path
 from paddock.sources.regions import region_hist
 from paddock.settings import Settings
 
@@ -31,9 +32,14 @@ def feature_blocks(base: DataFrame, history: DataFrame, regions: DataFrame, scop
 
 def assemble(base: DataFrame, medians: DataFrame, sire: DataFrame, dam: DataFrame, vendor: DataFrame,
              with_deltas: bool = True) -> DataFrame:
-    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block."""
-    f = base.join(medians.select("sale_id", "session_median_price"), "sale_id", "left")
-    for block, key in ((sire, "sire_id"), (dam, "dam_id"), (vendor, "vendor_id")):
+    """Lots left-joined to the three blocks on (country, key, as-of); NULL key -> NULL block.
+
+    The medians, one row a sale, are written: their size is known where they are joined, so that lots aren't dealt by sale where
+    they fit a broadcast. The narrowest block comes first, as later joins deal what earlier ones added.
+    """
+    medians = saved(medians.select("sale_id", "session_median_price"), work_path(base.sparkSession, "session-medians"))
+    f = base.join(medians, "sale_id", "left")
+    for block, key in ((dam, "dam_id"), (vendor, "vendor_id"), (sire, "sire_id")):
         f = f.join(block, KEYS + [key], "left")
     if with_deltas:
         m = F.col("session_median_price")

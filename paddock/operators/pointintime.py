@@ -8,8 +8,8 @@ No spine row is ever joined to the history of its window. History and probes of
 date-ordered run, and a window is the difference of two running sums:
 
 1. **Probes**: distinct (country, key, as_of) of the lots being featurised, with the first day of each window.
-2. **History histogram**: history is reduced map-side to one row per (history country, key, sale date, sold
-   price) with sold / passed-in counts, then copied to the countries that look back at it (config-sized join).
+2. **History**: every lot with its sold / passed-in counts goes to the countries that look back at it (config-sized
+   join) as it is: few lots of a key share a day and a price, so that counting them first would only deal them twice.
 3. Both are dealt by (country, key), once. In each run of sorted rows (``windows``) the counts of a window are
    differences of running sums. The middle prices come from halving the sorted prices again and again: each
    half has a running sum of its rows by date, so that the sold count of a window in the lower half is again a
@@ -17,10 +17,10 @@ date-ordered run, and a window is the difference of two running sums:
    (rows + probes) x log2(prices) steps, whatever the length of the windows.
 4. Probes without history come out of the same pass with zero counts and NULL medians: no second spine.
 
-**Crowded keys.** The rows of step 2 of one key are bounded by dates x prices only. Keys with more than
-``HOT_ROWS`` lots (at most all lots / HOT_ROWS of them) take two looks: the first one ranks price bins instead
-of prices (``BINS`` an octave, so dates x a few hundred rows), which gives the counts and the bin and the place
-in it of each middle price; the second one is dealt by (country, key, bin) and reads only that bin.
+**Crowded keys.** The rows of step 2 of one key are bounded by ``HOT_ROWS``. Keys with more lots (at most all
+lots / HOT_ROWS of them) take two looks: the first one ranks price bins instead of prices (``BINS`` an octave,
+counted map-side, so dates x a few hundred rows), which gives the counts and the bin and the place in it of each
+middle price; the second one is dealt by (country, key, bin) and reads only that bin, counted by date and price.
 """
 
 from __future__ import annotations
@@ -195,6 +195,11 @@ def windowed(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
         F.col("country_code").alias("hist_country"), F.col(key).cast("long").alias("key"), F.unix_date("sale_date").alias("day"),
         F.when(F.col("sold_flag") == 1, F.col("price").cast("double")).alias("value"), "sold_flag", "passed_in_flag")
 
+    def seen(rows: DataFrame) -> DataFrame:
+        """Every lot at the countries that look back at it."""
+        return rows.join(F.broadcast(hist_map), "hist_country").select(
+            "country_code", "key", "day", "value", F.col("sold_flag").cast("long").alias("sold"), F.col("passed_in_flag").cast("long").alias("passed"))
+
     def histogram(rows: DataFrame, *by: str) -> DataFrame:
         """Counts by day, price and ``by``, at the countries that look back at them."""
         h = rows.groupBy("hist_country", "key", "day", "value", *by).agg(F.sum("sold_flag").cast("long").alias("sold"),
@@ -206,7 +211,7 @@ def windowed(lots: DataFrame, history: DataFrame, hist_map: DataFrame, key: str,
     # at most lots / HOT_ROWS keys
     cold, warm = ((lambda df: df.join(F.broadcast(hot), "key", "left_anti")), (lambda df: df.join(F.broadcast(hot), "key", "left_semi")))
     by = ["country_code", "key"]
-    out = windows(_meet(cold(probes) if crowded else probes, histogram(cold(sold) if crowded else sold)), by, len(months))
+    out = windows(_meet(cold(probes) if crowded else probes, seen(cold(sold) if crowded else sold)), by, len(months))
     middle = lambda i: (F.lit(0.5) * F.col(f"low_{i}") + F.lit(0.5) * F.col(f"high_{i}")).alias(f"median_{i}")
     shown = [c for i in range(len(months)) for c in (f"sold_{i}", f"passed_{i}")]
     done = out.select(*by, "day", *shown, *[middle(i) for i in range(len(months))])

@@ -260,3 +260,10 @@ def test_runs_are_cut_between_keys(spark, regions, monkeypatch):
         assert pa.concat_tables(parts).equals(t) or pa.concat_tables(parts).to_pylist() == t.to_pylist()
         keys = [set(zip(p.column(0).to_pylist(), p.column(1).to_pylist())) for p in parts]
         assert sum(map(len, keys)) == 4
+
+
+def test_history_is_dealt_once(spark, regions):
+    """Lots of keys that aren't crowded go to their key as they are: one exchange for the probes, one for the runs."""
+    df = crowd(spark, 300, 10, 2).checkpoint()
+    out = P.windowed(df, df, region_hist(regions, "own"), "sire_id", (36,), P.hot_keys(df, ("sire_id",), 10 ** 9))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
