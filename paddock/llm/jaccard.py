@@ -6,11 +6,11 @@ counts only keep index lists short. There are 2**COUNTERS counters at every size
 rare ones stand out and the longer lists get. Sets are skipped by their relations at two levels:
 
 * index lists hold (size, position) of a shingle in its sets; a pair is skipped when even full agreement after the two
-  positions, or the sizes alone, can't reach the overlap that is needed, or when the lists that hold both sets are too few;
-* answers come from a highly similar set: each list's members are first compared with one leader, the member with the
-  smallest id. Members linked to it are one class already, and two sets with known overlaps to one leader need no
-  comparison when the bounds min(o) + min(n - o) < needed (skipped) or o + o' - n(leader) >= needed (linked) decide.
-  Only pairs that are still in different classes are compared.
+  positions, or the sizes alone, can't reach the overlap that is needed;
+* answers come from a highly similar set: the members of long lists (more than SHORT) are first compared with leaders, in
+  rounds: sets of small classes with members of the largest ones. Members linked to a leader are of its class already, and
+  two sets with known overlaps to one leader need no comparison when the bounds min(o) + min(n - o) < needed (skipped) or
+  o + o' - n(leader) >= needed (linked) decide. Of all lists only sets still in different classes are paired.
 
 So classes are whole (no link between different classes is lost) while the pairs inside a class are not enumerated.
 Comparisons read both whole texts again, grouped by leader in parts of about PART members.
@@ -22,10 +22,11 @@ rows of one id count as one. A null id keeps its row, with its class null. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm import learn as L
@@ -36,6 +37,11 @@ from paddock.llm.store import stored
 
 COUNTERS = 22         # bits of the sketch: 2**22 counters, 16 MB at every size
 MERGED = 32           # sketches that reach the driver, one after another, at most
+SHORT = 8             # members of a list that is paired without leaders, at most
+LEADERS = 8           # of a list in a round
+TRIES = 3             # leaders that a set is compared with in a round, and one more
+ROUNDS = 3            # of leaders, at most
+PAIRS = 4             # pairs still apart for each member of the long lists that need no further round
 PART = 200            # members that are compared with a leader in one group
 
 
@@ -155,73 +161,115 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint")
 
 
+def lists_of(reps: DataFrame) -> DataFrame:
+    """(token, id, n, pos, len) of the entries of every index list with several members; len is the list's."""
+    entries = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("id"), "n")
+    entries = entries.select("token", "id", F.expr("shiftleft(n, 32) | pos").alias("at"))  # lists are shuffled once, in small rows
+    entries = entries.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("len > 1")
+    return entries.select("token", "id", F.shiftright("at", 32).alias("n"), F.expr("cast(at & 4294967295 as int)").alias("pos"), "len")
+
+
+def possible(x: str, y: str, percent: int) -> str:
+    """SQL: neither the sizes nor the positions of a shared shingle rule out the overlap that is needed."""
+    return (f"least({x}n, {y}n) * 100 >= {percent} * greatest({x}n, {y}n) and "
+            f"least({x}n - {x}pos, {y}n - {y}pos) >= {needed(f'{x}n', f'{y}n', percent)}")
+
+
+def classed(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """entries with root and members: the least id and the number of sets of the class that a set is in so far."""
+    if found is None:
+        return entries.select("*", F.col("id").alias("root"), F.lit(1).cast("bigint").alias("members"))
+    size = found.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    out = entries.join(found.join(size, "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return out.withColumn("members", F.coalesce("members", F.lit(1).cast("bigint")))
+
+
+def led(entries: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(compared, classes): pairs (a, b, overlap, na, nb) of leaders and members of long lists, and (id, root) by their links.
+
+    In each round every list has up to LEADERS leaders, of its largest classes so far, with few rarer shingles. A set of
+    another class is compared with the TRIES it shares most shingles with, and with the first by a hash, which the sets of
+    one group have in common.
+    Rounds end when the pairs that are still apart in a list are as few as its members (PAIRS for each), or after ROUNDS.
+    """
+    rounds: list[DataFrame] = []
+    links: list[DataFrame] = []
+    found = None
+    for r in range(ROUNDS):
+        now = classed(entries, found)
+        by_root = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+        left = by_root.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("k * k")).alias("same")).where("same < k * k")
+        left = stored(left.select("token", F.expr("(k * k - same) / 2").alias("pairs"), "k"), "jaccard-mixed")
+        total = left.agg(F.sum("pairs").alias("pairs"), F.sum("k").alias("k")).first()
+        if total["pairs"] is None or total["pairs"] <= PAIRS * total["k"]:
+            break
+        now = now.join(left.select("token"), "token").withColumn("h", F.xxhash64("root", F.lit(r)))
+        chosen = now.groupBy("token", F.pmod(F.xxhash64("id", F.lit(r)), F.lit(LEADERS)).alias("bucket")).agg(
+            F.min(F.struct(-F.col("members"), "pos", "h", "id", "n", "root", "members")).alias("l"))
+        stars = now.join(chosen, "token").where("root != l.root and l.members >= members")
+        stars = stars.where(possible("", "l.", percent)).groupBy("id", F.col("l.id").alias("a")).agg(
+            F.count(F.lit(1)).alias("shared"), F.first("l.h").alias("h"), F.first("n").alias("nb"), F.first("l.n").alias("na"))
+        best = stars.groupBy("id").agg(F.expr(f"slice(sort_array(collect_list(struct(shared, h, a, na, nb)), false), 1, {TRIES})").alias("most"),
+                                       F.min(F.struct("h", "shared", "a", "na", "nb")).alias("first"))
+        best = best.select("id", F.explode(F.expr("""array_distinct(concat(transform(most, m -> struct(m.a as a, m.na as na, m.nb as nb)),
+            array(struct(first.a as a, first.na as na, first.nb as nb))))""")).alias("p"))
+        best = stored(best.select("p.a", F.col("id").alias("b"), "p.na", "p.nb"), "jaccard-led")
+        pairs = compared(best.select("a", "b"), texts, words).dropDuplicates(["a", "b"]).join(best, ["a", "b"])
+        rounds.append(stored(pairs.select("a", "b", "overlap", "na", "nb"), "jaccard-compared"))
+        new = rounds[-1].where(f"overlap >= {needed('na', 'nb', percent)}").select("a", "b")
+        links.append(new if found is None else new.unionByName(found.select(F.col("root").alias("a"), F.col("id").alias("b"))))
+        found = stored(components(links[-1]), "jaccard-found")
+    if not rounds:
+        return None, None
+    return reduce(DataFrame.unionByName, rounds).dropDuplicates(["a", "b"]), found
+
+
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; component_id is the least doc_id linked with the row's."""
     table = stored(index(docs, words, percent), "jaccard-index")
     sized = table.where("doc_id is not null and n > 0")
     # equal sets are one set from here on, under their least id
-    same = stored(sized.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-sets")
-    reps = sized.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("id"), "n")
-    lists = entries.groupBy("token").agg(F.count("*").alias("len"), F.min(F.struct("id", "n", "pos")).alias("leader"))
-    lists = lists.where("len > 1").drop("len")
-    entries = stored(entries.join(lists, "token"), "jaccard-lists")
+    same = stored(sized.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")),
+                  "jaccard-sets")
+    copies = sized.select("doc_id", "sig").join(same.where("rows > 1"), "sig").where("doc_id != rep").select("doc_id")
+    copies = stored(copies.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").distinct(), "jaccard-copies")
+    some, rest = divided(sized.select("doc_id", "n", "prefix"), copies)  # most are no copies, and needn't be shuffled
+    reps = some.join(copies, "doc_id", "left_anti").unionByName(rest)
+    entries = stored(lists_of(reps), "jaccard-lists")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    texts = stored(sieved(texts, entries.select("id")), "jaccard-texts")
-
-    def possible(x: str, y: str) -> str:
-        return (f"least({x}n, {y}n) * 100 >= {percent} * greatest({x}n, {y}n) and "
-                f"least({x}n - {x}pos, {y}n - {y}pos) >= {needed(f'{x}n', f'{y}n', percent)}")
-
-    # level one: each set with one leader, the one it shares most prefix shingles with
-    stars = (entries.where("id != leader.id").where(possible("", "leader."))
-             .groupBy("id", F.col("leader.id").alias("a"), F.col("leader.n").alias("na")).agg(F.count("*").alias("shared")))
-    best = stars.groupBy("id").agg(F.max(F.struct("shared", -F.col("a"), "na")).alias("m"))
-    best = best.select((-F.col("m.col2")).alias("a"), F.col("id").alias("b"))
-    size = same.select(F.col("rep").alias("id"), "n")
-    first = compared(best, texts, words)
-    first = (first.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-             .join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b"))
-    first = stored(first.dropDuplicates(["a", "b"]), "jaccard-first")
-    links = first.where(f"overlap >= {needed('na', 'nb', percent)}").select("a", "b")
-    found = components(links)
+
+    # level one: sets of long lists with leaders
+    long = entries.where(f"len > {SHORT}").drop("len")
+    first, found = led(long, stored(sieved(texts, long.select("id")), "jaccard-texts"), words, percent)
 
     # level two: pairs of one list that are still apart, unless the overlaps with a common leader decide
-    led = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap")
-    state = same.select(F.col("rep").alias("id")).join(found, "id", "left").join(led, "id", "left")
-    state = state.select("id", F.coalesce("root", "id").alias("root"), "lead", "overlap")
-    apart = entries.select("token", "id", "n", "pos").join(state, "id")
+    apart = classed(entries.drop("len"), found)
+    if first is None:
+        apart = apart.withColumn("leads", F.expr("cast(array() as array<struct<lead: bigint, o: bigint, l: bigint>>)"))
+    else:
+        lead = F.struct(F.col("a").alias("lead"), F.col("overlap").alias("o"), F.col("na").alias("l"))
+        own = first.select(F.col("a").alias("id"), F.struct(F.col("a").alias("lead"), F.col("na").alias("o"), F.col("na").alias("l")).alias("x"))
+        known = first.select(F.col("b").alias("id"), lead.alias("x")).unionByName(own).groupBy("id").agg(F.collect_set("x").alias("leads"))
+        apart = apart.join(known, "id", "left").withColumn("leads", F.coalesce("leads", F.expr("cast(array() as array<struct<lead: bigint, o: bigint, l: bigint>>)")))
     mixed = apart.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
-    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root", "lead", "overlap").alias("x"))
-    # sets with one leader meet only if their overlaps with it leave room; a set and its leader have met
-    ruled_out = (f"x.lead = y.lead and least(x.overlap, y.overlap) + least(x.n - x.overlap, y.n - y.overlap) < {needed('x.n', 'y.n', percent)} "
-                 "or x.lead = y.id or y.lead = x.id")
+    apart = apart.join(mixed, "token").select("token", F.struct("id", "n", "pos", "root", "leads").alias("x"))
+    # sets with a leader in common meet only if their overlaps with it leave room; a set and its leader have met
+    need = needed("x.n", "y.n", percent)
+    room = f"exists(x.leads, p -> exists(y.leads, q -> p.lead = q.lead and least(p.o, q.o) + least(x.n - p.o, y.n - q.o) < {need}))"
+    # two sets that qualify also meet at the first shingle they share, where their places leave room for the rest
     pairs = apart.join(apart.withColumnRenamed("x", "y"), "token").where(
-        f"x.id < y.id and x.root != y.root and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n) and not coalesce({ruled_out}, false)")
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count(F.lit(1)).alias("shared"),
-        F.max(F.expr(possible("x.", "y."))).alias("possible"))
-    # what two sets share up to the end of the prefix that ends first is in both prefixes; the rest is after that end
-    after = f"cast(ceil({percent} * {{0}} / 100D - 1e-9) as bigint) - 1"
-    pairs = pairs.where(f"possible and shared + greatest({after.format('na')}, {after.format('nb')}) >= {needed('na', 'nb', percent)}")
-    pairs = pairs.drop("shared", "possible")
-    known = first.select(F.col("b").alias("id"), F.col("a").alias("lead"), "overlap", F.col("na").alias("lead_n"))
-    known = known.unionByName(first.select(F.col("a").alias("id"), F.col("a").alias("lead"), F.col("na").alias("overlap"),
-                                           F.col("na").alias("lead_n")).distinct())
-    for x in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("id").alias(x), "lead", F.struct("overlap", "lead_n").alias(f"k{x}"))
-                           .groupBy(x).agg(F.collect_set(F.struct("lead", f"k{x}")).alias(f"leads_{x}")), x, "left")
-    need = needed("na", "nb", percent)
-    common = """filter(flatten(transform(leads_a, p -> transform(leads_b, q -> if(p.lead = q.lead, named_struct('o', p.ka.overlap,
-        'u', q.kb.overlap, 'l', p.ka.lead_n), null)))), s -> s is not null)"""
-    pairs = pairs.withColumn("common", F.coalesce(F.expr(common), F.expr("array()").cast("array<struct<o:bigint,u:bigint,l:bigint>>")))
-    pairs = pairs.where(f"not exists(common, s -> least(s.o, s.u) + least(na - s.o, nb - s.u) < {need})")
-    pairs = pairs.select("a", "b", "na", "nb", F.expr(f"exists(common, s -> s.o + s.u - s.l >= {need})").alias("certain"))
-    pairs = stored(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-apart")
-    second = compared(pairs.where("not certain").select("a", "b"), texts, words).dropDuplicates(["a", "b"]).join(pairs, ["a", "b"])
+        f"x.id < y.id and x.root != y.root and {possible('x.', 'y.', percent)} and not {room}")
+    certain = f"exists(x.leads, p -> exists(y.leads, q -> p.lead = q.lead and p.o + q.o - p.l >= {need}))"
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
+                         F.expr(certain).alias("certain")).distinct()
+    pairs = stored(pairs.select("a", "b", "na", "nb", "certain"), "jaccard-apart")
+    open_ = pairs.where("not certain").select("a", "b")
+    second = compared(open_, sieved(texts, open_.select(F.explode(F.array("a", "b")).alias("id"))), words)
+    second = second.dropDuplicates(["a", "b"]).join(pairs, ["a", "b"])
     more = second.where(f"overlap >= {needed('na', 'nb', percent)}").select("a", "b").unionByName(pairs.where("certain").select("a", "b"))
-    more = stored(more, "jaccard-more")
-    final = components(links.unionByName(more))
+    if found is not None:
+        more = more.unionByName(found.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    final = components(stored(more, "jaccard-more"))
     root = same.select("sig", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     root = root.select("sig", F.coalesce("root", "rep").alias("component_id"))
     out = table.select("doc_id", "n", "sig").join(root, "sig", "left")

@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -632,3 +634,22 @@ def test_sieve_loses_nothing(spark):
     got = {r.id for r in sieved(rows, wanted).collect()}
     assert got >= set(range(-500, 20_000, 37)) and len(got) < 2000
     assert sieved(rows, wanted.where("false")).count() == 0
+
+
+def test_a_group_of_near_misses_leaves_few_pairs(spark):
+    rng = np.random.RandomState(5)
+    base, rows = [f"v{rng.randint(5000)}" for _ in range(150)], []
+    for i in range(400):  # half of the copies are too far from all others
+        own = list(base)
+        for k in rng.choice(150, rng.randint(0, 9), replace=False):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    entries = jaccard.lists_of(jaccard.index(df, 4, 85)).drop("len").cache()
+    compared, found = jaccard.led(entries, df.withColumnRenamed("doc_id", "id"), 4, 85)
+    now = jaccard.classed(entries, found).select("token", F.struct("id", "n", "pos", "root").alias("x"))
+    rows_met = now.join(now.withColumnRenamed("x", "y"), "token").where("x.id < y.id and x.root != y.root")
+    assert rows_met.where(jaccard.possible("x.", "y.", 85)).count() <= 5 * len(rows)
+    assert compared.count() <= jaccard.ROUNDS * (jaccard.TRIES + 1) * len(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, 4, 85).collect()}
+    assert got == brute_classes(rows, 4, 85) and 50 < len({c for _, c in got.values()}) < 350
