@@ -23,9 +23,11 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -43,6 +45,7 @@ DICTIONARY_ROWS = 20_000
 DICTIONARY_WORDS = 300_000
 DICTIONARY_TEXT = 1 << 16  # bytes of a sampled text at most
 LONG = 96
+FAST = 0x24F          # the last code point of Latin Extended-B
 SLOTS = 524_287       # of the rank table; prime
 NONE = 131_071
 MIX = (40_503, 2_654_435)
@@ -68,7 +71,7 @@ class Table:
         if max(ranks.values()) >= (1 << 17) - 1:
             raise ValueError("ids beyond 17 bits")
         self.ranks = ranks
-        slots, self.probes = [0] * (SLOTS + 64), 1
+        slots, self.probes = array("q", bytes(8 * (SLOTS + 64))), 1
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
@@ -79,7 +82,7 @@ class Table:
                         k += 1
                     slots[at + k] = (a << 34) | (b << 17) | (rank + 1)
                     self.probes = max(self.probes, k + 1)
-        self.slots = f"from_json('{json.dumps(slots, separators=(',', ':'))}', 'array<bigint>')"
+        self.slots = f"from_json('[{','.join(map(str, slots))}]', 'array<bigint>')"
         single = [ranks[bytes([b % 256])] for b in range(-128, 128)]
         self.single = f"from_json('{json.dumps(single)}', 'array<bigint>')"
         pieces = [""] * (max(ranks.values()) + 1)
@@ -112,7 +115,7 @@ class Table:
             transform(array(cast(array_position(s, lo) as int)), at -> {joined})[0]))[0]"""
         start = f"""transform({w}, (b, i) -> if(i + 1 < size({w}), shiftleft({self.pair('z[128 + b]', f'z[128 + {w}[i + 1]]')}, 24), {at_end})
             | shiftleft(cast(i as bigint), 17) | z[128 + b])"""
-        return f"aggregate(sequence(1, size({w})), {start}, (s, i) -> {step}, s -> transform(s, x -> cast(x & 131071 as int)))"
+        return f"aggregate(sequence(2, greatest(2, size({w}))), {start}, (s, i) -> {step}, s -> transform(s, x -> cast(x & 131071 as int)))"
 
     def encode(self, words: str) -> str:
         """SQL of array<array<int>>: the ids of each of an array of byte arrays. The tables are bound once, as t and z."""
@@ -161,19 +164,19 @@ BLOCK_SQL = "keys array<bigint>, sizes array<int>, codes binary, words array<arr
 
 
 class Dictionary:
-    """Words with their ids and decoded bytes, as flat arrays."""
-
-    def __init__(self, words: list[bytes], ids: list[np.ndarray], texts: list[bytes]):
-        self.words = words
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        self.id_ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
-        self.texts = np.frombuffer(b"".join(texts), np.uint8)
-        self.text_ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+    """Words with their ids and decoded bytes, as flat arrays, from Arrow lists of lists."""
+
+    def __init__(self, words: pa.ListArray, ids: pa.ListArray, texts: pa.ListArray):
+        self.words, ids, texts = (x.flatten() for x in (words, ids, texts))
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        self.id_ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        data, offsets = T.raw(texts)
+        self.texts, self.text_ends = data.copy(), offsets[1:]
         self._places: Places | None = None
 
     def places(self) -> Places:
         if self._places is None:
-            self._places = Places((w.decode(), k) for k, w in enumerate(self.words))
+            self._places = Places((w.decode(), k) for k, w in enumerate(self.words.to_pylist()))
         return Places(self._places)
 
     def __getstate__(self) -> dict:
@@ -193,7 +196,7 @@ def dictionary(docs: DataFrame, table: Table, key: str, pattern: str, rows: int
     sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < share).where(F.octet_length("text") <= DICTIONARY_TEXT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = regex.compile(pattern).findall, Counter()
+        split, seen = splitter(pattern), Counter()
         for batch in batches:
             for text in batch.column(0):
                 seen.update(split(text.as_py() or ""))
@@ -208,8 +211,23 @@ def dictionary(docs: DataFrame, table: Table, key: str, pattern: str, rows: int
     found = found.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("word", "bytes")).alias("w"))
     found = found.withColumn("ids", F.expr(table.encode("w.bytes"))).withColumn("texts", F.expr(table.decode("ids")))
     got = found.select(F.col("w.word").alias("word"), "ids", "texts").toArrow()
-    parts = [(w, np.array(i, "<u4"), t) for row in zip(*(got.column(c).to_pylist() for c in range(3))) for w, i, t in zip(*row)]
-    return Dictionary(*([list(c) for c in zip(*parts)] if parts else ([], [], [])))
+    return Dictionary(*(got.column(c).combine_chunks() for c in range(3)))
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """findall of pattern. Texts without code points above FAST go through the standard library's quicker engine, with the
+    letters, numbers and spaces as the pattern's own engine has them; classes beyond those go through that engine only."""
+    slow = regex.compile(pattern).findall
+    ranges = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        ranges[name] = "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(name + "+", "".join(map(chr, range(FAST + 1)))))
+    plain = pattern.replace(r"(?!\S)", f"(?![^{ranges[r'\s']}])")
+    plain = re.sub(r"\[[^\]]*\]", lambda m: reduce(lambda x, name: x.replace(name, ranges[name]), ranges, m[0]), plain)
+    plain = reduce(lambda x, name: x.replace(name, f"[{ranges[name]}]"), ranges, plain)
+    if re.search(r"\\[^u]|\(\?[^:!]|[*+?}][+]", plain):
+        return slow
+    fast, beyond = re.compile(plain).findall, re.compile(f"[^\\x00-\\u{FAST:04x}]").search
+    return lambda text: slow(text) if beyond(text) else fast(text)
 
 
 def blocks(docs: DataFrame, key: str, pattern: str, known: Broadcast, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -218,7 +236,7 @@ def blocks(docs: DataFrame, key: str, pattern: str, known: Broadcast, block_byte
     L.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, first = regex.compile(pattern).findall, len(known.value.words)
+        split, first = splitter(pattern), len(known.value.words)
         keys, sizes, codes, place, seen = [], [], array("i"), known.value.places(), 0
 
         def row() -> pa.RecordBatch:

@@ -653,3 +653,25 @@ def test_a_group_of_near_misses_leaves_few_pairs(spark):
     assert compared.count() <= jaccard.ROUNDS * (jaccard.TRIES + 1) * len(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, 4, 85).collect()}
     assert got == brute_classes(rows, 4, 85) and 50 < len({c for _, c in got.values()}) < 350
+
+
+def test_splitter_equals_the_pattern():
+    import public_tokenizers as P
+    import regex
+    whole, split, rng = regex.compile(P.PATTERN).findall, bpe.splitter(P.PATTERN), random.Random(1)
+    for k in range(20_000):
+        kinds = (lambda: chr(rng.randrange(0x260)), lambda: rng.choice(" \n\t\x1c\x85\xa0'sdlvretm09a_²½ªµİ"), lambda: chr(rng.randrange(0x3100)) if k % 5 == 0 else "a")
+        text = "".join(rng.choice(kinds)() for _ in range(rng.randrange(30)))
+        assert split(text) == whole(text)
+    other = r"(?i:'s)|\p{L}++|\s+"  # possessive: the pattern's own engine
+    assert bpe.splitter(other)("It's a") == regex.findall(other, "It's a")
+
+
+def test_dictionary_has_flat_columns(spark, docs):
+    import public_tokenizers as P
+    table = bpe.Table(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    known = bpe.dictionary(docs.limit(50), table, "doc_id", P.PATTERN)
+    assert isinstance(known.words, pa.Array) and len(known.words) == len(known.id_ends) == len(known.text_ends) > 10
+    ends = [0, *known.text_ends.tolist()]
+    assert [known.texts[a:b].tobytes() for a, b in zip(ends, ends[1:])] == known.words.to_pylist()
+    assert known.id_ends[-1] == len(known.ids)
