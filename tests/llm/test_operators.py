@@ -675,3 +675,24 @@ def test_dictionary_has_flat_columns(spark, docs):
     ends = [0, *known.text_ends.tolist()]
     assert [known.texts[a:b].tobytes() for a, b in zip(ends, ends[1:])] == known.words.to_pylist()
     assert known.id_ends[-1] == len(known.ids)
+
+
+def test_extensions_at_both_costs():
+    def plain(a, b, cost):
+        best = at = score = agree = kept = 0
+        for k in range(min(len(a), len(b))):
+            score += 1 if a[k] == b[k] else -cost
+            agree += int(a[k] == b[k])
+            if score > best:
+                best, at, kept = score, k + 1, agree
+            if best - score > passages.DROP:
+                break
+        return at, kept
+
+    rng = np.random.RandomState(3)
+    for _ in range(3000):
+        a, b = (rng.randint(0, rng.choice([2, 3, 9]), rng.randint(0, 200)) for _ in range(2))
+        if rng.randint(2):
+            b = np.where(rng.rand(len(a)) < rng.rand() / 2, 50, a)
+        got = passages.extensions(a, b)
+        assert got[0] == plain(a, b, 2) and got[-1] == plain(a, b, 4) and (len(got) == 2 or got == [(0, 0)])
