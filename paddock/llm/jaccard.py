@@ -92,17 +92,17 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
         total = np.zeros(1 << COUNTERS, np.int32)
         for batch in batches:
             for row in batch.column(0):
-                total = np.minimum(total.astype(np.int64) + unpacked(row.as_py()), full).astype(np.int32)
+                total += np.minimum(unpacked(row.as_py()), full - total)
         yield packed(total)
 
     wide = max(MERGED, docs.sparkSession.sparkContext.defaultParallelism)
     texts = docs.select("text").coalesce(wide)  # a task sends one sketch, so tasks are as many as the cores
-    sketches = texts.mapInArrow(count, "counts binary")
+    sketches = texts.mapInArrow(L.released(count), "counts binary")
     if texts.rdd.getNumPartitions() > MERGED:
-        sketches = sketches.repartition(8).mapInArrow(add, "counts binary")
+        sketches = sketches.repartition(8).mapInArrow(L.released(add), "counts binary")
     total = np.zeros(1 << COUNTERS, np.int32)
     for row in sketches.toLocalIterator():
-        total = np.minimum(total.astype(np.int64) + unpacked(row["counts"]), full).astype(np.int32)
+        total += np.minimum(unpacked(row["counts"]), full - total)
     return total
 
 
@@ -130,7 +130,7 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
                                               pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(L.released(run), "doc_id bigint, n bigint, sig binary, prefix array<bigint>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -158,7 +158,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)],
                                              names=["a", "b", "overlap"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint")
+    return rows.mapInArrow(L.released(run), "a bigint, b bigint, overlap bigint")
 
 
 def lists_of(reps: DataFrame) -> DataFrame:

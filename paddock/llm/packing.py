@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, capacity: int
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(L.released(run), schema)
 
 
 class Remaining:
@@ -228,7 +228,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)],
                                              names=[*keep, "sequence_id", "offset"])
 
-    return numbered(rows, counts, capacity).select(*keep, "number").mapInArrow(run, schema)
+    return numbered(rows, counts, capacity).select(*keep, "number").mapInArrow(L.released(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -302,7 +302,7 @@ def scan(docs: DataFrame, field: Field, out_name: str = "spans") -> DataFrame:
                     out.append([{"kind": KINDS[k_], "start": s, "end": e} for s, k_, e in sorted(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, span)], names=names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(L.released(run), schema)
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -677,6 +677,26 @@ def test_dictionary_has_flat_columns(spark, docs):
     assert known.id_ends[-1] == len(known.ids)
 
 
+def test_batches_and_tasks_stay_small(spark):
+    """Long rows come in batches of few; what a task returns is unchanged by giving back its memory."""
+    learn.small_batches(spark)
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) as text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.nbytes] * batch.num_rows, pa.int64())], names=["id", "bytes"])
+
+    got = rows.mapInArrow(learn.released(run), "id bigint, bytes bigint").collect()
+    assert [r.id for r in got] == list(range(40)) and max(r.bytes for r in got) < 2 * learn.BATCH_BYTES
+
+
+def test_full_counters_stay_full(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTERS", 4)
+    df = spark.createDataFrame([("a b c d",)] * 50, "text string").repartition(40)
+    one = jaccard.frequencies(df.limit(1), 4)
+    assert one.dtype == np.int32 and one.sum() == 1 and (jaccard.frequencies(df, 4) == 50 * one).all()
+
+
 def test_extensions_at_both_costs():
     def plain(a, b, cost):
         best = at = score = agree = kept = 0
