@@ -3,7 +3,8 @@
 Texts are split by the vocabulary's pattern in Arrow batches; a block of about BLOCK_BYTES of text becomes one row with its
 distinct words and, for every text, the places of its words in that list. In the JVM each distinct word starts as its bytes'
 ids and is folded: the adjacent pair of the lowest rank merges, the leftmost first, until no pair has a rank. The ranks are
-a literal of the plan: an open-addressed table of (left id, right id, merged id), bounded by the vocabulary. Decoding
+a literal of the plan: the rows of a table (left id, right id, merged id), each displaced so that none shares a slot with
+another; a pair takes one look-up, and so do the two bytes it begins with. It is bounded by the vocabulary. Decoding
 concatenates the binary pieces of a word's ids. A last Arrow step puts the words' ids and bytes back in text order. Texts are
 not shuffled, and memory is bounded by the block.
 
@@ -25,7 +26,7 @@ import heapq
 import json
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
@@ -40,15 +41,15 @@ from pyspark.sql import functions as F
 from paddock.llm import learn as L
 from paddock.llm import text as T
 
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 4 << 20
 DICTIONARY_ROWS = 20_000
 DICTIONARY_WORDS = 300_000
 DICTIONARY_TEXT = 1 << 16  # bytes of a sampled text at most
 LONG = 96
 FAST = 0x24F          # the last code point of Latin Extended-B
-SLOTS = 524_287       # of the rank table; prime
+SLOTS = 1 << 19       # of the rank table at first
 NONE = 131_071
-MIX = (40_503, 2_654_435)
+TRIES = 1 << 16       # displacements of a row before the table grows
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,40 +65,61 @@ class Places(dict):
         return place
 
 
+def displaced(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin of every row, slots): the value v of row a at column b < width is in slot begin[a] + b, as (a + 1) << 17 | v,
+    and no other row has that slot. Free slots are 0. The largest rows are placed first; the table grows if one finds no room."""
+    size = SLOTS
+    while True:
+        rng = np.random.RandomState(size)
+        begins, slots = np.zeros(width, np.int64), np.zeros(size + width, np.int64)
+        for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            columns, tried = np.array([b for b, _ in row]), 0
+            while tried < TRIES:
+                offered = rng.randint(0, size, 16 if len(row) < 8 else 256)
+                fits = (slots[offered[:, None] + columns] == 0).all(1)
+                if fits.any():
+                    break
+                tried += len(offered)
+            else:
+                break
+            begins[a] = offered[fits.argmax()]
+            slots[begins[a] + columns] = (a + 1) << 17 | np.array([v for _, v in row])
+        else:
+            return begins, slots
+        size *= 2
+
+
+def literal(values: np.ndarray) -> str:
+    return f"from_json('[{','.join(map(str, values.tolist()))}]', 'array<bigint>')"
+
+
 class Table:
-    """The rank table of a vocabulary as SQL literals: pairs of ids, single bytes, whole words, pieces."""
+    """The rank table of a vocabulary as SQL literals: pairs of ids, first pairs of bytes, pieces."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= (1 << 17) - 1:
             raise ValueError("ids beyond 17 bits")
         self.ranks = ranks
-        slots, self.probes = array("q", bytes(8 * (SLOTS + 64))), 1
+        rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if a is not None and b is not None:
-                    at = (a * MIX[0] + b * MIX[1]) % SLOTS
-                    k = 0
-                    while slots[at + k]:
-                        k += 1
-                    slots[at + k] = (a << 34) | (b << 17) | (rank + 1)
-                    self.probes = max(self.probes, k + 1)
-        self.slots = f"from_json('[{','.join(map(str, slots))}]', 'array<bigint>')"
+                    rows[a].append((b, rank))
+        begins, slots = displaced(rows, max(ranks.values()) + 1)
+        self.begins, self.slots = literal(begins), literal(slots)
         single = [ranks[bytes([b % 256])] for b in range(-128, 128)]
-        self.single = f"from_json('{json.dumps(single)}', 'array<bigint>')"
+        ids = np.array(single)
+        beside = slots[begins[ids][:, None] + ids] ^ ((ids[:, None] + 1) << 17)
+        self.starts = literal(np.concatenate([(beside << 24 | ids[:, None]).ravel(), NONE << 24 | ids]))
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = base64.b64encode(piece).decode()
         self.pieces = f"from_json('{json.dumps(pieces, separators=(',', ':'))}', 'array<binary>')"
 
     def pair(self, a: str, b: str) -> str:
-        """SQL of the id that ids a and b (bigint) merge into, or NONE."""
-        key = f"(shiftleft({a}, 17) | {b})"
-        at = f"(({a} * {MIX[0]} + {b} * {MIX[1]}) % {SLOTS})"
-        found = str(NONE)
-        for k in reversed(range(self.probes)):
-            found = f"if(t[{at} + {k}] = 0, {NONE}L, if(shiftright(t[{at} + {k}], 17) = {key}, (t[{at} + {k}] & 131071) - 1, {found}))"
-        return found
+        """SQL of the id that ids a and b (bigint) merge into, or of some number above NONE."""
+        return f"(t[d[{a}] + {b}] ^ shiftleft({a} + 1, 17))"
 
     def fold(self, w: str) -> str:
         """SQL of the ids left when no neighbours among the bytes w merge any more.
@@ -106,22 +128,21 @@ class Table:
         first byte's place, its own id. The least long is the lowest rank, leftmost first.
         """
         at_end = f"shiftleft({NONE}L, 24)"
-        joined = f"""concat(slice(s, 1, greatest(at - 2, 0)),
-            if(at > 1, array(shiftleft({self.pair('(s[at - 2] & 131071)', 'shiftright(lo, 24)')}, 24) | (s[at - 2] & 16777215)), no),
-            array(if(at + 1 < size(s), shiftleft({self.pair('shiftright(lo, 24)', '(s[at + 1] & 131071)')}, 24), {at_end})
-                | (lo & 16646144) | shiftright(lo, 24)),
-            slice(s, at + 2, greatest(size(s) - at - 1, 0)))"""
+        before = f"shiftleft({self.pair('(s[at - 2] & 131071)', 'shiftright(lo, 24)')}, 24) | (s[at - 2] & 16777215)"
+        new = f"""if(at + 1 < size(s), shiftleft({self.pair('shiftright(lo, 24)', '(s[at + 1] & 131071)')}, 24), {at_end})
+            | (lo & 16646144) | shiftright(lo, 24)"""
+        joined = f"""concat(slice(s, 1, greatest(at - 2, 0)), if(at > 1, array({before}, {new}), array({new})),
+            slice(s, at + 2, size(s)))"""
         step = f"""transform(array(array_min(s)), lo -> if(lo >= {at_end}, s,
             transform(array(cast(array_position(s, lo) as int)), at -> {joined})[0]))[0]"""
-        start = f"""transform({w}, (b, i) -> if(i + 1 < size({w}), shiftleft({self.pair('z[128 + b]', f'z[128 + {w}[i + 1]]')}, 24), {at_end})
-            | shiftleft(cast(i as bigint), 17) | z[128 + b])"""
+        start = f"""transform({w}, (b, i) -> z[if(i + 1 < size({w}), 32896 + 256 * b + {w}[i + 1], 65664 + b)]
+            | shiftleft(cast(i as bigint), 17))"""
         return f"aggregate(sequence(2, greatest(2, size({w}))), {start}, (s, i) -> {step}, s -> transform(s, x -> cast(x & 131071 as int)))"
 
     def encode(self, words: str) -> str:
-        """SQL of array<array<int>>: the ids of each of an array of byte arrays. The tables are bound once, as t and z."""
-        return (f"transform(array({self.slots}), t -> transform(array({self.single}), z -> transform(array(cast(array() as "
-                f"array<bigint>)), no -> transform({words}, w -> if(size(w) = 0, cast(array() as array<int>), "
-                f"{self.fold('w')})))[0])[0])[0]")
+        """SQL of array<array<int>>: the ids of each of an array of byte arrays. The tables are bound once, as t, d and z."""
+        return (f"transform(array({self.slots}), t -> transform(array({self.begins}), d -> transform(array({self.starts}), z -> "
+                f"transform({words}, w -> if(size(w) = 0, cast(array() as array<int>), {self.fold('w')})))[0])[0])[0]")
 
     def decode(self, ids: str) -> str:
         """SQL of array<binary>: the concatenated pieces of each of an array of id arrays."""
@@ -205,7 +226,7 @@ def dictionary(docs: DataFrame, table: Table, key: str, pattern: str, rows: int
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), byte_lists([w for w, _ in found]),
                                           pa.array([n for _, n in found], pa.int64())], names=["word", "bytes", "n"])
 
-    found = sample.select("text").limit(rows).mapInArrow(count, "word binary, bytes array<tinyint>, n bigint")
+    found = sample.select("text").limit(rows).mapInArrow(L.released(count), "word binary, bytes array<tinyint>, n bigint")
     found = found.groupBy("word").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).where("n > 1")
     found = found.orderBy(F.desc("n"), "word").limit(words).select("word", "bytes")
     found = found.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("word", "bytes")).alias("w"))
@@ -259,7 +280,7 @@ def blocks(docs: DataFrame, key: str, pattern: str, known: Broadcast, block_byte
         if keys:
             yield row()
 
-    return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, BLOCK_SQL)
+    return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(L.released(run), BLOCK_SQL)
 
 
 def gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -324,7 +345,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "
                 columns = list(zip(*made))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(L.released(run), out)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -677,6 +677,30 @@ def test_dictionary_has_flat_columns(spark, docs):
     assert known.id_ends[-1] == len(known.ids)
 
 
+def test_a_pair_of_ids_takes_one_look_up(spark, monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    table = bpe.Table(ranks)
+    assert table.pair("a", "b").count("t[") == 1
+    encoder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    words = [w.encode()[: bpe.LONG] for w in ("the", " thereinafter", "aaaaaaaaaaaaaaaa", " ñóezción", "漢字漢字", "0" * 200)]
+    words += [bytes([b]) for b in range(256)] + [bytes([b, c]) for b in (0, 127, 128, 255) for c in range(256)]
+    words += ["".join(rng.choice(["th", "e", "r", "in", "é", "x", "漢", "7"]) for _ in range(rng.randrange(1, 20))).encode()[: bpe.LONG] for _ in range(500)]
+    rows = spark.createDataFrame([([int(np.int8(np.uint8(b))) for b in w],) for w in words], "w array<tinyint>")
+    rows = rows.selectExpr("array(w) as words").withColumn("ids", F.expr(table.encode("words"))).withColumn("texts", F.expr(table.decode("ids")))
+    got = {bytes(b % 256 for b in r.words[0]): (r.ids[0], bytes(r.texts[0])) for r in rows.collect()}
+    assert got == {w: (encoder._encode_single_piece(w), w) for w in words}
+    # rows that share a small table keep apart, and the table grows for what doesn't fit
+    monkeypatch.setattr(bpe, "SLOTS", 64)
+    lines = {a: [(b, 10 * a + b) for b in range(0, 60, 1 + a % 7)] for a in range(30)}
+    begins, slots = bpe.displaced(lines, 60)
+    for a in range(30):
+        found = {b: int(slots[begins[a] + b]) ^ (a + 1) << 17 for b in range(60)}
+        assert {b: v for b, v in found.items() if v < bpe.NONE} == dict(lines[a])
+
+
 def test_batches_and_tasks_stay_small(spark):
     """Long rows come in batches of few; what a task returns is unchanged by giving back its memory."""
     learn.small_batches(spark)
