@@ -1,6 +1,8 @@
 """Steps that have to grow with the input: tables written once and only where needed, partitions in proportion, medians from
 counted values, boosters routed node by node."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from paddock.operators import medians as M
 from paddock.operators import scoring as SC
 from paddock.plans import queries as Q
 from paddock.plans.context import Context
-from paddock.session import exists
+from paddock.session import SHUFFLE_CLEANUP, exists, saved
 from paddock.settings import FIXTURE_SETTINGS
 from paddock.sources import fixture as FX
 
@@ -97,3 +99,35 @@ def test_batches_are_put_together():
     got = list(BO._chunks(iter(batches), 7))
     assert [len(b) for b in got] == [9, 9, 3] and [v for b in got for v in b.column("a").to_pylist()] == list(range(21))
     assert not list(BO._chunks(iter([])))
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffled_files(spark, tmp_path):
+    """The shuffled files of a written table go as its write ends; the session's settings stay as they were."""
+    before, conf = shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    saved(spark.range(50_000).groupBy((F.col("id") % 1000).alias("g")).agg(F.sum("id").alias("s")), f"{tmp_path}/t")
+    for _ in range(100):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SHUFFLE_CLEANUP, None) == conf
+
+
+def test_feature_blocks_are_written_one_after_the_other(spark):
+    """The plan that joins lots with their blocks doesn't make the blocks: their shuffled files are gone."""
+    for df in (Q.all_features(Context.of(spark, SMALL)), Q.train_frame(Context.of(spark, SMALL))):
+        assert "MapInArrow" not in plan(df) and "Join" in plan(df)
+
+
+def test_booster_rows_that_tasks_hold_are_not_shuffled(spark, monkeypatch):
+    rows = [("AAA" if i % 3 else "BBB", i, float(i % 7), "validation" if i % 5 == 0 else "train", float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "country_code string, lot_id long, log_price_index double, split string, a double")
+    written = {}
+    monkeypatch.setattr(BO, "saved", lambda df, path, **kw: written.setdefault(path.rsplit("/", 1)[1][:12], plan(df)) and saved(df, path, **kw))
+    assert BO.train_boosters(df, ["a"], rounds=2).count() > 6
+    assert set(written) == {"booster-rows", "booster-tree"} and not any("true" in line for p in written.values()
+                                                                         for line in p.splitlines() if "Repartition" in line)
