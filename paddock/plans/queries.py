@@ -885,7 +885,9 @@ SELECT s.country_code, CAST(s.version AS INTEGER) AS version, concat(lower(s.cou
 FROM seen s LEFT JOIN maps m ON m.run = s.run AND m.country_code = s.country_code""")
 def q_model_registry(c: Context):
     """S13 + S14 + M20: three runs appended one after the other, listed as of the second one."""
-    pred = c.fx.derived("fixed_predictions", lambda: SC.fixed_model(train_frame(c)))
+    # only the columns that the runs read are dealt and written
+    used = ["country_code", "sale_year", "price", "session_median_price", "log_price_index", "pred_q25", "pred_q50", "pred_q75", *REGISTRY_FEATURES]
+    pred = c.fx.derived("fixed_predictions", lambda: SC.fixed_model(train_frame(c)).select(*used))
     root = work_path(c.spark, "registry")
     for back, at in REGISTRY_RUNS:
         year = c.settings.cutoff_year - back

@@ -123,6 +123,12 @@ def test_feature_blocks_are_written_one_after_the_other(spark):
         assert "MapInArrow" not in plan(df) and "Join" in plan(df)
 
 
+def test_registry_writes_only_what_its_runs_read(spark):
+    c = Context.of(spark, SMALL)
+    Q.q_model_registry(c)
+    assert len(c.fx.derived("fixed_predictions", None).columns) == 8 + len(Q.REGISTRY_FEATURES)
+
+
 def test_booster_rows_that_tasks_hold_are_not_shuffled(spark, monkeypatch):
     rows = [("AAA" if i % 3 else "BBB", i, float(i % 7), "validation" if i % 5 == 0 else "train", float(i % 11)) for i in range(300)]
     df = spark.createDataFrame(rows, "country_code string, lot_id long, log_price_index double, split string, a double")
