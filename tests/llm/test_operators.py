@@ -538,6 +538,47 @@ def test_passages_found(spark):
     assert 3 not in left and left[4] == text[4] and left[1] == text[1] and " ".join(other) not in left[7]
 
 
+def test_a_passage_with_one_seed(spark):
+    """Two texts that share a passage, but only one seed: of the others a word was changed, every fifth one beside the seed's run."""
+    texts, rows = {}, []
+    for k in range(40):
+        rng = np.random.RandomState(k)
+        word = lambda n: [f"w{k}x{v}" for v in rng.randint(0, 10**6, n)]
+        passage = word(75)
+        changed = [f"c{k}x{i}" if i % 5 == 4 and not 30 <= i < 42 else w for i, w in enumerate(passage)]
+        pair = [word(20) + passage + word(20), word(30) + changed + word(10)]
+        _, _, h, first = T.words(*T.of_strings([" ".join(w) for w in pair]), T.SPACE, lower=True)
+        (v, *_), (w, *_) = passages.seeds(h, first)
+        if len(set(v.tolist()) & set(w.tolist())) == 1:
+            texts[2 * k + 1] = k
+            rows += [(2 * k + i, " ".join(t)) for i, t in enumerate(pair)]
+    assert len(texts) > 3
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == set(texts)
+    assert all(r.source_id == r.doc_id - 1 and r.start_word >= 30 and r.end_word - r.start_word >= 70 for r in got.values())
+
+
+def test_pairs_of_one_seed_that_are_not_aligned_have_no_passage(spark):
+    """The look at the words around an only seed against the alignment of the whole texts."""
+    rng = np.random.RandomState(3)
+    texts, single = {}, []
+    for k in range(0, 400, 2):
+        n, at, off, share = rng.randint(45, 160), rng.randint(0, 40), rng.randint(0, 30), rng.choice([0.3, 0.75, 0.95])
+        own = rng.randint(0, 10**6, n).tolist()
+        source = [v if at <= i < at + 5 or rng.rand() < share else v + 10**7 for i, v in enumerate(own)]
+        texts[k], texts[k + 1] = [f"o{v}" for v in range(off)] + source, own
+        single.append((k + 1, k, [(at, at + off)]))
+    df = spark.createDataFrame([(k, " ".join(map(str, v))) for k, v in texts.items()], "id bigint, text string")
+    pairs = spark.createDataFrame(single, "doc_id bigint, source_id bigint, matches array<struct<at:int,from:int>>")
+    kept = {r.doc_id for r in passages.grown(pairs, df).collect()}
+    have = set()
+    for d, s, [(x, y)] in single:
+        _, _, h, first = T.words(*T.of_strings([" ".join(map(str, texts[i])) for i in (d, s)]), T.SPACE, lower=True)
+        if passages.passages(h[:first[1]], h[first[1]:], np.array([x]), np.array([y])):
+            have.add(d)
+    assert len(have) > 20 and have <= kept and len(kept) < 190
+
+
 def test_exact_runs_are_covered(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: words(low(r.text)) for r in docs.collect()}
