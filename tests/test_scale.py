@@ -12,7 +12,7 @@ from paddock.operators import medians as M
 from paddock.operators import scoring as SC
 from paddock.plans import queries as Q
 from paddock.plans.context import Context
-from paddock.session import SHUFFLE_CLEANUP, exists, saved
+from paddock.session import SHUFFLE_CLEANUP, children, exists, saved
 from paddock.settings import FIXTURE_SETTINGS
 from paddock.sources import fixture as FX
 
@@ -132,8 +132,10 @@ def test_registry_writes_only_what_its_runs_read(spark):
 def test_booster_rows_that_tasks_hold_are_not_shuffled(spark, monkeypatch):
     rows = [("AAA" if i % 3 else "BBB", i, float(i % 7), "validation" if i % 5 == 0 else "train", float(i % 11)) for i in range(300)]
     df = spark.createDataFrame(rows, "country_code string, lot_id long, log_price_index double, split string, a double")
-    written = {}
-    monkeypatch.setattr(BO, "saved", lambda df, path, **kw: written.setdefault(path.rsplit("/", 1)[1][:12], plan(df)) and saved(df, path, **kw))
+    written, paths = {}, []
+    monkeypatch.setattr(BO, "saved", lambda df, path, **kw: paths.append(path) or written.setdefault(path.rsplit("/", 1)[1][:12], plan(df)) and saved(df, path, **kw))
     assert BO.train_boosters(df, ["a"], rounds=2).count() > 6
+    trees = next(p for p in paths if "booster-trees" in p)
+    assert len([f for f in children(spark, trees) if f.startswith("part-")]) == 6   # a task a model
     assert set(written) == {"booster-rows", "booster-tree"} and not any("true" in line for p in written.values()
                                                                          for line in p.splitlines() if "Repartition" in line)
